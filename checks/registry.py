@@ -50,8 +50,7 @@ def _tables(spark: SparkSession, sf: str) -> RetailTables:
 
 def _named(spark: SparkSession, sf: str) -> RetailTables:
     """The tables with customer names on credit sales."""
-    tables = vars(_tables(spark, sf))
-    return RetailTables(**{**tables, "sales": mapped.named_sales(spark, sf)})
+    return _tables(spark, sf).replace(sales=lambda: mapped.named_sales(spark, sf))
 
 
 # --- dashboard and sales reports ------------------------------------------
@@ -312,9 +311,10 @@ def receipts(spark, sf):
 
 @query
 def source_table_counts(spark, sf):
+    t = _tables(spark, sf)
     counts = [
-        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
-        for name, df in vars(_tables(spark, sf)).items()
+        getattr(t, name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        for name in RetailTables.NAMES
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -520,14 +520,10 @@ def scalar_validation(spark, sf):
 # --- ledger ----------------------------------------------------------------
 
 
-def _accepted(spark, sf):
-    return intake.screen_intake(derive.intake_text(spark, sf)).accepted
-
-
-def _merged(spark, sf):
-    rows = _accepted(spark, sf)
-    kinds = intake.merge_categories(mapped.categories(spark, sf), rows)
-    return intake.merge_stock_intake(mapped.products(spark, sf), kinds, rows), rows
+def _imported(spark, sf):
+    return intake.import_intake(
+        mapped.products(spark, sf), mapped.categories(spark, sf), derive.intake_text(spark, sf)
+    )
 
 
 @query
@@ -543,19 +539,18 @@ def ledger_intake_rejects(spark, sf):
 
 @query
 def ledger_category_merge(spark, sf):
-    return intake.merge_categories(mapped.categories(spark, sf), _accepted(spark, sf)).select(
-        "id", "name"
-    )
+    rows = intake.screen_intake(derive.intake_text(spark, sf)).accepted
+    return intake.merge_categories(mapped.categories(spark, sf), rows).select("id", "name")
 
 
 @query
 def ledger_intake_merge(spark, sf):
-    return _merged(spark, sf)[0]
+    return _imported(spark, sf).products
 
 
 @query
 def ledger_intake_entries(spark, sf):
-    return intake.stock_entries_from_intake(*_merged(spark, sf))
+    return _imported(spark, sf).entries
 
 
 @query

@@ -43,8 +43,10 @@ def running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # A sort-merge join leaves the rows where the window below needs them, and
+    # the offsets, one for each stretch, are never broadcast.
     return (
-        df.join(offsets, [*keys, "_bucket"])
+        df.join(offsets.hint("merge"), [*keys, "_bucket"])
         .withColumn(name, F.col("_before") + F.sum(value).over(inside))
         .drop("_bucket", "_before")
     )

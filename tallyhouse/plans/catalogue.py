@@ -12,6 +12,7 @@ from tallyhouse.sources.tables import RetailTables
 CATALOGUE_ROWS = 50
 SUGGESTION_ROWS = 10
 RECEIPT_PAGE_LINES = 500
+LINE_ORDER = ("product_id", "quantity", "price_at_sale")
 
 
 def categories_overview(t: RetailTables) -> DataFrame:
@@ -104,27 +105,44 @@ def restock_lookup(t: RetailTables) -> DataFrame:
     )
 
 
+def _paged(items: DataFrame, page_lines: int) -> DataFrame:
+    """Lines with their page. Only sales longer than a page need their lines
+    numbered, and there are at most lines / page_lines of those."""
+    long = (
+        items.groupBy("sale_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > page_lines)
+        .select("sale_id")
+    )
+    short_lines = items.join(long, "sale_id", "left_anti").withColumn(
+        "page", F.lit(0).cast("bigint")
+    )
+    numbered = running_count(
+        items.join(long, "sale_id", "left_semi"),
+        ["sale_id"],
+        F.floor(F.col("product_id") / 1024),
+        [F.col(c) for c in LINE_ORDER],
+        "_line",
+    )
+    page = F.floor((F.col("_line") - 1) / page_lines)
+    return short_lines.unionByName(numbered.withColumn("page", page).drop("_line"))
+
+
 def receipts(t: RetailTables, page_lines: int = RECEIPT_PAGE_LINES) -> DataFrame:
     """Sale header with its lines nested, for all given sales.
 
-    Lines are numbered in parallel and nested by page, so a receipt with more
-    than ``page_lines`` lines becomes several rows instead of one huge array.
-    A sale without lines keeps one row with an empty array.
+    Lines are nested by page, so a receipt with more than ``page_lines`` lines
+    becomes several rows instead of one huge array. A sale without lines keeps
+    one row with an empty array.
     """
     names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
-    order = ["product_id", "quantity", "price_at_sale"]
-    numbered = running_count(
-        t.sale_items,
-        ["sale_id"],
-        F.floor(F.col("product_id") / 1024),
-        [F.col(c) for c in order],
-        "line_no",
-    )
-    page = F.floor((F.col("line_no") - 1) / page_lines).alias("page")
-    line = F.struct("line_no", "product", "quantity", "price_at_sale", "total")
+    line = F.struct(*LINE_ORDER, "product", "total")
     pages = (
-        numbered.join(names, "product_id")
-        .groupBy("sale_id", page)
+        _paged(t.sale_items, page_lines)
+        .join(names, "product_id")
+        # Nesting shrinks nothing, so rows move once and are nested after that.
+        .repartition("sale_id", "page")
+        .groupBy("sale_id", "page")
         .agg(F.sort_array(F.collect_list(line)).alias("lines"))
         .withColumnRenamed("sale_id", "id")
     )

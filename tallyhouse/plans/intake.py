@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.validation import intake_reject_reason
 from tallyhouse.operators.ranking import number_rows
+from tallyhouse.sources.sinks import shared_root
 
 # Defaults of a product created by intake.
 NEW_REORDER_LEVEL = 5
@@ -51,10 +52,12 @@ def screen_intake(intake: DataFrame, mode: str = "skip") -> Screened:
     )
 
 
-def next_ids(df: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
+def next_ids(
+    df: DataFrame, existing: DataFrame, order: list[Column], bounded_by: DataFrame | None = None
+) -> DataFrame:
     """New surrogate ids above the highest existing one, in the given order."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    numbered = number_rows(df, order, "_new")
+    numbered = number_rows(df, order, "_new", bounded_by)
     return numbered.withColumn("id", (F.col("_new") + top).cast("bigint")).drop("_new")
 
 
@@ -93,8 +96,10 @@ def merge_stock_intake(
     and either a ``category`` name or a ``category_id``. ``categories`` must
     already contain the intake's categories.
     """
-    folded = _by_name(intake, seq)
-    target = folded.join(_first_by_name(products), "name", "left")
+    shared_root(products.sparkSession)
+    # The batch is folded once; both halves below and the count of new names
+    # read it from the checkpoint.
+    target = _by_name(intake, seq).join(_first_by_name(products), "name", "left").checkpoint()
     known = target.filter(F.col("id").isNotNull()).drop("name", "_first")
     # A cast would overflow silently outside ANSI mode; stock stays bigint.
     merged = products.join(known, "id", "left").withColumns(
@@ -106,7 +111,10 @@ def merge_stock_intake(
         }
     )
     fresh = next_ids(
-        target.filter(F.col("id").isNull()).drop("id"), products, [F.col("_first"), F.col("name")]
+        target.filter(F.col("id").isNull()).drop("id"),
+        products,
+        [F.col("_first"), F.col("name")],
+        bounded_by=target,
     )
     if "in_category" in fresh.columns:
         kinds = categories.select(
@@ -137,3 +145,32 @@ def stock_entries_from_intake(
     return intake.join(ids, "name").select(
         seq, "product_id", "quantity", "buying_price", "selling_price", "supplier", *extra
     )
+
+
+@dataclass(frozen=True)
+class Imported:
+    products: DataFrame
+    categories: DataFrame
+    entries: DataFrame
+    rejects: DataFrame
+
+
+def import_intake(
+    products: DataFrame,
+    categories: DataFrame,
+    intake: DataFrame,
+    mode: str = "skip",
+    seq: str = "seq",
+) -> Imported:
+    """A whole import of text rows: screen, add categories, merge products,
+    write the ledger. Accepted rows are cut off from their files once."""
+    shared_root(products.sparkSession)
+    screened = screen_intake(intake, mode)
+    accepted = screened.accepted.checkpoint()
+    kinds = categories
+    if "category" in accepted.columns:
+        kinds = merge_categories(categories, accepted, seq)
+    merged = merge_stock_intake(products, kinds, accepted, seq)
+    return Imported(
+        merged, kinds, stock_entries_from_intake(merged, accepted, seq), screened.rejects
+    )

@@ -76,7 +76,7 @@ def top_products_week(t: RetailTables, as_of: date, n: int = 5) -> DataFrame:
         .orderBy(F.desc("units"), "product_id")
         .limit(n)
     )
-    ranked = number_rows(top, [F.desc("units"), F.col("product_id")], "rank", bounded_by=top)
+    ranked = number_rows(top, [F.desc("units"), F.col("product_id")], "rank", bounded_by=n)
     return ranked.select("rank", "name", F.col("units").alias("total_quantity"))
 
 

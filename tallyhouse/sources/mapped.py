@@ -6,11 +6,10 @@ Amounts go through whole cents, so every engine derives the same decimals.
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.functions.money import cents, from_cents
 from tallyhouse.sources.tables import RetailTables
 
 AS_OF = date(2001, 7, 31)
@@ -34,159 +33,151 @@ def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _credit() -> Column:
-    return F.col("payment_method") == "credit"
+def cents_of(amount: str) -> str:
+    return f"cast(rint({amount} * 100) as bigint)"
+
+
+def amount_of(cents: str) -> str:
+    """Whole cents as money."""
+    return f"cast(cast({cents} as decimal(18,0)) * 0.01BD as decimal(18,2))"
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = star(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
     # One row for each category: the window orders names, not products.
-    return kinds.select(
-        F.row_number().over(Window.orderBy("name")).cast("bigint").alias("id"),
+    kinds = star(spark, sf_dir, "part").selectExpr("p_type as name").distinct()
+    return kinds.selectExpr(
+        "cast(row_number() over (order by name) as bigint) as id",
         "name",
-        F.lit(None).cast("string").alias("description"),
+        "cast(null as string) as description",
     )
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("id"),
-        F.col("n_name").alias("username"),
-        F.col("n_name").alias("full_name"),
-        F.lit(True).alias("is_active"),
+    return star(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey as bigint) as id",
+        "n_name as username",
+        "n_name as full_name",
+        "true as is_active",
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = star(spark, sf_dir, "part").withColumn("price", cents(F.col("p_retailprice")))
-    kinds = categories(spark, sf_dir).select(
-        F.col("id").alias("category_id"), F.col("name").alias("p_type")
-    )
-    key = F.col("p_partkey")
-    return part.join(kinds, "p_type").select(
-        key.alias("id"),
-        F.concat("p_name", F.lit(" #"), key).alias("name"),
-        "category_id",
-        (key * 7 % 41).cast("int").alias("current_stock"),
-        (key % 6 + 5).cast("int").alias("reorder_level"),
-        from_cents(F.expr("price * 4 div 5")).alias("buying_price"),
-        from_cents(F.col("price")).alias("selling_price"),
-        (key % 20 != 0).alias("is_active"),
+    kinds = categories(spark, sf_dir).selectExpr("id as category_id", "name as p_type")
+    price = cents_of("p_retailprice")
+    return (
+        star(spark, sf_dir, "part")
+        .join(kinds, "p_type")
+        .selectExpr(
+            "p_partkey as id",
+            "concat(p_name, ' #', p_partkey) as name",
+            "category_id",
+            "cast(p_partkey * 7 % 41 as int) as current_stock",
+            "cast(p_partkey % 6 + 5 as int) as reorder_level",
+            f"{amount_of(f'({price} * 4 div 5)')} as buying_price",
+            f"{amount_of(price)} as selling_price",
+            "p_partkey % 20 != 0 as is_active",
+        )
     )
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = star(spark, sf_dir, "orders").withColumn("final", cents(F.col("o_totalprice")))
-    method = (
-        F.when(F.col("o_orderstatus") == "F", "cash")
-        .when(F.col("o_orderstatus") == "O", "mpesa")
-        .when(F.col("o_orderstatus") == "P", "credit")
-    )
-    priced = orders.withColumn("payment_method", method).withColumn(
-        "paid", F.when(_credit(), F.expr("final * (o_orderkey % 5) div 4")).otherwise(F.col("final"))
-    )
-    return priced.select(
-        F.col("o_orderkey").alias("id"),
-        F.concat(
-            F.lit("INV-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), "o_orderkey"
-        ).alias("receipt_number"),
-        from_cents(F.col("final")).alias("total_amount"),
-        F.lit(0).cast("decimal(18,2)").alias("discount"),
-        from_cents(F.col("final")).alias("final_amount"),
-        "payment_method",
-        from_cents(F.col("paid")).alias("amount_paid"),
-        from_cents(F.col("final") - F.col("paid")).alias("balance"),
-        F.when(_credit(), F.col("o_custkey")).alias("customer_id"),
-        F.lit(None).cast("string").alias("customer_phone"),
-        F.col("o_orderdate").alias("sale_date"),
-        (F.col("o_custkey") % 25).alias("user_id"),
+    final = cents_of("o_totalprice")
+    paid = f"if(o_orderstatus = 'P', {final} * (o_orderkey % 5) div 4, {final})"
+    return star(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id",
+        "concat('INV-', date_format(o_orderdate, 'yyyyMMdd'), '-', o_orderkey) as receipt_number",
+        f"{amount_of(final)} as total_amount",
+        "cast(0 as decimal(18,2)) as discount",
+        f"{amount_of(final)} as final_amount",
+        "case o_orderstatus when 'F' then 'cash' when 'O' then 'mpesa' when 'P' then 'credit' end"
+        " as payment_method",
+        f"{amount_of(paid)} as amount_paid",
+        f"{amount_of(f'({final} - {paid})')} as balance",
+        "if(o_orderstatus = 'P', o_custkey, null) as customer_id",
+        "cast(null as string) as customer_phone",
+        "o_orderdate as sale_date",
+        "o_custkey % 25 as user_id",
     )
 
 
 def named_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales with the customer's name on credit sales. Kept apart from
     ``sales`` so reports that show no name do not pay for the join."""
-    names = star(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name")
+    names = star(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as customer_id", "c_name as customer_name"
     )
     return sales(spark, sf_dir).join(names, "customer_id", "left")
 
 
 def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("sale_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        cents(F.col("l_extendedprice")).alias("extended"),
-    )
-    return lines.withColumn("price", F.expr("extended div quantity")).select(
-        "sale_id",
-        "product_id",
-        "quantity",
-        from_cents(F.col("price")).alias("price_at_sale"),
-        from_cents(F.col("price") * F.col("quantity")).alias("total"),
+    price = f"({cents_of('l_extendedprice')} div cast(l_quantity as int))"
+    return star(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as sale_id",
+        "l_partkey as product_id",
+        "cast(l_quantity as int) as quantity",
+        f"{amount_of(price)} as price_at_sale",
+        f"{amount_of(f'({price} * cast(l_quantity as int))')} as total",
     )
 
 
+OWING = "payment_method = 'credit' and balance > 0"
+
+
 def debtors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owing = named_sales(spark, sf_dir).filter(_credit() & (F.col("balance") > 0))
-    due = F.date_add(F.col("sale_date").cast("date"), (F.col("id") % 30 + 3).cast("int"))
-    return owing.select(
-        "id",
-        F.col("id").alias("sale_id"),
-        "customer_name",
-        "customer_phone",
-        F.col("final_amount").alias("total_owed"),
-        "amount_paid",
-        "balance",
-        F.when(F.col("id") % 10 != 0, due).alias("due_date"),
-        F.lit("pending").alias("status"),
-        F.col("sale_date").alias("created_at"),
+    return (
+        named_sales(spark, sf_dir)
+        .filter(OWING)
+        .selectExpr(
+            "id",
+            "id as sale_id",
+            "customer_name",
+            "customer_phone",
+            "final_amount as total_owed",
+            "amount_paid",
+            "balance",
+            "if(id % 10 = 0, null, date_add(cast(sale_date as date), cast(id % 30 + 3 as int)))"
+            " as due_date",
+            "'pending' as status",
+            "sale_date as created_at",
+        )
     )
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owing = sales(spark, sf_dir).filter(_credit() & (F.col("balance") > 0))
-    step = owing.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter(
-        F.col("k") <= F.col("id") % 4
-    )
-    paid_on = F.date_add(F.col("sale_date").cast("date"), F.col("k") * 7)
-    return step.withColumn("owed", cents(F.col("balance"))).select(
-        (F.col("id") * 10 + F.col("k")).alias("id"),
-        F.col("id").alias("debtor_id"),
-        from_cents(F.expr("owed div 5")).alias("amount"),
-        F.when(F.col("k") == 1, "cash").otherwise("mpesa").alias("payment_method"),
-        F.lit(None).cast("string").alias("notes"),
-        paid_on.cast("timestamp_ntz").alias("payment_date"),
-        (F.col("id") % 25).alias("user_id"),
+    return (
+        sales(spark, sf_dir)
+        .filter(OWING)
+        .selectExpr("id", "sale_date", "balance", "explode(array(1, 2, 3)) as k")
+        .filter("k <= id % 4")
+        .selectExpr(
+            "id * 10 + k as id",
+            "id as debtor_id",
+            f"{amount_of('(' + cents_of('cast(balance as double)') + ' div 5)')} as amount",
+            "if(k = 1, 'cash', 'mpesa') as payment_method",
+            "cast(null as string) as notes",
+            "cast(date_add(cast(sale_date as date), k * 7) as timestamp_ntz) as payment_date",
+            "id % 25 as user_id",
+        )
     )
 
 
 def stock_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "F")
-    names = star(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), "s_name"
-    )
-    returned = F.col("l_returnflag") == "R"
-    count = F.col("l_quantity").cast("int")
-    return lines.join(names, "l_suppkey").select(
-        F.col("l_partkey").alias("product_id"),
-        F.when(returned, -count).otherwise(count).alias("quantity"),
-        F.when(returned, "MANUAL_ADJUSTMENT").otherwise(F.col("s_name")).alias("supplier"),
-        F.lit(None).cast("string").alias("notes"),
-        F.col("l_shipdate").alias("entry_date"),
-        (F.col("l_suppkey") % 25).alias("user_id"),
+    names = star(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+    return (
+        star(spark, sf_dir, "lineitem")
+        .filter("l_linestatus = 'F'")
+        .join(names, "l_suppkey")
+        .selectExpr(
+            "l_partkey as product_id",
+            "cast(if(l_returnflag = 'R', -l_quantity, l_quantity) as int) as quantity",
+            "if(l_returnflag = 'R', 'MANUAL_ADJUSTMENT', s_name) as supplier",
+            "cast(null as string) as notes",
+            "l_shipdate as entry_date",
+            "l_suppkey % 25 as user_id",
+        )
     )
 
 
 def mapped_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
-    return RetailTables(
-        categories=categories(spark, sf_dir),
-        users=users(spark, sf_dir),
-        products=products(spark, sf_dir),
-        sales=sales(spark, sf_dir),
-        sale_items=sale_items(spark, sf_dir),
-        debtors=debtors(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        stock_entries=stock_entries(spark, sf_dir),
-    )
+    builders = (categories, users, products, sales, sale_items, debtors, payments, stock_entries)
+    return RetailTables(**{build.__name__: partial(build, spark, sf_dir) for build in builders})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,22 @@ from pyspark.sql import functions as F
 from tallyhouse.sources import schemas
 
 
-@dataclass(frozen=True)
 class RetailTables:
+    """The eight retail tables by attribute. A table may be given as a function
+    without arguments; it is then opened on first use, so a report only pays
+    for the tables it reads."""
+
+    NAMES = (
+        "categories",
+        "users",
+        "products",
+        "sales",
+        "sale_items",
+        "debtors",
+        "payments",
+        "stock_entries",
+    )
+
     categories: DataFrame
     users: DataFrame
     products: DataFrame
@@ -21,6 +36,22 @@ class RetailTables:
     payments: DataFrame
     stock_entries: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        if set(tables) != set(self.NAMES):
+            raise TypeError(f"expected the tables {', '.join(self.NAMES)}")
+        self._given = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise AttributeError(name)
+        table = self._given[name]
+        opened = table if isinstance(table, DataFrame) else table()
+        setattr(self, name, opened)
+        return opened
+
+    def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> RetailTables:
+        return RetailTables(**{**self._given, **tables})
+
 
 # Facts and the timestamp that decides their month folder. Sale lines carry no
 # date of their own and take the month of their sale.
@@ -39,7 +70,7 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, root: str) -> RetailTables:
-    return RetailTables(**{f.name: load_table(spark, root, f.name) for f in fields(RetailTables)})
+    return RetailTables(**{n: partial(load_table, spark, root, n) for n in RetailTables.NAMES})
 
 
 def _conform(df: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
