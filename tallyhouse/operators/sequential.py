@@ -55,7 +55,8 @@ def accept_in_order(
         return _fold_keys(events, openings, key, order, delta)
     small = _fold_keys(events.join(large, key, "left_anti"), openings, key, order, delta)
     hot = events.join(large, key, "left_semi").join(openings, key)
-    return small.unionByName(_fold_chunks(hot, key, order, delta, bucket, chunk_events))
+    settled = small.unionByName(_fold_chunks(hot, key, order, delta, bucket, chunk_events))
+    return settled.select(*events.columns, "accepted", "level_after")
 
 
 def _fold_keys(
