@@ -550,6 +550,13 @@ oracle(
 )
 oracle("sink_json_roundtrip", CATALOGUE)
 
+oracle(
+    "sink_json_answers",
+    """SELECT CAST(to_json({'id': c.id, 'name': c.name, 'product_count': n, 'initial': left(c.name, 1)})
+    AS VARCHAR) AS json FROM categories c
+    JOIN (SELECT category_id, count(*) AS n FROM products GROUP BY 1) ON category_id = c.id""",
+)
+
 # --- scalar functions ------------------------------------------------------
 
 oracle(

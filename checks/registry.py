@@ -26,17 +26,19 @@ def present(df: DataFrame) -> DataFrame:
     """Plain column types for comparison: double, bigint, text, boolean."""
     plain = []
     for field in df.schema.fields:
-        kind, column = field.dataType, F.col(f"`{field.name}`")
+        kind, name = field.dataType, f"`{field.name}`"
         if isinstance(kind, (T.DecimalType, T.FloatType)):
-            column = column.cast("double")
+            column = f"cast({name} as double)"
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-            column = column.cast("bigint")
+            column = f"cast({name} as bigint)"
         elif isinstance(kind, T.DateType):
-            column = column.cast("string")
+            column = f"cast({name} as string)"
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            column = text.stamp_label(column)
-        plain.append(column.alias(field.name))
-    return df.select(*plain)
+            column = f"date_format({name}, 'yyyy-MM-dd HH:mm:ss')"
+        else:
+            column = name
+        plain.append(f"{column} as {name}")
+    return df.selectExpr(*plain)
 
 
 def query(build: Query) -> Query:
@@ -379,6 +381,11 @@ def sink_json_roundtrip(spark, sf):
     return spark.read.schema(shelf.schema).json(path)
 
 
+@query
+def sink_json_answers(spark, sf):
+    return sinks.as_json(catalogue.categories_overview(_tables(spark, sf)))
+
+
 # --- scalar functions ------------------------------------------------------
 
 

@@ -54,8 +54,10 @@ def accept_in_order(
     if large.isEmpty():
         return _fold_keys(events, openings, key, order, delta)
     small = _fold_keys(events.join(large, key, "left_anti"), openings, key, order, delta)
-    hot = events.join(large, key, "left_semi").join(openings, key)
-    settled = small.unionByName(_fold_chunks(hot, key, order, delta, bucket, chunk_events))
+    hot = _fold_chunks(
+        events.join(large, key, "left_semi"), openings, key, order, delta, bucket, chunk_events
+    )
+    settled = small.unionByName(hot)
     return settled.select(*events.columns, "accepted", "level_after")
 
 
@@ -122,11 +124,16 @@ def _walk(chunks: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fold_chunks(
-    hot: DataFrame, key: str, order: Sequence[str], delta: str, bucket: str, chunk_events: int
+    hot: DataFrame,
+    openings: DataFrame,
+    key: str,
+    order: Sequence[str],
+    delta: str,
+    bucket: str,
+    chunk_events: int,
 ) -> DataFrame:
     spark = hot.sparkSession
     shared_root(spark)
-    columns = [c for c in hot.columns if c != "opening"]
     placed = running_count(hot, [key], F.col(bucket), [F.col(c) for c in order], "_pos")
     placed = placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / chunk_events)).checkpoint()
     key_type = placed.schema[key].dataType.simpleString()
@@ -135,10 +142,11 @@ def _fold_chunks(
     )
     walk_schema = f"{report_schema}, start bigint, known boolean"
 
-    def report(rows: pd.DataFrame, level: int) -> pd.DataFrame:
+    def report(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_pos")
-        _, levels, low, high = replay(rows[delta].to_numpy(), level)
         first = rows.iloc[0]
+        level = int(first["start"])
+        _, levels, low, high = replay(rows[delta].to_numpy(), level)
         return pd.DataFrame(
             {
                 key: [first[key]],
@@ -150,23 +158,25 @@ def _fold_chunks(
             }
         )
 
-    # First guess: nothing was refused before the chunk.
-    nets = placed.groupBy(key, "chunk", "opening").agg(F.sum(delta).alias("net"))
+    # First guess: nothing was refused before the chunk. Openings join the
+    # chunk totals, not the events of a large key.
+    nets = placed.groupBy(key, "chunk").agg(F.sum(delta).alias("net")).join(openings, key)
     walked = (
         nets.withColumns({"low": F.lit(0).cast("bigint"), "high": F.lit(0).cast("bigint")})
+        .select(key, "chunk", "opening", "low", "high", "net")
         .groupBy(key)
         .applyInPandas(_walk, walk_schema)
         .checkpoint()
     )
     while True:
-        wrong = walked.filter(~F.col("known")).select(key, "chunk", "start")
+        wrong = walked.filter(~F.col("known")).select(key, "chunk", "opening", "start")
         if wrong.isEmpty():
             break
         redone = (
-            placed.select(key, "chunk", "_pos", "opening", delta)
+            placed.select(key, "chunk", "_pos", delta)
             .join(wrong, [key, "chunk"])
             .groupBy(key, "chunk")
-            .applyInPandas(lambda rows: report(rows, int(rows["start"].iloc[0])), report_schema)
+            .applyInPandas(report, report_schema)
         )
         kept = walked.filter("known").drop("start", "known")
         walked = (
@@ -186,4 +196,4 @@ def _fold_chunks(
             answer, f"{key} {key_type}, _pos bigint, accepted boolean, level_after bigint"
         )
     )
-    return placed.join(answers, [key, "_pos"]).select(*columns, "accepted", "level_after")
+    return placed.join(answers, [key, "_pos"]).select(*hot.columns, "accepted", "level_after")
