@@ -781,7 +781,10 @@ oracle(
     CASE WHEN NOT ok THEN 'exceeds balance' END AS reject_reason FROM settled
     UNION ALL
     SELECT event_id, user_id, false, NULL, 'amount not positive' FROM events
-    WHERE round(value * 100) <= 100 AND user_id IN (SELECT id FROM debtors)""",
+    WHERE round(value * 100) <= 100 AND user_id IN (SELECT id FROM debtors)
+    UNION ALL
+    SELECT event_id, user_id, false, NULL, 'unknown debtor' FROM events
+    WHERE user_id NOT IN (SELECT id FROM debtors)""",
     base=IN_ORDER,
 )
 oracle(

@@ -139,7 +139,7 @@ def receipts(t: RetailTables, page_lines: int = RECEIPT_PAGE_LINES) -> DataFrame
     line = F.struct(*LINE_ORDER, "product", "total")
     pages = (
         _paged(t.sale_items, page_lines)
-        .join(names, "product_id")
+        .join(names, "product_id", "left")
         # Nesting shrinks nothing, so rows move once and are nested after that.
         .repartition("sale_id", "page")
         .groupBy("sale_id", "page")
@@ -149,7 +149,7 @@ def receipts(t: RetailTables, page_lines: int = RECEIPT_PAGE_LINES) -> DataFrame
     staff = t.users.select(F.col("id").alias("user_id"), F.col("username").alias("cashier"))
     none = F.array().cast(pages.schema["lines"].dataType)
     return (
-        t.sales.join(staff, "user_id")
+        t.sales.join(staff, "user_id", "left")
         .join(pages, "id", "left")
         .select(
             "id",

@@ -130,6 +130,12 @@ def duplicate_receipts(sales: DataFrame) -> DataFrame:
     )
 
 
+def _refused(events: DataFrame, reason: str) -> DataFrame:
+    return events.select(
+        "*", F.lit(False).alias("accepted"), F.lit(reason).alias("reject_reason")
+    )
+
+
 @dataclass(frozen=True)
 class Adjusted:
     products: DataFrame
@@ -147,10 +153,9 @@ def adjustment_log(
     ``seq`` that orders them; ``bucket`` rises with ``seq``. Anything but
     ``remove`` adds.
     """
-    # Column names of the inner work; quantity <= 0 is settled before it.
-    known = adjustments.join(
-        products.select(F.col("id").alias("product_id")), "product_id", "left_semi"
-    )
+    listed = products.select(F.col("id").alias("product_id"))
+    known = adjustments.join(listed, "product_id", "left_semi")
+    unknown = adjustments.join(listed, "product_id", "left_anti")
     count = F.col("quantity").cast("bigint")
     signed = F.when(F.col("adjustment_type") == "remove", -count).otherwise(count)
     positive = known.filter(F.col("quantity") > 0).withColumn("delta", signed)
@@ -161,8 +166,9 @@ def adjustment_log(
     settled = accept_in_order(
         positive, openings, "product_id", order, "delta", bucket, **sizes
     ).withColumn("reject_reason", F.when(~F.col("accepted"), "exceeds stock"))
-    refused = known.filter(~(F.coalesce(F.col("quantity"), F.lit(0)) > 0)).select(
-        "*", F.lit(False).alias("accepted"), F.lit("quantity not positive").alias("reject_reason")
+    useless = known.filter(~(F.coalesce(F.col("quantity"), F.lit(0)) > 0))
+    refused = _refused(useless, "quantity not positive").unionByName(
+        _refused(unknown, "unknown product")
     )
     return settled.unionByName(refused, allowMissingColumns=True)
 
@@ -264,14 +270,15 @@ class Paid:
 def payment_log(
     debtors: DataFrame, payments: DataFrame, order: Sequence[str], bucket: str, **sizes: int
 ) -> DataFrame:
-    """Every payment of a known debtor with its outcome, in order.
+    """Every payment with its outcome.
 
-    A payment above the balance left at that moment is refused and does not
-    count for later ones.
+    ``order`` is total inside a debtor and ``bucket`` rises with it. A payment
+    above the balance left at that moment is refused and does not count for
+    later ones.
     """
-    known = payments.join(
-        debtors.select(F.col("id").alias("debtor_id")), "debtor_id", "left_semi"
-    )
+    listed = debtors.select(F.col("id").alias("debtor_id"))
+    known = payments.join(listed, "debtor_id", "left_semi")
+    unknown = payments.join(listed, "debtor_id", "left_anti")
     positive = known.filter(F.col("amount") > 0).withColumn("delta", -cents(F.col("amount")))
     openings = debtors.select(
         F.col("id").alias("debtor_id"), cents(F.col("balance")).alias("opening")
@@ -282,8 +289,9 @@ def payment_log(
         .withColumn("reject_reason", F.when(~F.col("accepted"), "exceeds balance"))
         .drop("delta", "level_after")
     )
-    refused = known.filter(~(F.coalesce(F.col("amount"), F.lit(0)) > 0)).select(
-        "*", F.lit(False).alias("accepted"), F.lit("amount not positive").alias("reject_reason")
+    useless = known.filter(~(F.coalesce(F.col("amount"), F.lit(0)) > 0))
+    refused = _refused(useless, "amount not positive").unionByName(
+        _refused(unknown, "unknown debtor")
     )
     return settled.unionByName(refused, allowMissingColumns=True)
 

@@ -92,7 +92,7 @@ def debtor_lines(t: RetailTables) -> DataFrame:
     names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     return (
         t.sale_items.join(owing, "sale_id")
-        .join(names, "product_id")
+        .join(names, "product_id", "left")
         .select("debtor_id", "product", "quantity", "price_at_sale", "total")
     )
 

@@ -101,7 +101,10 @@ def write_tables(tables: RetailTables, root: str) -> None:
         out = _conform(df.withColumn("month", _month(MONTH_OF[name])), name, ("month",))
         _by_month(out).write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
     months = tables.sales.select(F.col("id").alias("sale_id"), _month("sale_date"))
-    items = tables.sale_items.join(months, "sale_id")
+    # A line without its sale is kept, under the month of undated sales.
+    items = tables.sale_items.join(months, "sale_id", "left").withColumn(
+        "month", F.coalesce("month", F.lit("unknown"))
+    )
     out = _conform(items, "sale_items", ("month",))
     _by_month(out).write.mode("overwrite").partitionBy("month").parquet(f"{root}/sale_items")
 

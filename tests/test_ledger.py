@@ -59,6 +59,7 @@ def test_adjustments(spark, shop, sizes):
     ]
     assert sorted(rows(done.rejects, "seq", "reject_reason")) == [
         (1, "exceeds stock"), (3, "exceeds stock"), (6, "quantity not positive"),
+        (7, "unknown product"),
     ]
     stock = dict(rows(done.products, "id", "current_stock"))
     assert (stock[1], stock[2], len(stock)) == (1, 0, 7)
