@@ -360,7 +360,7 @@ oracle(
 oracle(
     "dead_stock",
     f"""SELECT id AS product_id, name, category, stock AS current_stock,
-    {money("stock * buy", "value_at_risk")}, 30 AS days_unsold FROM products
+    {money("stock * buy", "value_at_risk")}, CAST(30 AS BIGINT) AS days_unsold FROM products
     WHERE active AND stock > 0 AND id NOT IN (SELECT product_id FROM daily)""",
 )
 MARGIN = "CASE WHEN sell > 0 THEN ((sell - buy) / 100e0) / (sell / 100e0) * 100 ELSE 0 END"
@@ -482,7 +482,7 @@ oracle(
 )
 oracle(
     "receipts",
-    f"""SELECT s.id, receipt_number, strftime(sale_date, {STAMP}) AS date, 0 AS page,
+    f"""SELECT s.id, receipt_number, strftime(sale_date, {STAMP}) AS date, CAST(0 AS BIGINT) AS page,
     coalesce(lines, '') AS lines, {money("final", "subtotal")}, 0e0 AS discount,
     {money("final", "total")}, {money("s.paid", "paid")}, {money("s.balance", "balance")},
     upper(method) AS payment_method, customer_name, username AS cashier
@@ -536,7 +536,7 @@ oracle(
 )
 oracle(
     "intake_json_explode",
-    """SELECT seq, 0 AS line, trim(name) AS name, seq AS category_id, quantity, buying_price,
+    """SELECT seq, CAST(0 AS BIGINT) AS line, trim(name) AS name, seq AS category_id, quantity, buying_price,
     selling_price, supplier FROM intake
     UNION ALL SELECT seq, 1, 'twin', NULL, quantity, buying_price, selling_price, '' FROM intake""",
 )

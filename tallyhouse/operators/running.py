@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_day(ts: str) -> Column:
-    """Day stretches; rows without a time come first, as they sort."""
-    return F.coalesce(F.col(ts).cast("date"), F.lit("0001-01-01").cast("date"))
+def by_hour(ts: str) -> Column:
+    """Stretches of an hour; rows without a time come first, as they sort."""
+    hour = F.unix_date(F.col(ts).cast("date")).cast("bigint") * 24 + F.hour(ts)
+    return F.coalesce(hour, F.lit(-(1 << 40)))
 
 
 def running_total(
@@ -23,8 +24,8 @@ def running_total(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over this and all earlier rows of the key.
 
-    ``bucket`` cuts each key into consecutive stretches of the order (a day, a
-    range of ids). Stretches are totalled with map-side combine, the totals are
+    ``bucket`` cuts each key into consecutive stretches of the order (an hour,
+    a range of ids). Stretches are totalled with map-side combine, the totals are
     accumulated per key, and rows are only ordered inside their own stretch: no
     task sees a whole key.
     """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import pricing
 from tallyhouse.functions.money import MONEY, TOTAL, cents, from_cents
-from tallyhouse.operators.running import by_day, running_total
+from tallyhouse.operators.running import by_hour, running_total
 from tallyhouse.operators.sequential import accept_in_order
 from tallyhouse.plans.intake import next_ids
 
@@ -91,7 +91,7 @@ def oversell_audit(
     levels = running_total(
         movements(stock_entries, sale_items, sales),
         ["product_id"],
-        by_day("at"),
+        by_hour("at"),
         [F.col(c) for c in ("at", "kind", "sale_id", "moved", "price_at_sale")],
         F.col("moved"),
         "stock_after",

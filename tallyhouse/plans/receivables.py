@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import debt, pricing, text
 from tallyhouse.functions.money import total
-from tallyhouse.operators.running import by_day, running_total
+from tallyhouse.operators.running import by_hour, running_total
 from tallyhouse.sources.tables import RetailTables
 
 
@@ -120,13 +120,13 @@ def debtor_statement(t: RetailTables) -> DataFrame:
     """Payments oldest first, with the sum paid and the balance left after each.
 
     The opening is what was owed before the first recorded payment; the
-    running sum is cut by day, so one debtor's history needs no single task.
+    running sum is cut by the hour, so one debtor's history needs no single task.
     """
     owed = t.debtors.select(F.col("id").alias("debtor_id"), "customer_name", "total_owed")
     paid = running_total(
         t.payments,
         ["debtor_id"],
-        by_day("payment_date"),
+        by_hour("payment_date"),
         [F.col("payment_date"), F.col("id")],
         F.col("amount"),
         "paid_to_date",

@@ -132,3 +132,14 @@ def test_reports_over_stored_tables_prune_months(spark, shop, tmp_path):
     ]
     lines = sales.L.of_sales(stored.sale_items, stored.sales.filter("sale_date > '2024-03-01'"))
     assert "dynamicpruning" in lines._jdf.queryExecution().toString().lower()
+
+
+def test_hours_rise_with_time_and_missing_times_come_first(spark):
+    from datetime import datetime
+
+    from tallyhouse.operators.running import by_hour
+
+    times = [None, datetime(1969, 12, 31, 23), datetime(1970, 1, 1), datetime(2024, 3, 13, 1, 59)]
+    df = spark.createDataFrame(list(enumerate(times)), "i int, t timestamp_ntz")
+    got = [r.h for r in df.select("i", by_hour("t").alias("h")).orderBy("i").collect()]
+    assert got == sorted(got) and got[1:3] == [-1, 0]
