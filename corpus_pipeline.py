@@ -1,7 +1,8 @@
 """Corpus cleaning: language ID, exact dedup, near dedup, mixing and packing, one stage after another.
 
 Each stage reads what the one before it kept, as written. The filtering stages and the mix return the
-columns of ``documents``, the last one the pieces of packed sequences. Rows are told apart by doc_id.
+columns of ``documents``, the last one the pieces of packed sequences. Rows are told apart by doc_id
+and text; rows that repeat both share one decision.
 """
 
 from __future__ import annotations
@@ -10,41 +11,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import bytecnn, cuckoo, mixing, packing, simhash
-from tallyhouse.llm.common import documents, saved
+from tallyhouse.llm.common import documents, lower_ascii, saved
 from tallyhouse.llm.queries import language_held_out, tokenizer
 
 #: Not expressible in SQL: a trained network, Newton steps and a tokenizer.
 ORACLE_SQL = None
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id (null included) is in ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def chosen(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """The documents whose doc_id (null included) and text's hash are among ``picks``."""
+    picks = picks.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(picks, docs["doc_id"].eqNullSafe(picks["_id"]) & (F.xxhash64(docs["text"]) == picks["_hash"]), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter go."""
     net = bytecnn.fit(docs, ~language_held_out())
     found = saved(bytecnn.identify(docs, net), "languages")
-    return rows_of(docs, found.filter(F.col("lang_pred") != bytecnn.UNDETERMINED))
+    return chosen(docs, found.filter(F.col("lang_pred") != bytecnn.UNDETERMINED))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, A-Z lowered."""
-    return rows_of(docs, cuckoo.exact_dedup(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """One document of each text, A-Z lowered: the one with the largest doc_id."""
+    kept = cuckoo.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+    own = docs.withColumn("_own", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    left = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_own"] == kept["_sha256"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by fingerprints."""
-    return rows_of(docs, simhash.near_dedup(docs).filter(F.col("doc_id") == F.col("component_id")))
+    """One document of each group linked by fingerprints: the one with the smallest doc_id."""
+    found = simhash.near_dedup(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
+    return chosen(docs, found.groupBy("root").agg(first).select("first.doc_id", "first.hash"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies."""
-    plan = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    plan = plan.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    plan = mixing.mix(docs).groupBy("doc_id", "hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    plan = plan.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & (F.xxhash64(docs["text"]) == plan["_hash"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

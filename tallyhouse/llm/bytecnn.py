@@ -209,7 +209,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row, from the text alone."""
+    """doc_id, hash (xxhash64 of the text), lang_pred and score of every row, from the text alone."""
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(net) if net else None
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                     mean = np.add.reduceat(found * lengths[:, None], firsts) / np.add.reduceat(lengths, firsts)[:, None]
                     for k, p in zip(known, mean, strict=True):
                         langs[k], scores[k] = net.labels[int(p.argmax())], min(1.0, float(p.max()))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("hash"), pa.array(langs), pa.array(scores)], ["doc_id", "hash", "lang_pred", "score"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(text_col).alias("hash"))
+    return rows.mapInArrow(predicted, "doc_id long, hash long, lang_pred string, score double")

@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that lost executors cost no lineage."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}/{what}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

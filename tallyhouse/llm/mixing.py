@@ -33,11 +33,11 @@ STEPS = 40
 STRATUM_ROWS = 20_000
 #: A source is balanced when its rates give its target up to this share.
 CLOSE = 1e-9
-SIZED = "doc_id long, source string, size long, part int, seq long"
+SIZED = "doc_id long, hash long, source string, size long, part int, seq long"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Id, source, words and position of every row."""
+    """Id, hash of the text, source, words and position of every row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = partition_id(), 0
@@ -45,8 +45,8 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             n = batch.num_rows
             size = np.fromiter((len(x.as_buffer().to_pybytes().split()) for x in batch.column("text")), np.int64, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), pa.array(size), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int64))],
-                ["doc_id", "source", "size", "part", "seq"],
+                [batch.column("doc_id"), batch.column("hash"), batch.column("source"), pa.array(size), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int64))],
+                ["doc_id", "hash", "source", "size", "part", "seq"],
             )
             seq += n
 
@@ -54,6 +54,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         docs[id_col].cast("long").alias("doc_id"),
         docs[source_col].cast("string").alias("source"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
+        F.xxhash64(docs[text_col]).alias("hash"),
     )
     return rows.mapInArrow(counted, SIZED)
 
@@ -141,7 +142,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken, part, seq of every row."""
+    """doc_id, hash, source, size, source_size, target, rate, copies, taken, part, seq of every row."""
     rows = saved(sized(docs, id_col, text_col, source_col), "sized")
     classes = saved(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
     sizes = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -157,14 +158,14 @@ def mix(
     rated = joined.withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.least(F.lit(float(most)), F.exp(exponent)), F.lit(float(most)))))
     strata = F.ceil(F.col("docs") / STRATUM_ROWS)
     rated = rated.withColumn("stratum", F.pmod(F.xxhash64("doc_id", "seq"), strata))
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long, part int, seq long"
+    schema = "doc_id long, hash long, source string, size long, source_size long, target double, rate double, copies long, taken long, part int, seq long"
 
     def rounded(stratum: pd.DataFrame) -> pd.DataFrame:
         stratum = stratum.sort_values(["size", "doc_id", "part", "seq"], ascending=[False, True, True, True])
         copies = round_copies(stratum, most)
         return stratum.assign(copies=copies, taken=copies * stratum["size"])[[x.split()[0] for x in schema.split(", ")]]
 
-    columns = ["source", "size", "source_size", "target", "rate", "part", "seq", "stratum"]
+    columns = ["hash", "source", "size", "source_size", "target", "rate", "part", "seq", "stratum"]
     rated = rated.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *columns)
     taken = rated.groupBy("source", "stratum").applyInPandas(rounded, schema)
     return taken.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

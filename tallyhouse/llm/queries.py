@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bytecnn, cuckoo, mixing, packing, simhash
+from tallyhouse.llm import brown, bytecnn, cuckoo, mixing, packing, phrases, sharding, simhash, temporal, weighted
 from tallyhouse.llm.common import Query, documents
 
 
@@ -27,6 +27,53 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op4_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(documents(spark, sf_dir), bytecnn.remainder(F.col("doc_id"), 10) == 0)
+
+
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.weighted_fingerprints(documents(spark, sf_dir))
+
+
+def number_of(text: Column) -> Column:
+    """24 bits of a text's MD5, which DuckDB computes alike."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("int")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures: the page id sets the fetch day."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(730)).cast("int"))
+    return pages.select("page_id", "url", day.alias("fetched_on"))
+
+
+def list_entries(rows: DataFrame) -> DataFrame:
+    """A dated list of hosts, their parent domains and first path segments, derived from the captures.
+
+    A number from the key's hash chooses category and days: listed, withdrawn and perhaps listed again.
+    """
+    host, segment = temporal.host_of(F.col("url")), temporal.segment_of(F.col("url"))
+    parent = F.regexp_replace(host, r"^[^.]+\.", "")
+    keys = rows.select(F.explode(F.array(host, parent, F.concat(host, F.lit("/"), segment))).alias("key")).distinct()
+    keys = keys.withColumn("v", number_of(F.col("key"))).filter("v % 3 <> 0")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), F.col("v") % 400)
+    end = F.date_add(first, 20 + F.col("v") % 170)
+    again = F.date_add(end, 10 + F.col("v") % 110)
+    entry = lambda action, day: F.struct(F.lit(action).alias("action"), day.alias("listed_on"))
+    log = F.array(entry("add", first), entry("remove", end), F.when(F.col("v") % 2 == 0, entry("add", again)))
+    category = F.element_at(F.array(*map(F.lit, ("spam", "malware", "adult", "tracker"))), F.col("v") % 4 + 1)
+    return keys.select("key", category.alias("category"), F.explode(F.array_compact(log)).alias("e")).select("key", "category", "e.*")
+
+
+def op6_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = captures(spark, sf_dir)
+    return temporal.temporal_filter(rows, list_entries(rows))
+
+
+def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.recurring_passages(documents(spark, sf_dir)).drop("spans")
+
+
 def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,12 +90,22 @@ def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.balanced_shards(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_entropy_mixing": op3_entropy_mixing,
+    "op4_brown_scores": op4_brown_scores,
+    "op5_weighted_sampling": op5_weighted_sampling,
+    "op6_temporal_list_join": op6_temporal_list_join,
+    "op7_phrase_automata": op7_phrase_automata,
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_byte_cnn_language": op9_byte_cnn_language,
+    "op10_label_propagation": op10_label_propagation,
 }
 
 ORACLES: dict[str, str] = {
@@ -60,4 +117,34 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op6_temporal_list_join": r"""
+        WITH captures AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 730 AS INT) AS fetched_on,
+                lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+                coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
+            FROM pages
+        ), keys AS (
+            SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS INT) AS v FROM (
+                SELECT host AS key FROM captures
+                UNION SELECT regexp_replace(host, '^[^.]+[.]', '') FROM captures
+                UNION SELECT host || '/' || segment FROM captures)
+        ), listed AS (
+            SELECT key, v, ['spam', 'malware', 'adult', 'tracker'][v % 4 + 1] AS category, DATE '2024-01-01' + v % 400 AS first_on
+            FROM keys WHERE v % 3 <> 0
+        ), spans AS (
+            SELECT key, category, first_on AS valid_from, first_on + (20 + v % 170) AS valid_to FROM listed
+            UNION ALL
+            SELECT key, category, first_on + (20 + v % 170) + (10 + v % 110), DATE '9999-01-01' FROM listed WHERE v % 2 = 0
+        ), candidates AS (
+            SELECT page_id, fetched_on, unnest(
+                list_transform(range(1, greatest(2, len(string_split(host, '.')))), lambda k: array_to_string(string_split(host, '.')[k:], '.'))
+                || CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) AS key
+            FROM captures WHERE host <> ''
+        ), verdicts AS (
+            SELECT page_id, count(*) AS n_active, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
+            FROM candidates JOIN spans USING (key) WHERE fetched_on >= valid_from AND fetched_on < valid_to GROUP BY page_id
+        )
+        SELECT page_id, url, fetched_on, host, coalesce(n_active, 0) AS n_active, coalesce(categories, '') AS categories, n_active IS NOT NULL AS blocked
+        FROM captures LEFT JOIN verdicts USING (page_id)
+    """,
 }

@@ -63,15 +63,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, hash (xxhash64 of the text) and fp (the 64 bits as a signed long) of every row."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes(), shingle) for x in batch.column("text")]
             values = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), values], ["doc_id", "hash", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(marked, "doc_id long, fp long")
+    rows = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    return rows.mapInArrow(marked, "doc_id long, hash long, fp long")
 
 
 def _values(batch: pa.RecordBatch, column: str = "fp") -> np.ndarray:
@@ -320,11 +321,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, fp and component_id (smallest id reachable) of every row."""
+    """doc_id, hash, fp, root (a fingerprint that stands for the component) and component_id (its smallest id)."""
     rows = saved(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = saved(components(links(distinct, distance)), "roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "hash", "fp", "root", "component_id")
