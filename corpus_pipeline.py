@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def chosen(docs: DataFrame, picks: DataFrame) -> DataFrame:
     """The documents whose doc_id (null included) and text's hash are among ``picks``."""
     picks = picks.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(picks, docs["doc_id"].eqNullSafe(picks["_id"]) & (F.xxhash64(docs["text"]) == picks["_hash"]), "left_semi")
+    return docs.join(picks, docs["doc_id"].eqNullSafe(picks["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == picks["_hash"]), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies."""
     plan = mixing.mix(docs).groupBy("doc_id", "hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
     plan = plan.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & (F.xxhash64(docs["text"]) == plan["_hash"]))
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == plan["_hash"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

@@ -231,5 +231,5 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                         langs[k], scores[k] = net.labels[int(p.argmax())], min(1.0, float(p.max()))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("hash"), pa.array(langs), pa.array(scores)], ["doc_id", "hash", "lang_pred", "score"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"))
     return rows.mapInArrow(predicted, "doc_id long, hash long, lang_pred string, score double")

@@ -54,7 +54,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         docs[id_col].cast("long").alias("doc_id"),
         docs[source_col].cast("string").alias("source"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
-        F.xxhash64(docs[text_col]).alias("hash"),
+        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"),
     )
     return rows.mapInArrow(counted, SIZED)
 
