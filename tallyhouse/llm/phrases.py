@@ -100,6 +100,13 @@ def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("shard", "text", "seeds").mapInArrow(found, "window long, shard int, twice boolean")
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Automaton:
     """Phrases of words, found in texts whose words are joined by single spaces."""
 
@@ -129,7 +136,7 @@ def covered(text: bytes, automaton: Automaton, confirmed: np.ndarray, window: in
     np.add.at(near, np.minimum(hits + 1, count), -1)
     at = np.flatnonzero(np.cumsum(near)[:count] > 0)
     words = gram_hashes(word_hashes(text, starts, ends), window)[at]
-    found = at[np.isin(_signed(words), confirmed)]
+    found = at[among(_signed(words), confirmed)]
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, found, 1)
     np.add.at(cover, found + window, -1)
@@ -145,7 +152,7 @@ def _removed(window: int, phrase: int):
             for text in data:
                 starts, ends = word_spans(text)
                 words = word_hashes(text, starts, ends)
-                own = np.isin(_signed(gram_hashes(words, window)), confirmed)
+                own = among(_signed(gram_hashes(words, window)), confirmed)
                 least = least_phrases(words, window, phrase)[own]
                 for at in np.flatnonzero(np.isin(gram_hashes(words, phrase), least)).tolist() if len(least) else ():
                     phrases.add(joined(text, starts[at : at + phrase], ends[at : at + phrase]).decode())
