@@ -174,7 +174,8 @@ def recurring_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRA
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
     seeds = saved(_seeds(rows, window, phrase), "seeds")
     places = seeds.select("id", "hash", F.explode("seeds").alias("seed"))
-    recurring = places.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    # saved, so that the join below has plain inputs and Spark can split a phrase of many documents
+    recurring = saved(places.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "recurring")
     lists = places.join(recurring, "seed", "left_semi").groupBy("id", "hash").agg(F.collect_set("seed").alias("seeds"))
     shards = max(4 * shuffle_partitions(spark), -(-seeds.count() // SHARD_DOCS))
     shard = F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).cast("int")
