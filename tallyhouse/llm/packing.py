@@ -10,7 +10,8 @@ than ten thousand small pieces in all whatever the input, is packed first-fit by
 
 Token ids come from a tokenizers file. A text is cut at single spaces that stand between other
 characters: its byte-level pre-tokenizer never joins across them, so each stretch is encoded by the
-tokenizer once and kept by the worker. Stretches beyond ``KEPT`` are encoded each time they occur.
+tokenizer once and kept by the worker. A new stretch is first cut where it certainly ends a token
+(``INSIDE``), as most of its parts are known. Stretches beyond ``KEPT`` are encoded each time they occur.
 
 Defined results: null or empty text is the end token alone; null ids are carried; repeated rows are
 documents of their own; other columns are not read; an empty table gives no rows.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import ChainMap, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ CAPACITY = 2048
 CLASSES = 32
 END = 1
 #: Stretches of text whose ids a worker keeps.
-KEPT = 800_000
+KEPT = 1_200_000
 
 PIECES = "part long, size int, number long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 #: Numbers of sequences: of worker p from (p + 1) << WORKER, of class s filled across workers from s << CLASS.
@@ -44,6 +45,8 @@ WORKER, CLASS = 38, 26
 #: A single space after and before something that isn't white space starts a stretch of its own.
 APART = re.compile(r"(?<=\S) (?=\S)")
 MORE_SPACE = re.compile(r"\s | \s")
+#: Inside a stretch: before punctuation after a letter or digit, and around a single line end.
+INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ0-9])(?=[.,;:!?])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
 def stretches_of(text: str) -> list[str]:
@@ -98,11 +101,16 @@ class Encoder:
         for text in some:
             special = any(x in text for x in self.specials)
             cut.append(None if special else stretches_of(text) if text else [])
-        missing = list({x for stretches in cut if stretches for x in stretches if x not in self.kept})
-        new = self._learn(missing)
-        room = KEPT - len(self.kept)
-        self.kept.update(list(new.items())[: max(0, room)])
-        known = self.kept if room >= len(new) else {**new, **{x: self.kept[x] for s in cut if s for x in s if x in self.kept}}
+        known = self.kept
+        missing = {x: INSIDE.split(x) for stretches in cut if stretches for x in stretches if x not in known}
+        if missing:
+            new = self._learn(list({y for parts in missing.values() for y in parts if y not in known}))
+            for x, parts in missing.items():
+                new[x] = b"".join([known[y] if y in known else new[y] for y in parts])
+            if len(known) + len(new) <= KEPT:
+                known.update(new)
+            else:
+                known = ChainMap(new, known)
         return [
             self._plain(text) if stretches is None else b"".join([known[x] for x in stretches])
             for text, stretches in zip(some, cut, strict=True)
