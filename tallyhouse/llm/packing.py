@@ -19,7 +19,9 @@ documents of their own; other columns are not read; an empty table gives no rows
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections import ChainMap, defaultdict
 from collections.abc import Iterator
@@ -48,6 +50,16 @@ MORE_SPACE = re.compile(r"\s | \s")
 #: Inside a stretch: before punctuation after a letter or digit, and around a single line end.
 INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ0-9])(?=[.,;:!?])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
+#: Stretches that are one token to the pre-tokenizer: letters, digits or punctuation alone.
+WHOLE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[.,;:!?]+)|\n")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next from 256."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printing]
+    return {b: b for b in printing} | {b: 256 + k for k, b in enumerate(others)}
+
 
 def stretches_of(text: str) -> list[str]:
     plain = text[0] != " " and text[-1] != " " and not MORE_SPACE.search(text)
@@ -75,14 +87,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self._plain("\n")
+        self.letters = byte_letters()
+        kind = json.loads(self.tokenizer.to_str())
+        self.byte_level = kind["normalizer"] is None and kind["pre_tokenizer"]["type"] == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"]
         self.kept: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of stretches: those without a line end are encoded many at a time, with line ends between."""
-        found, joined = {}, [x for x in missing if "\n" not in x]
+        """Ids of stretches.
+
+        Stretches that are one token to a byte-level pre-tokenizer go to the tokenizer's model as they are;
+        others without a line end are encoded many at a time, with line ends between.
+        """
+        found, model = {}, self.tokenizer.model
+        if self.byte_level:
+            for x in missing:
+                if WHOLE.fullmatch(x):
+                    tokens = model.tokenize(x.encode().decode("latin-1").translate(self.letters))
+                    found[x] = struct.pack(f"<{len(tokens)}I", *[y.id for y in tokens])
+            missing = [x for x in missing if x not in found]
+        joined = [x for x in missing if "\n" not in x]
         for at in range(0, len(joined), 500):
             some = joined[at : at + 500]
             ids = np.frombuffer(self._plain("\n".join(some)), "<u4")
