@@ -439,8 +439,9 @@ oracle(
 oracle(
     "debtor_statement",
     f"""SELECT debtor_id, customer_name, payment_id, payment_date, amount, payment_method,
-    {money("run", "paid_to_date")}, {money("owed - run", "left_to_pay")}
-    FROM (SELECT debtor_id, customer_name, p.id AS payment_id, owed,
+    {money("run", "paid_to_date")}, {money("balance + total - run", "left_to_pay")}
+    FROM (SELECT debtor_id, customer_name, p.id AS payment_id, balance,
+          sum(p.amount) OVER (PARTITION BY debtor_id) AS total,
           strftime(payment_date, {STAMP}) AS payment_date, {money("p.amount", "amount")},
           method AS payment_method,
           sum(p.amount) OVER (PARTITION BY debtor_id ORDER BY p.payment_date, p.id) AS run

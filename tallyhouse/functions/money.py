@@ -23,8 +23,8 @@ def total(value: Column) -> Column:
 
 
 def cents(value: Column) -> Column:
-    """Money as a whole number of cents (exact below 2**53)."""
-    return F.rint(value.cast("double") * 100).cast("bigint")
+    """Money as a whole number of cents."""
+    return (money(value) * 100).cast("bigint")
 
 
 def from_cents(value: Column) -> Column:

@@ -21,9 +21,14 @@ def sanitize_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\w\s-]", "")
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends; ``trim`` takes blanks only."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def parse_date(text: Column, as_of: date) -> Column:
-    """ISO date, or ``as_of`` where the text is not one."""
-    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.lit(as_of))
+    """Year, month and day with or without leading zeros, or ``as_of`` where the text is no date."""
+    return F.coalesce(F.try_to_date(text, "yyyy-M-d"), F.lit(as_of))
 
 
 def walk_in(customer: Column) -> Column:
@@ -52,4 +57,5 @@ def time_label(ts: Column) -> Column:
 
 def contains(text: Column, term: str) -> Column:
     """Case-insensitive containment; ``%`` and ``_`` in the term stay wildcards."""
-    return text.ilike(f"%{term}%")
+    escaped = term.replace("\\", "\\\\")
+    return text.ilike(f"%{escaped}%")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import strip
+
 
 def _price_error(price: Column, label: str) -> Column:
     number = price.try_cast("double")
@@ -20,7 +22,7 @@ def stock_entry_errors(name: Column, quantity: Column, buying: Column, selling:
     return F.array_compact(
         F.array(
             F.when(
-                F.coalesce(F.length(F.trim(name)), F.lit(0)) < 2,
+                F.coalesce(F.length(strip(name)), F.lit(0)) < 2,
                 "Product name must be at least 2 characters",
             ),
             F.when(count.isNull(), "Quantity must be a valid number").when(

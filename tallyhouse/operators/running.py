@@ -29,7 +29,8 @@ def running_total(
     accumulated per key, and rows are only ordered inside their own stretch: no
     task sees a whole key.
     """
-    df = df.withColumn("_bucket", bucket)
+    # In a struct, so that rows of a null bucket meet their own total and come first.
+    df = df.withColumn("_bucket", F.struct(bucket.alias("at")))
     totals = df.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     earlier = (
         Window.partitionBy(*keys)

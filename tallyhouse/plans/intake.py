@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import strip
 from tallyhouse.functions.validation import intake_reject_reason
 from tallyhouse.operators.ranking import number_rows
 from tallyhouse.sources.sinks import shared_root
@@ -42,7 +43,7 @@ def screen_intake(intake: DataFrame, mode: str = "skip") -> Screened:
     return Screened(
         accepted.withColumns(
             {
-                "name": F.trim("name"),
+                **{c: strip(F.col(c)) for c in ("name", "category") if c in intake.columns},
                 "quantity": F.col("quantity").try_cast("int"),
                 "buying_price": F.col("buying_price").try_cast("decimal(18,2)"),
                 "selling_price": F.col("selling_price").try_cast("decimal(18,2)"),
@@ -63,7 +64,7 @@ def next_ids(
 
 def merge_categories(categories: DataFrame, intake: DataFrame, seq: str = "seq") -> DataFrame:
     """All categories, with those first named by the intake added at the end."""
-    named = intake.groupBy(F.trim("category").alias("name")).agg(F.min(seq).alias("_first"))
+    named = intake.groupBy(strip(F.col("category")).alias("name")).agg(F.min(seq).alias("_first"))
     missing = named.join(categories.select("name"), "name", "left_anti")
     added = next_ids(missing, categories, [F.col("_first"), F.col("name")]).drop("_first")
     return categories.unionByName(added, allowMissingColumns=True)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import strip
 from tallyhouse.functions import pricing
 from tallyhouse.functions.money import MONEY, TOTAL, cents, from_cents
 from tallyhouse.operators.running import by_hour, running_total
@@ -108,7 +109,7 @@ def oversell_audit(
 
 def extract_debtors(sales: DataFrame) -> DataFrame:
     """Receivables of credit sales that were not paid in full."""
-    keep = [c for c in ("customer_name", "customer_phone", "due_date") if c in sales.columns]
+    keep = [c for c in ("customer_name", "customer_phone", "due_date", "notes") if c in sales.columns]
     owing = (F.col("payment_method") == "credit") & (F.col("balance") > 0)
     return sales.filter(owing).select(
         F.col("id").alias("sale_id"),
@@ -427,7 +428,7 @@ def check_category_changes(
     and ``seq``. All requests are judged against the stored tables; where
     several ask for one new name, the earliest gets it.
     """
-    wanted = F.trim(F.coalesce("name", F.lit("")))
+    wanted = strip(F.coalesce("name", F.lit("")))
     asked = changes.withColumn("_wanted", wanted)
     holder = categories.select(F.col("name").alias("_wanted"), F.col("id").alias("_holder"))
     used = products.select(F.col("category_id").alias("id"), F.lit(True).alias("_used")).distinct()
@@ -467,7 +468,7 @@ def apply_category_changes(
     renamed = (
         good.filter(F.col("action") == "rename")
         .groupBy("id")
-        .agg(F.trim(F.max_by("name", seq)).alias("_name"))
+        .agg(strip(F.max_by("name", seq)).alias("_name"))
     )
     deleted = good.filter(F.col("action") == "delete").select("id")
     kept = (
@@ -477,7 +478,7 @@ def apply_category_changes(
         .drop("_name")
     )
     added = good.filter(F.col("action") == "add").select(
-        F.trim("name").alias("name"), F.col(seq).alias("_first")
+        strip(F.col("name")).alias("name"), F.col(seq).alias("_first")
     )
     return kept.unionByName(
         next_ids(added, categories, [F.col("_first")]).drop("_first"), allowMissingColumns=True

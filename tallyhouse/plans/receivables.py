@@ -119,10 +119,13 @@ def debtor_payments(t: RetailTables) -> DataFrame:
 def debtor_statement(t: RetailTables) -> DataFrame:
     """Payments oldest first, with the sum paid and the balance left after each.
 
-    The opening is what was owed before the first recorded payment; the
+    The stored balance has every recorded payment in it, and the deposit taken at the sale. So the
+    opening is the balance with the payments added back, and the last balance is the stored one. The
     running sum is cut by the hour, so one debtor's history needs no single task.
     """
-    owed = t.debtors.select(F.col("id").alias("debtor_id"), "customer_name", "total_owed")
+    recorded = t.payments.groupBy("debtor_id").agg(F.sum("amount").alias("recorded"))
+    owed = t.debtors.select(F.col("id").alias("debtor_id"), "customer_name", "balance")
+    owed = owed.join(recorded, "debtor_id")
     paid = running_total(
         t.payments,
         ["debtor_id"],
@@ -139,5 +142,5 @@ def debtor_statement(t: RetailTables) -> DataFrame:
         "amount",
         "payment_method",
         F.col("paid_to_date").cast("decimal(38,2)").alias("paid_to_date"),
-        (F.col("total_owed") - F.col("paid_to_date")).cast("decimal(38,2)").alias("left_to_pay"),
+        (F.col("balance") + F.col("recorded") - F.col("paid_to_date")).cast("decimal(38,2)").alias("left_to_pay"),
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import strip
 from tallyhouse.sources.schemas import INTAKE_COLUMNS, INTAKE_JSON, INTAKE_REQUIRED
 
 PREVIEW_ROWS = 5
@@ -56,8 +57,8 @@ def intake_columns(df: DataFrame) -> DataFrame:
     if "supplier" not in df.columns:
         df = df.withColumn("supplier", F.lit(""))
     return df.select(
-        F.trim("name").alias("name"),
-        F.trim("category").alias("category"),
+        strip(F.col("name")).alias("name"),
+        strip(F.col("category")).alias("category"),
         *[F.col(c) for c in INTAKE_COLUMNS[2:5]],
         F.coalesce("supplier", F.lit("")).alias("supplier"),
     )
@@ -66,15 +67,17 @@ def intake_columns(df: DataFrame) -> DataFrame:
 def explode_intake_json(df: DataFrame, column: str) -> DataFrame:
     """One row per object of the JSON array in ``column``; other columns and
     the position inside the array (``line``) are kept. Text that is not a JSON
-    array gives no rows."""
+    array gives one row without a line and without values, which screening
+    rejects; an empty array gives none."""
     keep = [c for c in df.columns if c != column]
-    parsed = F.from_json(column, INTAKE_JSON)
+    parsed = df.select(*keep, F.from_json(column, INTAKE_JSON).alias("_items"))
     return (
-        df.select(*keep, F.posexplode(parsed).alias("line", "item"))
+        parsed.select(*keep, "_items", F.posexplode_outer("_items").alias("line", "item"))
+        .filter("line IS NOT NULL OR _items IS NULL")
         .select(
             *keep,
             "line",
-            F.trim("item.name").alias("name"),
+            strip(F.col("item.name")).alias("name"),
             F.expr("try_cast(item.category_id as bigint)").alias("category_id"),
             "item.quantity",
             "item.buying_price",

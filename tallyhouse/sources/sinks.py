@@ -14,6 +14,8 @@ def shared_root(spark: SparkSession) -> str:
     Only where none is named, as in local tests, a temporary folder is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    if root is None and current is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if root is None:
         root = current or tempfile.mkdtemp(prefix="tallyhouse-")
     if current is None:

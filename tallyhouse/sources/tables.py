@@ -63,10 +63,12 @@ MONTH_OF = {
 
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    columns = schemas.TABLES[name]
-    if name in MONTH_OF or name == "sale_items":
-        columns = {**columns, "month": "string"}
-    return spark.read.schema(schemas.ddl(columns)).parquet(f"{root}/{name}")
+    """A stored table. ``month`` is among its columns only where it is stored by month."""
+    columns, path = schemas.TABLES[name], f"{root}/{name}"
+    flat = spark.read.schema(schemas.ddl(columns)).parquet(path)
+    if "month" not in flat.columns:
+        return flat
+    return spark.read.schema(schemas.ddl({**columns, "month": "string"})).parquet(path)
 
 
 def load_tables(spark: SparkSession, root: str) -> RetailTables:

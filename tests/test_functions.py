@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import debt, pricing, stock, text, validation
+from tallyhouse.functions import debt, money, pricing, stock, text, validation
 
 TODAY = date(2024, 3, 13)
 
@@ -209,3 +209,25 @@ def test_validation_messages(spark):
         "Buying price must be a valid number",
         "Selling price cannot be negative",
     ]
+
+
+def test_white_space_of_any_kind_goes(spark):
+    df = spark.createDataFrame([("\t Cola \r\n",), (" a b\u00a0",), ("\x1cx",)], "t string")
+    assert [r[0] for r in df.select(text.strip(F.col("t"))).collect()] == ["Cola", "a b", "x"]
+
+
+def test_dates_without_leading_zeros(spark):
+    df = spark.createDataFrame([("2024-3-5",), ("2024-03-05",), ("soon",)], "t string")
+    got = [r[0] for r in df.select(text.parse_date(F.col("t"), date(2020, 1, 1))).collect()]
+    assert got == [date(2024, 3, 5), date(2024, 3, 5), date(2020, 1, 1)]
+
+
+def test_search_with_a_backslash(spark):
+    df = spark.createDataFrame([("a\\b",), ("ab",)], "t string")
+    assert [r[0] for r in df.filter(text.contains(F.col("t"), "a\\b")).collect()] == ["a\\b"]
+    assert df.filter(text.contains(F.col("t"), "a\\")).count() == 1
+
+
+def test_cents_of_large_decimals(spark):
+    df = spark.sql("select cast('9007199254740993.17' as decimal(18,2)) m")
+    assert df.select(money.cents(F.col("m"))).first()[0] == 900719925474099317

@@ -3,7 +3,7 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-from conftest import NOON, TODAY, rows
+from conftest import NOON, TODAY, d, frame, rows
 from pyspark.sql import functions as F
 
 from tallyhouse.plans import catalogue, inventory, ledger, receivables, sales
@@ -249,3 +249,10 @@ def test_extract_debtors_and_duplicate_receipts(shop):
     twice = shop.sales.unionByName(shop.sales.filter("id = 2"))
     assert rows(ledger.duplicate_receipts(twice)) == [("R2", 2, 2)]
     assert ledger.duplicate_receipts(shop.sales).isEmpty()
+
+
+def test_statement_ends_at_the_stored_balance(spark, shop):
+    debtor = frame(spark, "debtors", "id sale_id customer_name total_owed amount_paid balance", [(1, 3, "Ann", d(2400), d(900), d(1500))])
+    paid = frame(spark, "payments", "id debtor_id amount payment_method payment_date user_id", [(1, 1, d(500), "cash", datetime(2024, 3, 13, 9), 1)])
+    (row,) = receivables.debtor_statement(shop.replace(debtors=debtor, payments=paid)).collect()
+    assert (row.paid_to_date, row.left_to_pay) == (d(500), d(1500))

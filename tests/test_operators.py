@@ -143,3 +143,19 @@ def test_hours_rise_with_time_and_missing_times_come_first(spark):
     df = spark.createDataFrame(list(enumerate(times)), "i int, t timestamp_ntz")
     got = [r.h for r in df.select("i", by_hour("t").alias("h")).orderBy("i").collect()]
     assert got == sorted(got) and got[1:3] == [-1, 0]
+
+
+def test_null_stretches_are_kept(spark):
+    rows = [("k", None if i % 2 else i, i, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "key string, bucket int, at int, delta bigint")
+    got = running_total(df, ["key"], F.col("bucket"), [F.col("at")], F.col("delta"), "total")
+    assert sorted(r.total for r in got.collect()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("whole", [1000, 3])
+def test_ordered_acceptance_answers_events_without_a_bucket(spark, whole):
+    rows = [("k", i, None if i < 10 else i, -1) for i in range(20)]
+    events = spark.createDataFrame(rows, "key string, at int, bucket int, delta bigint")
+    openings = spark.createDataFrame([("k", 15)], "key string, opening bigint")
+    got = accept_in_order(events, openings, "key", ["at"], "delta", "bucket", whole, 4).collect()
+    assert len(got) == 20 and sorted(r["at"] for r in got if r.accepted) == list(range(15))

@@ -1,4 +1,5 @@
 import zipfile
+from datetime import date
 from decimal import Decimal
 from types import SimpleNamespace
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from checks.derive import _workbook
 from tallyhouse.plans import intake as plans
+from tallyhouse.plans import sales
 from tallyhouse.sources import intake, sinks
+from tallyhouse.sources.tables import RetailTables, load_tables, write_tables
 from tallyhouse.sources.workbooks import read_stock_workbooks
 
 HEADER = " Name ,CATEGORY,quantity,Buying_Price,selling_price,supplier"
@@ -113,7 +116,7 @@ def test_json_batches(spark):
     got = rows(
         intake.explode_intake_json(df, "batch"), "id", "line", "name", "category_id", "supplier"
     )
-    assert got == [(1, 0, "Cola", 4, ""), (1, 1, "Tie", None, "")]
+    assert got == [(1, 0, "Cola", 4, ""), (1, 1, "Tie", None, ""), (2, None, None, None, "")]
 
 
 def test_csv_sink_keeps_blanks_and_quotes(spark, tmp_path):
@@ -193,3 +196,20 @@ def test_repeated_product_names_go_to_the_smallest_id(spark, shop):
     stock = {r.id: r.current_stock for r in done.products.collect()}
     assert (stock[1], stock[99]) == (60, 50)
     assert rows(done.entries, "product_id", "buying_price") == [(1, float(Decimal(50)))]
+
+
+def test_malformed_batches_give_a_row_to_reject(spark):
+    df = spark.createDataFrame([(1, '[{"name": " Cola\\t"}]'), (2, "not json"), (3, "[]"), (4, None)], "batch int, body string")
+    got = {(r.batch, r.line, r.name) for r in intake.explode_intake_json(df, "body").collect()}
+    assert got == {(1, 0, "Cola"), (2, None, None), (4, None, None)}
+
+
+def test_flat_tables_answer_as_those_stored_by_month(spark, shop, tmp_path):
+    write_tables(shop, f"{tmp_path}/by_month")
+    for name in RetailTables.NAMES:
+        getattr(load_tables(spark, f"{tmp_path}/by_month"), name).drop("month").write.parquet(f"{tmp_path}/flat/{name}")
+    flat, by_month = load_tables(spark, f"{tmp_path}/flat"), load_tables(spark, f"{tmp_path}/by_month")
+    assert "month" in by_month.sale_items.columns and "month" not in flat.sale_items.columns
+    day = date(2024, 3, 13)
+    assert sales.daily_summary(flat, day).collect() == sales.daily_summary(by_month, day).collect()
+    assert flat.sale_items.count() == by_month.sale_items.count() > 0
