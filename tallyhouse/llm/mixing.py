@@ -30,7 +30,7 @@ MOST = 3
 WEIGHTS = (5, 2, 1)
 STEPS = 40
 #: Rows of a stratum, which one task rounds.
-STRATUM_ROWS = 20_000
+STRATUM_ROWS = 2_000
 #: A source is balanced when its rates give its target up to this share.
 CLOSE = 1e-9
 SIZED = "doc_id long, hash long, source string, size long, part int, seq long"
