@@ -101,8 +101,7 @@ WITH categories AS (
          CAST(CAST((CAST(round(value * 100) AS BIGINT) * 6 // 5) / 100e0 AS DECIMAL(18, 2))
            AS VARCHAR) AS selling_price,
          'Supplier ' || event_id % 7 AS supplier,
-         CASE WHEN event_type = 'error' THEN 'bad quantity'
-              WHEN floor(value) <= 0 OR round(value * 100) <= 0 THEN 'not positive' END AS reason,
+         CASE WHEN floor(value) <= 0 OR round(value * 100) <= 0 THEN 'not positive' END AS reason,
          CAST(floor(value) AS BIGINT) AS qty, CAST(round(value * 100) AS BIGINT) AS buy,
          CAST(round(value * 100) AS BIGINT) * 6 // 5 AS sell
   FROM events JOIN part ON p_partkey = user_id
@@ -483,16 +482,16 @@ oracle(
 )
 oracle(
     "receipts",
-    f"""SELECT s.id, receipt_number, strftime(sale_date, {STAMP}) AS date, CAST(0 AS BIGINT) AS page,
-    coalesce(lines, '') AS lines, {money("final", "subtotal")}, 0e0 AS discount,
+    f"""SELECT s.id, receipt_number, strftime(sale_date, {STAMP}) AS date,
+    {money("final", "subtotal")}, 0e0 AS discount,
     {money("final", "total")}, {money("s.paid", "paid")}, {money("s.balance", "balance")},
     upper(method) AS payment_method, customer_name, username AS cashier
-    FROM sales s JOIN users u ON u.id = s.user_id LEFT JOIN (
-      SELECT sale_id, string_agg(name || ' x ' || qty || ' @ ' ||
-        CAST(CAST(price / 100e0 AS DECIMAL(18, 2)) AS VARCHAR) || ' = ' ||
-        CAST(CAST(qty * price / 100e0 AS DECIMAL(18, 2)) AS VARCHAR), '; '
-        ORDER BY product_id, qty, price) AS lines FROM lines GROUP BY sale_id
-    ) l ON l.sale_id = s.id""",
+    FROM sales s JOIN users u ON u.id = s.user_id""",
+)
+oracle(
+    "receipt_lines",
+    f"""SELECT sale_id, receipt_number, product_id, qty AS quantity, {money("price", "price_at_sale")},
+    name AS product, {money("qty * price", "total")} FROM lines""",
 )
 
 # --- sources and sinks -----------------------------------------------------
@@ -631,7 +630,7 @@ oracle(
     "scalar_validation",
     """SELECT seq, errors = '' AS valid, errors FROM (SELECT seq, concat_ws('; ',
       CASE WHEN seq % 4 = 0 THEN 'Product name must be at least 2 characters' END,
-      CASE WHEN reason = 'bad quantity' THEN 'Quantity must be a valid number'
+      CASE WHEN quantity LIKE '%.%' THEN 'Quantity must be a valid number'
            WHEN qty <= 0 THEN 'Quantity must be greater than 0' END,
       CASE WHEN seq % 5 = 0 AND buy > 0 THEN 'Buying price cannot be negative' END,
       CASE WHEN seq % 6 = 0 THEN 'Selling price must be a valid number' END) AS errors FROM intake)""",
@@ -717,7 +716,16 @@ oracle(
 oracle(
     "ledger_write_off_payments",
     f"""SELECT id AS debtor_id, {money("balance", "amount")}, 'write_off' AS payment_method,
-    'WRITE OFF - Reason: no date' AS notes FROM owing WHERE closed""",
+    'WRITE OFF - Reason: no date' AS notes, '2001-07-31 00:00:00' AS payment_date,
+    CAST(1 AS BIGINT) AS user_id FROM owing WHERE closed""",
+)
+oracle(
+    "ledger_write_off_rejects",
+    """SELECT user_id AS id, 'asked' AS reason, event_id AS seq,
+    CASE WHEN d.id IS NULL THEN 'unknown debtor' ELSE 'already paid' END AS reject_reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+    LEFT JOIN debtors d ON d.id = user_id
+    WHERE d.id IS NULL OR d.balance <= 0 OR rn > 1""",
 )
 oracle(
     "ledger_debt_drift",
@@ -761,6 +769,29 @@ IN_ORDER = (
 )
 """
 )
+oracle(
+    "ledger_hot_key_payments",
+    f"""WITH RECURSIVE pay AS (
+      SELECT event_id AS seq, user_id % 2 AS key, user_id % 2 * 100000000 + 25000000 AS opening,
+             (CAST(round(value * 100) AS BIGINT) - 100) * 50 AS amount,
+             row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS rn
+      FROM events WHERE round(value * 100) > 100
+    ), settled AS (
+      SELECT seq, key, rn, amount <= opening AS ok,
+             CASE WHEN amount <= opening THEN opening - amount ELSE opening END AS level
+      FROM pay WHERE rn = 1
+      UNION ALL
+      SELECT a.seq, a.key, a.rn, a.amount <= w.level,
+             CASE WHEN a.amount <= w.level THEN w.level - a.amount ELSE w.level END
+      FROM settled w JOIN pay a ON a.key = w.key AND a.rn = w.rn + 1
+    )
+    SELECT seq AS id, key AS debtor_id, ok AS accepted, {money("level", "balance_after")},
+    CASE WHEN NOT ok THEN 'exceeds balance' END AS reject_reason FROM settled
+    UNION ALL
+    SELECT event_id, user_id % 2, false, NULL, 'amount not positive' FROM events
+    WHERE round(value * 100) <= 100""",
+    base="",
+)
 oracle(
     "ledger_adjustments",
     """SELECT seq, key AS product_id, ok AS accepted, level AS level_after,
@@ -810,10 +841,15 @@ oracle(
 )
 oracle(
     "ledger_product_change_rejects",
-    """SELECT event_id AS seq, user_id AS product_id, 'reorder' AS action,
-    CAST(floor(value) AS BIGINT) - 20 AS reorder_level, 'negative reorder level' AS reject_reason
-    FROM events WHERE floor(value) < 20 AND NOT (event_type = 'error' AND value > 300)""",
-    base="",
+    """SELECT * FROM (
+      SELECT event_id AS seq, user_id AS product_id, action, level AS reorder_level,
+        CASE WHEN p.id IS NULL THEN 'unknown product'
+             WHEN action = 'reorder' AND level < 0 THEN 'negative reorder level' END AS reject_reason
+      FROM (SELECT *, CASE WHEN event_type = 'error' AND value > 300 THEN 'deactivate'
+                      ELSE 'reorder' END AS action,
+                   CAST(floor(value) AS BIGINT) - 20 AS level FROM events)
+      LEFT JOIN products p ON p.id = user_id)
+    WHERE reject_reason IS NOT NULL""",
 )
 oracle(
     "ledger_category_changes",

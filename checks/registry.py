@@ -292,20 +292,12 @@ def restock_lookup(spark, sf):
 
 @query
 def receipts(spark, sf):
-    lines = F.transform(
-        "lines",
-        lambda x: F.concat_ws(
-            " ",
-            x["product"],
-            F.lit("x"),
-            x["quantity"],
-            F.lit("@"),
-            x["price_at_sale"],
-            F.lit("="),
-            x["total"],
-        ),
-    )
-    return catalogue.receipts(_named(spark, sf)).withColumn("lines", F.concat_ws("; ", lines))
+    return catalogue.receipts(_named(spark, sf))
+
+
+@query
+def receipt_lines(spark, sf):
+    return catalogue.receipt_lines(_tables(spark, sf))
 
 
 # --- sources and sinks -----------------------------------------------------
@@ -616,8 +608,10 @@ def ledger_debt_balance(spark, sf):
 
 def _written_off(spark, sf):
     owing = mapped.debtors(spark, sf)
-    undated = owing.filter(F.col("due_date").isNull()).select("id", F.lit("no date").alias("reason"))
-    return ledger.write_off(owing, undated)
+    undated = owing.filter(F.col("due_date").isNull()).select(
+        "id", F.lit("no date").alias("reason"), F.col("id").alias("seq")
+    )
+    return ledger.write_off(owing, undated, at=NOW, user_id=1)
 
 
 @query
@@ -630,6 +624,15 @@ def ledger_write_off_payments(spark, sf):
     return _written_off(spark, sf).payments
 
 
+@query
+def ledger_write_off_rejects(spark, sf):
+    """Every event asks for its user's debt."""
+    asked = derive.late_payments(spark, sf).select(
+        F.col("debtor_id").alias("id"), F.lit("asked").alias("reason"), F.col("id").alias("seq")
+    )
+    return ledger.write_off(mapped.debtors(spark, sf), asked).rejects
+
+
 @query
 def ledger_debt_drift(spark, sf):
     done = _written_off(spark, sf)
@@ -664,6 +667,17 @@ def ledger_payments(spark, sf):
     return log.select("id", "debtor_id", "accepted", "balance_after", "reject_reason")
 
 
+@query
+def ledger_hot_key_payments(spark, sf):
+    """All events as payments to two debtors: long keys, checked against the oracle."""
+    two = derive.late_payments(spark, sf).withColumn("debtor_id", F.pmod("debtor_id", F.lit(2)))
+    owing = spark.range(2).select(
+        "id", (F.col("id") * 1_000_000 + 250_000).cast("decimal(18,2)").alias("balance")
+    )
+    log = ledger.payment_log(owing, two, ["payment_date", "id"], "paid_on")
+    return log.select("id", "debtor_id", "accepted", "balance_after", "reject_reason")
+
+
 @query
 def ledger_paid_debtors(spark, sf):
     done = ledger.apply_payments(
@@ -692,7 +706,9 @@ def ledger_product_changes(spark, sf):
 
 @query
 def ledger_product_change_rejects(spark, sf):
-    return ledger.rejected_product_changes(derive.product_changes(spark, sf))
+    return ledger.rejected_product_changes(
+        mapped.products(spark, sf), derive.product_changes(spark, sf)
+    )
 
 
 def _category_changes(spark, sf):

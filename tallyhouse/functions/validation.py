@@ -34,13 +34,17 @@ def stock_entry_errors(name: Column, quantity: Column, buying: Column, selling:
     )
 
 
-def intake_reject_reason(quantity: Column, buying: Column, selling: Column) -> Column:
+def whole_count(quantity: Column) -> Column:
+    """A count from a file, where numbers may carry decimals: cut off towards zero."""
+    return quantity.try_cast("decimal(38,6)").try_cast("int")
+
+
+def intake_reject_reason(count: Column, buying: Column, selling: Column) -> Column:
     """Why a batch or import row is not taken in; null for accepted rows.
 
-    Conversion failures come first, then the rule that quantity and buying
-    price must both be positive.
+    ``count`` is the converted quantity. Conversion failures come first, then the
+    rule that quantity and buying price must both be positive.
     """
-    count = quantity.try_cast("int")
     cost = buying.try_cast("decimal(18,2)")
     price = selling.try_cast("decimal(18,2)")
     return (

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import pricing, stock, text
-from tallyhouse.operators.running import running_count
+from tallyhouse.operators import lines as L
 from tallyhouse.sources.tables import RetailTables
 
 CATALOGUE_ROWS = 50
 SUGGESTION_ROWS = 10
-RECEIPT_PAGE_LINES = 500
 LINE_ORDER = ("product_id", "quantity", "price_at_sale")
 
 
@@ -105,65 +104,30 @@ def restock_lookup(t: RetailTables) -> DataFrame:
     )
 
 
-def _paged(items: DataFrame, page_lines: int) -> DataFrame:
-    """Lines with their page. Only sales longer than a page need their lines
-    numbered, and there are at most lines / page_lines of those."""
-    long = (
-        items.groupBy("sale_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > page_lines)
-        .select("sale_id")
-    )
-    short_lines = items.join(long, "sale_id", "left_anti").withColumn(
-        "page", F.lit(0).cast("bigint")
-    )
-    numbered = running_count(
-        items.join(long, "sale_id", "left_semi"),
-        ["sale_id"],
-        F.floor(F.col("product_id") / 1024),
-        [F.col(c) for c in LINE_ORDER],
-        "_line",
+def receipts(t: RetailTables) -> DataFrame:
+    """One header row for each given sale, with or without lines."""
+    staff = t.users.select(F.col("id").alias("user_id"), F.col("username").alias("cashier"))
+    return t.sales.join(staff, "user_id", "left").select(
+        "id",
+        "receipt_number",
+        text.stamp_label(F.col("sale_date")).alias("date"),
+        F.col("total_amount").alias("subtotal"),
+        "discount",
+        F.col("final_amount").alias("total"),
+        F.col("amount_paid").alias("paid"),
+        "balance",
+        F.upper("payment_method").alias("payment_method"),
+        "customer_name",
+        "cashier",
     )
-    page = F.floor((F.col("_line") - 1) / page_lines)
-    return short_lines.unionByName(numbered.withColumn("page", page).drop("_line"))
-
 
-def receipts(t: RetailTables, page_lines: int = RECEIPT_PAGE_LINES) -> DataFrame:
-    """Sale header with its lines nested, for all given sales.
 
-    Lines are nested by page, so a receipt with more than ``page_lines`` lines
-    becomes several rows instead of one huge array. A sale without lines keeps
-    one row with an empty array.
-    """
+def receipt_lines(t: RetailTables) -> DataFrame:
+    """The printed lines of the given sales, one row each: nothing is nested, so a
+    receipt may have any number of lines. On paper they stand by ``LINE_ORDER``."""
     names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
-    line = F.struct(*LINE_ORDER, "product", "total")
-    pages = (
-        _paged(t.sale_items, page_lines)
-        .join(names, "product_id", "left")
-        # Nesting shrinks nothing, so rows move once and are nested after that.
-        .repartition("sale_id", "page")
-        .groupBy("sale_id", "page")
-        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
-        .withColumnRenamed("sale_id", "id")
-    )
-    staff = t.users.select(F.col("id").alias("user_id"), F.col("username").alias("cashier"))
-    none = F.array().cast(pages.schema["lines"].dataType)
     return (
-        t.sales.join(staff, "user_id", "left")
-        .join(pages, "id", "left")
-        .select(
-            "id",
-            "receipt_number",
-            text.stamp_label(F.col("sale_date")).alias("date"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("lines", none).alias("lines"),
-            F.col("total_amount").alias("subtotal"),
-            "discount",
-            F.col("final_amount").alias("total"),
-            F.col("amount_paid").alias("paid"),
-            "balance",
-            F.upper("payment_method").alias("payment_method"),
-            "customer_name",
-            "cashier",
-        )
+        L.of_sales(t.sale_items, t.sales, "receipt_number")
+        .join(names, "product_id", "left")
+        .select("sale_id", "receipt_number", *LINE_ORDER, "product", "total")
     )

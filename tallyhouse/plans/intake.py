@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import strip
-from tallyhouse.functions.validation import intake_reject_reason
+from tallyhouse.functions.validation import intake_reject_reason, whole_count
 from tallyhouse.operators.ranking import number_rows
 from tallyhouse.sources.sinks import shared_root
 
@@ -26,25 +26,42 @@ class Screened:
     rejects: DataFrame
 
 
-def screen_intake(intake: DataFrame, mode: str = "skip") -> Screened:
+def screen_intake(intake: DataFrame, mode: str = "skip", batch: str | None = None) -> Screened:
     """Split text rows into typed accepted rows and rejects with a reason.
 
-    ``skip`` (file import) leaves bad rows aside. ``strict`` (batch form)
-    refuses the whole batch when a row fails conversion; rows with a quantity
-    or buying price that is not positive are passed over in both modes.
+    ``skip`` (file import) leaves bad rows aside and cuts decimals of a quantity
+    off. ``strict`` (batch form) refuses a whole batch when one of its rows fails
+    conversion: with ``batch``, the column that names the batch, all its rows are
+    rejects and other batches go on; without it the frame is one batch and the
+    refusal is raised. Rows with a quantity or buying price that is not positive
+    are passed over in both modes.
     """
+    quantity = F.col("quantity")
+    count = quantity.try_cast("int") if mode == "strict" else whole_count(quantity)
     checked = intake.withColumn(
-        "reason",
-        intake_reject_reason(F.col("quantity"), F.col("buying_price"), F.col("selling_price")),
+        "reason", intake_reject_reason(count, F.col("buying_price"), F.col("selling_price"))
     )
-    if mode == "strict" and not checked.filter(F.col("reason").startswith("bad")).isEmpty():
-        raise RejectedIntake("batch refused: a row could not be converted")
+    if mode == "strict":
+        bad = checked.filter(F.col("reason").startswith("bad"))
+        if batch is not None:
+            refused = bad.select(F.col(batch).alias("_refused")).distinct()
+            checked = (
+                checked.join(
+                    refused.withColumn("_bad", F.lit(True)),
+                    checked[batch].eqNullSafe(F.col("_refused")),
+                    "left",
+                )
+                .withColumn("reason", F.coalesce("reason", F.when(F.col("_bad"), "batch refused")))
+                .drop("_refused", "_bad")
+            )
+        elif not bad.isEmpty():
+            raise RejectedIntake("batch refused: a row could not be converted")
     accepted = checked.filter(F.col("reason").isNull()).drop("reason")
     return Screened(
         accepted.withColumns(
             {
                 **{c: strip(F.col(c)) for c in ("name", "category") if c in intake.columns},
-                "quantity": F.col("quantity").try_cast("int"),
+                "quantity": count,
                 "buying_price": F.col("buying_price").try_cast("decimal(18,2)"),
                 "selling_price": F.col("selling_price").try_cast("decimal(18,2)"),
             }
@@ -162,11 +179,12 @@ def import_intake(
     intake: DataFrame,
     mode: str = "skip",
     seq: str = "seq",
+    batch: str | None = None,
 ) -> Imported:
     """A whole import of text rows: screen, add categories, merge products,
     write the ledger. Accepted rows are cut off from their files once."""
     shared_root(products.sparkSession)
-    screened = screen_intake(intake, mode)
+    screened = screen_intake(intake, mode, batch)
     accepted = screened.accepted.checkpoint()
     kinds = categories
     if "category" in accepted.columns:

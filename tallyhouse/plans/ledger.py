@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -349,14 +350,22 @@ class WrittenOff:
     rejects: DataFrame
 
 
-def write_off(debtors: DataFrame, ids: DataFrame) -> WrittenOff:
-    """Close the debts named in ``ids`` (``id, reason``) with a payment of the
-    whole balance. The sale is left as it is. A debt without balance is
-    refused. Several requests for one debt count once, with the first reason
-    in text order."""
-    asked = ids.groupBy("id").agg(F.min("reason").alias("_reason"))
-    marked = debtors.join(asked.withColumn("_asked", F.lit(True)), "id", "left")
-    closing = F.col("_asked") & (F.col("balance") > 0)
+def write_off(
+    debtors: DataFrame,
+    ids: DataFrame,
+    seq: str = "seq",
+    at: datetime | None = None,
+    user_id: int | None = None,
+) -> WrittenOff:
+    """Close the debts named in ``ids`` (``id, reason`` and a unique ``seq``) with a
+    payment of the whole balance, dated ``at`` by ``user_id``. The sale is left as
+    it is. The first request for an open debt closes it; every other request is
+    in ``rejects`` with its reason, those of unknown or null ids too."""
+    first = ids.groupBy("id").agg(
+        F.min(seq).alias("_first"), F.min_by("reason", seq).alias("_reason")
+    )
+    marked = debtors.join(first, "id", "left")
+    closing = F.col("_first").isNotNull() & (F.col("balance") > 0)
     closed = marked.filter(closing)
     updated = marked.withColumns(
         {
@@ -366,15 +375,24 @@ def write_off(debtors: DataFrame, ids: DataFrame) -> WrittenOff:
             "status": F.when(closing, "written_off").otherwise(F.col("status")),
             "balance": F.when(closing, F.lit(0)).otherwise(F.col("balance")).cast(MONEY),
         }
-    ).drop("_asked", "_reason")
+    ).drop("_first", "_reason")
     entries = closed.select(
         F.col("id").alias("debtor_id"),
         F.col("balance").alias("amount"),
         F.lit("write_off").alias("payment_method"),
         F.concat(F.lit("WRITE OFF - Reason: "), F.coalesce("_reason", F.lit(""))).alias("notes"),
+        F.lit(at).cast("timestamp_ntz").alias("payment_date"),
+        F.lit(user_id).cast("bigint").alias("user_id"),
+    )
+    state = marked.filter(F.col("_first").isNotNull()).select("id", "_first", closing.alias("_closes"))
+    refused = F.when(F.col("_closes").isNull(), "unknown debtor").when(
+        ~F.col("_closes") | (F.col(seq) != F.col("_first")), "already paid"
     )
-    rejects = marked.filter(F.col("_asked") & (F.col("balance") <= 0)).select(
-        "id", F.lit("already paid").alias("reject_reason")
+    rejects = (
+        ids.join(state, "id", "left")
+        .withColumn("reject_reason", refused)
+        .filter(F.col("reject_reason").isNotNull())
+        .select(*ids.columns, "reject_reason")
     )
     return WrittenOff(updated, entries, rejects)
 
@@ -387,12 +405,28 @@ def _latest(changes: DataFrame, wanted: Column, value: str, seq: str, name: str)
     )
 
 
+def check_product_changes(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each requested change with the reason it is refused, or null."""
+    listed = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_listed"))
+    reorder, level = F.col("action") == "reorder", F.col("reorder_level")
+    known_action = F.coalesce(F.col("action").isin("reorder", "deactivate"), F.lit(False))
+    reason = (
+        F.when(F.col("_listed").isNull(), "unknown product")
+        .when(~known_action, "unknown action")
+        .when(reorder & level.isNull(), "reorder level missing")
+        .when(reorder & (level < 0), "negative reorder level")
+    )
+    return changes.join(listed, "product_id", "left").select(
+        *changes.columns, reason.alias("reject_reason")
+    )
+
+
 def apply_product_changes(products: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
     """Reorder levels and soft deletes in bulk.
 
     ``changes``: ``product_id, action, reorder_level, seq`` with action
-    ``reorder`` or ``deactivate``. The latest valid level wins; a negative one
-    is refused.
+    ``reorder`` or ``deactivate``. The latest valid level wins; what is refused
+    comes from ``rejected_product_changes``.
     """
     level_ok = (F.col("action") == "reorder") & (F.col("reorder_level") >= 0)
     levels = _latest(changes, level_ok, "reorder_level", seq, "_level")
@@ -414,9 +448,8 @@ def apply_product_changes(products: DataFrame, changes: DataFrame, seq: str = "s
     )
 
 
-def rejected_product_changes(changes: DataFrame) -> DataFrame:
-    bad = (F.col("action") == "reorder") & (F.col("reorder_level") < 0)
-    return changes.filter(bad).withColumn("reject_reason", F.lit("negative reorder level"))
+def rejected_product_changes(products: DataFrame, changes: DataFrame) -> DataFrame:
+    return check_product_changes(products, changes).filter(F.col("reject_reason").isNotNull())
 
 
 def check_category_changes(

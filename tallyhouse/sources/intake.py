@@ -68,8 +68,14 @@ def explode_intake_json(df: DataFrame, column: str) -> DataFrame:
     """One row per object of the JSON array in ``column``; other columns and
     the position inside the array (``line``) are kept. Text that is not a JSON
     array gives one row without a line and without values, which screening
-    rejects; an empty array gives none."""
+    rejects; an empty array gives none. A quantity or price left out is 0."""
     keep = [c for c in df.columns if c != column]
+    item = F.col("item")
+
+    def number(field: str) -> Column:
+        left_out = item.isNotNull() & ~F.map_contains_key(item, field)
+        return F.when(left_out, "0").otherwise(item[field]).alias(field)
+
     parsed = df.select(*keep, F.from_json(column, INTAKE_JSON).alias("_items"))
     return (
         parsed.select(*keep, "_items", F.posexplode_outer("_items").alias("line", "item"))
@@ -77,12 +83,10 @@ def explode_intake_json(df: DataFrame, column: str) -> DataFrame:
         .select(
             *keep,
             "line",
-            strip(F.col("item.name")).alias("name"),
-            F.expr("try_cast(item.category_id as bigint)").alias("category_id"),
-            "item.quantity",
-            "item.buying_price",
-            "item.selling_price",
-            F.coalesce("item.supplier", F.lit("")).alias("supplier"),
+            strip(item["name"]).alias("name"),
+            item["category_id"].try_cast("bigint").alias("category_id"),
+            *map(number, ("quantity", "buying_price", "selling_price")),
+            F.coalesce(item["supplier"], F.lit("")).alias("supplier"),
         )
     )
 

@@ -72,10 +72,8 @@ def ddl(columns: dict[str, str]) -> str:
 
 
 # One object of the batch intake form; every value arrives as text.
-INTAKE_JSON = (
-    "array<struct<name:string,category_id:string,quantity:string,"
-    "buying_price:string,selling_price:string,supplier:string>>"
-)
+# As maps, so that a field left out differs from one that is null.
+INTAKE_JSON = "array<map<string,string>>"
 
 INTAKE_REQUIRED = ("name", "category", "quantity", "buying_price", "selling_price")
 INTAKE_COLUMNS = INTAKE_REQUIRED + ("supplier",)

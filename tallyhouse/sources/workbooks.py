@@ -85,8 +85,8 @@ def _intake_frame(path: str, content: bytes) -> pd.DataFrame:
                 continue
             cells = dict(zip(header, row, strict=False))
             out.append((path, line, *[cells.get(c) for c in INTAKE_COLUMNS], None))
-    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as problem:
-        out = [(path, None, *[None] * len(INTAKE_COLUMNS), str(problem))]
+    except Exception as problem:  # whatever a broken or encrypted book makes the parsers raise
+        out = [(path, None, *[None] * len(INTAKE_COLUMNS), str(problem) or type(problem).__name__)]
     return pd.DataFrame(out, columns=columns).astype({"line": "Int32"})
 
 

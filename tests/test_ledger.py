@@ -69,14 +69,20 @@ def test_product_changes(spark, shop):
     changes = spark.createDataFrame(
         [
             (1, 1, "reorder", 9), (2, 1, "reorder", -1), (3, 2, "reorder", 7),
-            (4, 2, "reorder", 8), (5, 3, "deactivate", None),
+            (4, 2, "reorder", 8), (5, 3, "deactivate", None), (6, 99, "reorder", 4),
+            (7, None, "reorder", 4), (8, 1, "paint", 4), (9, 1, None, 4), (10, 1, "reorder", None),
         ],
         "seq bigint, product_id bigint, action string, reorder_level int",
     )
     got = {r.id: r for r in ledger.apply_product_changes(shop.products, changes).collect()}
     assert [got[i].reorder_level for i in (1, 2, 3)] == [9, 8, 5]
     assert [got[i].is_active for i in (1, 3, 7)] == [True, False, False]
-    assert rows(ledger.rejected_product_changes(changes), "seq") == [(2,)]
+    refused = ledger.rejected_product_changes(shop.products, changes)
+    assert sorted(rows(refused, "seq", "reject_reason")) == [
+        (2, "negative reorder level"), (6, "unknown product"), (7, "unknown product"),
+        (8, "unknown action"), (9, "unknown action"), (10, "reorder level missing"),
+    ]
+    assert ledger.check_product_changes(shop.products, changes).count() == 10
 
 
 def test_category_changes(spark, shop):

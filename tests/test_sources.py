@@ -117,6 +117,9 @@ def test_json_batches(spark):
         intake.explode_intake_json(df, "batch"), "id", "line", "name", "category_id", "supplier"
     )
     assert got == [(1, 0, "Cola", 4, ""), (1, 1, "Tie", None, ""), (2, None, None, None, "")]
+    nulls = spark.createDataFrame([(1, '[{"name":"Tie","quantity":null}]')], "id int, batch string")
+    found = intake.explode_intake_json(nulls, "batch")
+    assert rows(found, "quantity", "buying_price", "selling_price") == [(None, "0", "0")]
 
 
 def test_csv_sink_keeps_blanks_and_quotes(spark, tmp_path):
@@ -180,9 +183,24 @@ def test_import_intake(spark, shop):
     assert ledger_rows == [(1, 1, 10), (2, 8, 4), (3, 8, 6), (4, 1, 1), (9, 9, 2)]
 
 
+@pytest.mark.parametrize("mode, want", [("skip", [(1, 10), (2, 7)]), ("strict", [])])
+def test_quantities_with_decimals(spark, mode, want):
+    given = [(1, "Tie", "A", "10.0", "1", "2", ""), (2, "Tie", "A", "7.9", "1", "2", "")]
+    got = plans.screen_intake(text_rows(spark, given).withColumn("b", F.lit(1)), mode, "b")
+    assert rows(got.accepted, "seq", "quantity") == want
+    assert got.rejects.count() == 2 - len(want)
+
+
 def test_strict_batch_is_refused_whole(spark):
     with pytest.raises(plans.RejectedIntake):
         plans.screen_intake(text_rows(spark, INTAKE), "strict")
+    forms = text_rows(spark, INTAKE).withColumn("form", F.expr("if(seq < 5, null, seq div 7)"))
+    by_form = plans.screen_intake(forms, "strict", "form")
+    assert sorted(rows(by_form.rejects, "seq", "reason")) == [
+        (5, "bad quantity"), (6, "bad buying price"), (7, "not positive"), (8, "not positive"),
+    ]
+    one = plans.screen_intake(forms.withColumn("form", F.lit("a")), "strict", "form")
+    assert one.accepted.isEmpty() and one.rejects.count() == len(INTAKE)
     fine = [r for r in INTAKE if r[0] not in (5, 6)]
     done = plans.screen_intake(text_rows(spark, fine), "strict")
     assert done.accepted.count() == 5 and done.rejects.count() == 2
