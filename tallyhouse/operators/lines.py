@@ -24,10 +24,10 @@ def revenue() -> Column:
     return F.col("quantity") * F.col("price_at_sale")
 
 
-def per_product(lines: DataFrame) -> DataFrame:
-    """Lines, units and revenue by product. Folding before the product join
+def per_product(lines: DataFrame, *also: str) -> DataFrame:
+    """Lines, units and revenue by product (and ``also``). Folding before the product join
     keeps a best seller from landing on one task."""
-    return lines.groupBy("product_id").agg(
+    return lines.groupBy("product_id", *also).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("quantity").alias("units"),
         F.sum(revenue()).cast(TOTAL).alias("revenue"),

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.sources.sinks import shared_root
 
-# Up to this many rows one sorted task numbers faster than a range sort.
-SINGLE_TASK_ROWS = 100_000
-
 
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str
@@ -22,35 +19,14 @@ def top_per_group(
     return df.withColumn(name, place).filter(F.col(name) <= n)
 
 
-def rows_within(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
-def number_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    name: str,
-    bounded_by: DataFrame | int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Consecutive numbers from 1 in the given total order.
 
-    ``bounded_by`` is a known row limit, or a frame with at least as many rows
-    that is cheap to count; without it the rows are checkpointed and counted.
-    A small result is numbered in one task. Beyond that the rows are
-    range-sorted and checkpointed, each sorted partition is counted, and the
-    position inside the partition is added to the count of all earlier ones.
-    The table of counts has one row for each partition.
+    The rows are range-sorted and checkpointed, each sorted partition is
+    counted, and the position inside the partition is added to the count of
+    all earlier ones. The table of counts has one row for each partition.
     """
     shared_root(df.sparkSession)
-    if bounded_by is None:
-        df = bounded_by = df.checkpoint()
-    if isinstance(bounded_by, int):
-        small = bounded_by <= single_task_rows
-    else:
-        small = rows_within(bounded_by, single_task_rows)
-    if small:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

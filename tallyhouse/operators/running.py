@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,18 @@ def running_total(
     value: Column,
     name: str,
 ) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over this and all earlier rows of the key.
+    """Add ``name``: the sum of ``value`` over this and all earlier rows of the key."""
+    return running_totals(df, keys, bucket, order, {name: value})
+
+
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    values: Mapping[str, Column],
+) -> DataFrame:
+    """Add a running sum for each entry of ``values``.
 
     ``bucket`` cuts each key into consecutive stretches of the order (an hour,
     a range of ids). Stretches are totalled with map-side combine, the totals are
@@ -31,14 +42,21 @@ def running_total(
     """
     # In a struct, so that rows of a null bucket meet their own total and come first.
     df = df.withColumn("_bucket", F.struct(bucket.alias("at")))
-    totals = df.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    totals = df.groupBy(*keys, "_bucket").agg(
+        *[F.sum(value).alias(f"_sum_{name}") for name, value in values.items()]
+    )
     earlier = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+        *keys,
+        "_bucket",
+        *[
+            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
+            for name in values
+        ],
     )
     inside = (
         Window.partitionBy(*keys, "_bucket")
@@ -49,8 +67,10 @@ def running_total(
     # the offsets, one for each stretch, are never broadcast.
     return (
         df.join(offsets.hint("merge"), [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.sum(value).over(inside))
-        .drop("_bucket", "_before")
+        .withColumns(
+            {n: F.col(f"_before_{n}") + F.sum(v).over(inside) for n, v in values.items()}
+        )
+        .drop("_bucket", *[f"_before_{name}" for name in values])
     )
 
 

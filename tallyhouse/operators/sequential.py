@@ -5,12 +5,14 @@ event is accepted when the level stays at 0 or above, otherwise it is refused
 and changes nothing. A running sum cannot express this, because a refused
 event must not count for later ones.
 
-Small keys are folded whole. A key with many events is cut into chunks that
-are folded side by side from guessed opening levels. Every chunk also reports
-the range of opening levels for which its decisions, and so its net change,
-stay the same. Walking over these short reports shows which guesses were
-wrong; only those chunks are folded again. The walk repeats until every chunk
-was folded from its true level, so the answer is exact.
+Where opening and running sum never fall below 0, every event of the key is
+accepted and the sums are the answer: most keys need no more than a window.
+The other keys are cut into chunks that are folded side by side from guessed
+opening levels. Every chunk also reports the range of opening levels for which
+its decisions, and so its net change, stay the same. Walking over these short
+reports shows which guesses were wrong; only those chunks are folded again. The
+walk repeats until every chunk was folded from its true level, so the answer is
+exact.
 """
 
 from __future__ import annotations
@@ -19,15 +21,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.running import running_count
+from tallyhouse.operators.running import running_totals
 from tallyhouse.sources.sinks import shared_root
 
-# Keys up to this many events are folded whole, in the JVM.
-WHOLE_KEY_EVENTS = 1_000
-# Events in one chunk of a larger key.
+# Events in one chunk of a key.
 CHUNK_EVENTS = 100_000
 
 _NO_LIMIT = np.iinfo(np.int64).max
@@ -40,56 +40,32 @@ def accept_in_order(
     order: Sequence[str],
     delta: str,
     bucket: str,
-    whole_key_events: int = WHOLE_KEY_EVENTS,
     chunk_events: int = CHUNK_EVENTS,
 ) -> DataFrame:
     """Events with ``accepted`` and ``level_after``.
 
     ``order`` must be total inside a key and ``bucket`` a column that rises
     with it. ``openings`` holds ``key`` and ``opening`` (bigint) for every key;
-    events of other keys are dropped. ``delta`` is bigint.
+    events of other keys are dropped. A null opening is 0. ``delta`` is bigint.
     """
-    sizes = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > whole_key_events).select(key)
-    if large.isEmpty():
-        return _fold_keys(events, openings, key, order, delta)
-    small = _fold_keys(events.join(large, key, "left_anti"), openings, key, order, delta)
-    hot = _fold_chunks(
-        events.join(large, key, "left_semi"), openings, key, order, delta, bucket, chunk_events
-    )
-    settled = small.unionByName(hot)
-    return settled.select(*events.columns, "accepted", "level_after")
-
-
-def _fold_keys(
-    events: DataFrame, openings: DataFrame, key: str, order: Sequence[str], delta: str
-) -> DataFrame:
-    rest = [c for c in events.columns if c != key and c not in order]
-    row = F.struct(*order, *rest)
-    start = F.struct(
-        F.col("opening").alias("level"),
-        F.array().cast("array<struct<accepted:boolean,level_after:bigint>>").alias("answers"),
-    )
-
-    def step(state, event):
-        level = state["level"] + event[delta]
-        fits = level >= 0
-        after = F.when(fits, level).otherwise(state["level"])
-        answer = F.struct(fits.alias("accepted"), after.alias("level_after"))
-        return F.struct(
-            after.alias("level"), F.concat(state["answers"], F.array(answer)).alias("answers")
-        )
-
-    folded = (
-        events.groupBy(key)
-        .agg(F.sort_array(F.collect_list(row)).alias("_events"))
+    shared_root(events.sparkSession)
+    sums = {"_pos": F.lit(1).cast("bigint"), "_sum": F.col(delta)}
+    placed = running_totals(events, [key], F.col(bucket), [F.col(c) for c in order], sums)
+    placed = placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / chunk_events)).checkpoint()
+    # Openings join the chunks, never the events of a large key.
+    openings = openings.select(key, F.coalesce("opening", F.lit(0)).alias("opening"))
+    lowest = F.min(F.col("opening") + F.col("_low")).over(Window.partitionBy(key))
+    chunks = (
+        placed.groupBy(key, "chunk")
+        .agg(F.sum(delta).alias("net"), F.min("_sum").alias("_low"))
         .join(openings, key)
-        .withColumn("_answers", F.aggregate("_events", start, step, lambda s: s["answers"]))
-    )
-    pairs = folded.select(key, F.explode(F.arrays_zip("_events", "_answers")).alias("_z"))
-    return pairs.select(key, "_z._events.*", "_z._answers.*").select(
-        *events.columns, "accepted", "level_after"
+        .withColumn("_tight", lowest < 0)
     )
+    after = (F.col("opening") + F.col("_sum")).alias("level_after")
+    easy = placed.join(chunks.filter("not _tight").select(key, "chunk", "opening"), [key, "chunk"])
+    easy = easy.select(*events.columns, F.lit(True).alias("accepted"), after)
+    tight = chunks.filter("_tight").select(key, "chunk", "opening", "net")
+    return easy.unionByName(_fold_chunks(placed, tight, key, delta).select(*easy.columns))
 
 
 def replay(deltas: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -123,19 +99,8 @@ def _walk(chunks: pd.DataFrame) -> pd.DataFrame:
     return chunks.assign(start=np.array(starts, dtype=np.int64), known=known)
 
 
-def _fold_chunks(
-    hot: DataFrame,
-    openings: DataFrame,
-    key: str,
-    order: Sequence[str],
-    delta: str,
-    bucket: str,
-    chunk_events: int,
-) -> DataFrame:
-    spark = hot.sparkSession
-    shared_root(spark)
-    placed = running_count(hot, [key], F.col(bucket), [F.col(c) for c in order], "_pos")
-    placed = placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / chunk_events)).checkpoint()
+def _fold_chunks(placed: DataFrame, chunks: DataFrame, key: str, delta: str) -> DataFrame:
+    """Events of the given chunks with their answers; ``chunks`` has all those of a key."""
     key_type = placed.schema[key].dataType.simpleString()
     report_schema = (
         f"{key} {key_type}, chunk bigint, opening bigint, low bigint, high bigint, net bigint"
@@ -158,11 +123,9 @@ def _fold_chunks(
             }
         )
 
-    # First guess: nothing was refused before the chunk. Openings join the
-    # chunk totals, not the events of a large key.
-    nets = placed.groupBy(key, "chunk").agg(F.sum(delta).alias("net")).join(openings, key)
+    # First guess: nothing was refused before the chunk.
     walked = (
-        nets.withColumns({"low": F.lit(0).cast("bigint"), "high": F.lit(0).cast("bigint")})
+        chunks.withColumns({"low": F.lit(0).cast("bigint"), "high": F.lit(0).cast("bigint")})
         .select(key, "chunk", "opening", "low", "high", "net")
         .groupBy(key)
         .applyInPandas(_walk, walk_schema)
@@ -196,4 +159,4 @@ def _fold_chunks(
             answer, f"{key} {key_type}, _pos bigint, accepted boolean, level_after bigint"
         )
     )
-    return placed.join(answers, [key, "_pos"]).select(*hot.columns, "accepted", "level_after")
+    return placed.join(answers, [key, "_pos"])

@@ -70,12 +70,10 @@ def screen_intake(intake: DataFrame, mode: str = "skip", batch: str | None = Non
     )
 
 
-def next_ids(
-    df: DataFrame, existing: DataFrame, order: list[Column], bounded_by: DataFrame | None = None
-) -> DataFrame:
+def next_ids(df: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
     """New surrogate ids above the highest existing one, in the given order."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    numbered = number_rows(df, order, "_new", bounded_by)
+    numbered = number_rows(df, order, "_new")
     return numbered.withColumn("id", (F.col("_new") + top).cast("bigint")).drop("_new")
 
 
@@ -115,8 +113,7 @@ def merge_stock_intake(
     already contain the intake's categories.
     """
     shared_root(products.sparkSession)
-    # The batch is folded once; both halves below and the count of new names
-    # read it from the checkpoint.
+    # The batch is folded once; both halves below read it from the checkpoint.
     target = _by_name(intake, seq).join(_first_by_name(products), "name", "left").checkpoint()
     known = target.filter(F.col("id").isNotNull()).drop("name", "_first")
     # A cast would overflow silently outside ANSI mode; stock stays bigint.
@@ -132,7 +129,6 @@ def merge_stock_intake(
         target.filter(F.col("id").isNull()).drop("id"),
         products,
         [F.col("_first"), F.col("name")],
-        bounded_by=target,
     )
     if "in_category" in fresh.columns:
         kinds = categories.select(

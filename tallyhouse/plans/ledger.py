@@ -180,7 +180,7 @@ def apply_adjustments(
 ) -> Adjusted:
     """Manual stock corrections applied in order; a removal larger than the
     stock at that moment is refused."""
-    log = adjustment_log(products, adjustments, seq, bucket, **sizes)
+    log = adjustment_log(products, adjustments, seq, bucket, **sizes).checkpoint()
     done = log.filter("accepted")
     moved = done.groupBy(F.col("product_id").alias("id")).agg(F.sum("delta").alias("_moved"))
     stock = F.col("current_stock").cast("bigint") + F.coalesce("_moved", F.lit(0))
@@ -307,7 +307,7 @@ def apply_payments(
     **sizes: int,
 ) -> Paid:
     """Payments applied to debtors; the sale behind each debt follows."""
-    log = payment_log(debtors, payments, order, bucket, **sizes)
+    log = payment_log(debtors, payments, order, bucket, **sizes).checkpoint()
     taken = (
         log.filter("accepted")
         .groupBy(F.col("debtor_id").alias("id"))

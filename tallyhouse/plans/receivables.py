@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import debt, pricing, text
 from tallyhouse.functions.money import total
+from tallyhouse.operators import lines as L
 from tallyhouse.operators.running import by_hour, running_total
 from tallyhouse.sources.tables import RetailTables
 
@@ -50,6 +51,11 @@ def debtors_list(
     ).orderBy(F.desc("balance"), "id")
 
 
+def _credit_sales(t: RetailTables) -> DataFrame:
+    """Sales behind the debts; only their lines are read."""
+    return t.sales.join(t.debtors.select(F.col("sale_id").alias("id")), "id", "left_semi")
+
+
 def debtor_profile(t: RetailTables, as_of: date) -> DataFrame:
     """One row for each debtor: progress, its sale, and totals of the lines and
     payments. The lines and payments themselves are ``debtor_lines`` and
@@ -57,7 +63,7 @@ def debtor_profile(t: RetailTables, as_of: date) -> DataFrame:
     paid = t.payments.groupBy(F.col("debtor_id").alias("id")).agg(
         F.count(F.lit(1)).alias("payment_count"), total(F.col("amount")).alias("payment_total")
     )
-    bought = t.sale_items.groupBy("sale_id").agg(
+    bought = L.of_sales(t.sale_items, _credit_sales(t)).groupBy("sale_id").agg(
         F.count(F.lit(1)).alias("line_count"), total(F.col("total")).alias("line_total")
     )
     sale = t.sales.select(
@@ -91,7 +97,8 @@ def debtor_lines(t: RetailTables) -> DataFrame:
     owing = t.debtors.select(F.col("id").alias("debtor_id"), "sale_id")
     names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     return (
-        t.sale_items.join(owing, "sale_id")
+        L.of_sales(t.sale_items, _credit_sales(t))
+        .join(owing, "sale_id")
         .join(names, "product_id", "left")
         .select("debtor_id", "product", "quantity", "price_at_sale", "total")
     )

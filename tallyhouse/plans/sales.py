@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import pricing, stock, text
@@ -76,8 +76,10 @@ def top_products_week(t: RetailTables, as_of: date, n: int = 5) -> DataFrame:
         .orderBy(F.desc("units"), "product_id")
         .limit(n)
     )
-    ranked = number_rows(top, [F.desc("units"), F.col("product_id")], "rank", bounded_by=n)
-    return ranked.select("rank", "name", F.col("units").alias("total_quantity"))
+    rank = F.row_number().over(Window.orderBy(F.desc("units"), "product_id"))
+    return top.select(
+        rank.cast("bigint").alias("rank"), "name", F.col("units").alias("total_quantity")
+    )
 
 
 def recent_sales(sales: DataFrame, n: int = 5) -> DataFrame:
@@ -102,8 +104,11 @@ def sales_trend(sales: DataFrame, as_of: date, days: int = 7) -> DataFrame:
 
 def _per_category(t: RetailTables, sales: DataFrame) -> DataFrame:
     folded = L.per_product(L.of_sales(t.sale_items, sales))
-    sold = L.with_products(folded, t.products, "category_id")
-    return sold.groupBy("category_id").agg(
+    return _fold_categories(L.with_products(folded, t.products, "category_id"))
+
+
+def _fold_categories(sold: DataFrame, *also: str) -> DataFrame:
+    return sold.groupBy("category_id", *also).agg(
         F.sum("lines").alias("transaction_count"),
         F.sum("units").alias("items_sold"),
         F.sum("revenue").cast(TOTAL).alias("revenue"),
@@ -194,17 +199,18 @@ def products_report(
     start, end = default_period(as_of, start, end)
     kept = t.sales.filter(in_period("sale_date", start, end) | F.col("sale_date").isNull())
     sold = L.per_product(L.of_sales(t.sale_items, kept)).drop("lines")
-    ever = t.sale_items.select("product_id").distinct()
+    ever = t.sale_items.select("product_id").distinct().withColumn("_ever", F.lit(True))
     shelf = t.products.withColumnRenamed("id", "product_id").join(
         _category_names(t), "category_id"
     )
-    listed = shelf.join(sold, "product_id").unionByName(
-        shelf.join(ever, "product_id", "left_anti"), allowMissingColumns=True
-    )
-    most = listed.agg(F.max(F.coalesce("units", F.lit(0))).alias("most")).scalar()
-    ranked = number_rows(
-        listed, [F.desc_nulls_last("units"), F.col("product_id")], "rank", bounded_by=t.products
+    listed = (
+        shelf.join(sold, "product_id", "left")
+        .join(ever, "product_id", "left")
+        .filter(F.col("units").isNotNull() | F.col("_ever").isNull())
+        .drop("_ever")
     )
+    ranked = number_rows(listed, [F.desc_nulls_last("units"), F.col("product_id")], "rank")
+    most = ranked.agg(F.max(F.coalesce("units", F.lit(0))).alias("most")).scalar()
     buying, selling, units = F.col("buying_price"), F.col("selling_price"), F.col("units")
     return ranked.select(
         "rank",
@@ -242,18 +248,16 @@ def categories_report(
     """``transaction_count`` counts lines, as its label hides; ``sale_count``
     counts the distinct sales behind them."""
     _, _, sales = _period(t, as_of, start, end)
-    lines = L.of_sales(t.sale_items, sales).select("sale_id", "product_id")
-    pairs = lines.distinct()
-    distinct_sales = (
-        L.with_products(pairs, t.products, "category_id")
-        .groupBy("category_id")
-        .agg(F.count_distinct("sale_id").alias("sale_count"))
+    lines = L.per_product(L.of_sales(t.sale_items, sales), "sale_id")
+    per_sale = _fold_categories(L.with_products(lines, t.products, "category_id"), "sale_id")
+    folded = per_sale.groupBy("category_id").agg(
+        F.count(F.lit(1)).alias("sale_count"),
+        *[F.sum(c).alias(c) for c in ("transaction_count", "items_sold")],
+        F.sum("revenue").cast(TOTAL).alias("revenue"),
     )
-    folded = _per_category(t, sales)
     whole = folded.agg(F.sum("revenue").alias("whole")).scalar()
     return (
-        folded.join(distinct_sales, "category_id")
-        .join(_category_names(t), "category_id")
+        folded.join(_category_names(t), "category_id")
         .select(
             "category",
             "transaction_count",
@@ -289,7 +293,6 @@ def users_report(
         folded.join(staff, "user_id"),
         [F.desc("total_sales"), F.col("user_id")],
         "rank",
-        bounded_by=t.users,
     )
     return ranked.select(
         "rank",

@@ -93,8 +93,8 @@ def write_tables(tables: RetailTables, root: str) -> None:
     """Write all tables. ``sales`` and ``sale_items`` share month folders, so a
     report over a period prunes both sides of their join.
 
-    Rows of one month are spread over many writers by a row hash: a month that
-    holds most of the data still writes in parallel.
+    Rows are gathered by month, and adaptive execution splits large months by
+    their size: a month that holds most of the data still writes in parallel.
     """
     facts = {name: getattr(tables, name) for name in MONTH_OF}
     for name in ("categories", "users", "products", "debtors"):
@@ -111,9 +111,5 @@ def write_tables(tables: RetailTables, root: str) -> None:
     _by_month(out).write.mode("overwrite").partitionBy("month").parquet(f"{root}/sale_items")
 
 
-MONTH_WRITERS = 16
-
-
 def _by_month(df: DataFrame) -> DataFrame:
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "month"]), F.lit(MONTH_WRITERS))
-    return df.repartition("month", spread)
+    return df.hint("rebalance", "month")

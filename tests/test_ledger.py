@@ -37,7 +37,7 @@ def test_price_sales(spark):
     ]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"whole_key_events": 1, "chunk_events": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_events": 2}])
 def test_adjustments(spark, shop, sizes):
     asked = spark.createDataFrame(
         [

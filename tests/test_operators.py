@@ -40,13 +40,12 @@ def test_running_count(spark):
     assert all(r.n == r.seq // 2 + 1 for r in got.collect())
 
 
-@pytest.mark.parametrize("bound", [10, 1000])
-def test_number_rows_small_and_large(spark, bound):
+def test_number_rows(spark):
     rng = random.Random(2)
     data = [(i, None if rng.random() < 0.3 else rng.randrange(5)) for i in range(500)]
     df = spark.createDataFrame(data, "id int, v int").repartition(6)
     order = [F.desc_nulls_last("v"), F.col("id")]
-    got = number_rows(df, order, "rank", bounded_by=df, single_task_rows=bound)
+    got = number_rows(df, order, "rank")
     ranked = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert {r.id: r["rank"] for r in got.collect()} == {
         row[0]: i + 1 for i, row in enumerate(ranked)
@@ -74,9 +73,9 @@ def brute(events, openings):
     return out
 
 
-@pytest.mark.parametrize("whole, chunk", [(10_000, 10), (20, 7), (0, 64)])
+@pytest.mark.parametrize("chunk", [7, 64, 10_000])
 @pytest.mark.parametrize("signs", ["both", "withdrawals"])
-def test_accept_in_order_matches_brute_force(spark, whole, chunk, signs):
+def test_accept_in_order_matches_brute_force(spark, chunk, signs):
     events = skewed(600, 4)
     if signs == "withdrawals":
         events = [(s, k, -abs(v) - 1) for s, k, v in events]
@@ -88,7 +87,7 @@ def test_accept_in_order_matches_brute_force(spark, whole, chunk, signs):
     starts = spark.createDataFrame(list(openings.items()), "key bigint, opening bigint")
     got = accept_in_order(
         df.repartition(5), starts, "key", ["slot", "seq"], "delta", "slot",
-        whole_key_events=whole, chunk_events=chunk,
+        chunk_events=chunk,
     )
     assert got.columns == ["seq", "key", "delta", "slot", "accepted", "level_after"]
     assert {r.seq: (r.accepted, r.level_after) for r in got.collect()} == brute(events, openings)
@@ -152,10 +151,26 @@ def test_null_stretches_are_kept(spark):
     assert sorted(r.total for r in got.collect()) == list(range(1, 11))
 
 
-@pytest.mark.parametrize("whole", [1000, 3])
-def test_ordered_acceptance_answers_events_without_a_bucket(spark, whole):
+@pytest.mark.parametrize("chunk", [1000, 4])
+def test_ordered_acceptance_answers_events_without_a_bucket(spark, chunk):
     rows = [("k", i, None if i < 10 else i, -1) for i in range(20)]
     events = spark.createDataFrame(rows, "key string, at int, bucket int, delta bigint")
     openings = spark.createDataFrame([("k", 15)], "key string, opening bigint")
-    got = accept_in_order(events, openings, "key", ["at"], "delta", "bucket", whole, 4).collect()
+    got = accept_in_order(events, openings, "key", ["at"], "delta", "bucket", chunk).collect()
     assert len(got) == 20 and sorted(r["at"] for r in got if r.accepted) == list(range(15))
+
+
+def test_keys_that_never_run_short_are_accepted_whole(spark):
+    rows = [("easy", i, -1) for i in range(9)] + [("tight", i, -1) for i in range(9)]
+    events = spark.createDataFrame(rows, "key string, at int, delta bigint")
+    openings = spark.createDataFrame(
+        [("easy", 9), ("tight", 4), ("idle", 1)], "key string, opening bigint"
+    )
+    got = accept_in_order(events, openings, "key", ["at"], "delta", "at", 4).collect()
+    assert len(got) == len(rows)
+    assert {(r.at, r.accepted, r.level_after) for r in got if r.key == "easy"} == {
+        (i, True, 8 - i) for i in range(9)
+    }
+    assert {(r.at, r.accepted, r.level_after) for r in got if r.key == "tight"} == {
+        (i, i < 4, max(3 - i, 0)) for i in range(9)
+    }
