@@ -17,7 +17,7 @@ exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,12 +68,15 @@ def accept_in_order(
     return easy.unionByName(_fold_chunks(placed, tight, key, delta).select(*easy.columns))
 
 
-def replay(deltas: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Fold one chunk: answers, levels, and the range of opening levels
-    (lowest included, highest excluded) for which all answers are the same."""
+def replay(
+    deltas: np.ndarray, level: int, opening: int | None = None, low: int = 0, high: int = _NO_LIMIT
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Fold events of one chunk: answers, levels, and the range of opening levels
+    (lowest included, highest excluded) for which all answers are the same. A
+    later part of a chunk goes on from the last level, the opening and the range."""
     accepted = np.empty(len(deltas), dtype=bool)
     levels = np.empty(len(deltas), dtype=np.int64)
-    opening, low, high = level, 0, _NO_LIMIT
+    opening = level if opening is None else opening
     for i, delta in enumerate(deltas.tolist()):
         spare = level + delta
         if spare >= 0:
@@ -86,77 +89,103 @@ def replay(deltas: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int,
     return accepted, levels, low, high
 
 
-def _walk(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Opening level of every chunk of one key, as far as the reports tell.
-    ``known`` is off for a chunk whose report does not cover its level."""
-    chunks = chunks.sort_values("chunk")
-    level = int(chunks["opening"].iloc[0])
-    starts, known = [], []
-    for low, high, net in zip(chunks["low"], chunks["high"], chunks["net"], strict=True):
-        starts.append(level)
-        known.append(bool(low <= level < high))
-        level = max(level + int(net), 0)
-    return chunks.assign(start=np.array(starts, dtype=np.int64), known=known)
+def _runs(values: pd.Series) -> Iterator[slice]:
+    """Stretches of equal neighbours."""
+    edges = np.flatnonzero((values != values.shift()).to_numpy()[1:]) + 1
+    bounds = [0, *edges.tolist(), len(values)]
+    return (slice(i, j) for i, j in zip(bounds, bounds[1:], strict=False))
 
 
 def _fold_chunks(placed: DataFrame, chunks: DataFrame, key: str, delta: str) -> DataFrame:
-    """Events of the given chunks with their answers; ``chunks`` has all those of a key."""
+    """Events of the given chunks with their answers; ``chunks`` has all those of a key.
+
+    Python reads sorted partitions batch by batch and keeps one chunk's state."""
     key_type = placed.schema[key].dataType.simpleString()
-    report_schema = (
-        f"{key} {key_type}, chunk bigint, opening bigint, low bigint, high bigint, net bigint"
-    )
-    walk_schema = f"{report_schema}, start bigint, known boolean"
-
-    def report(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        first = rows.iloc[0]
-        level = int(first["start"])
-        _, levels, low, high = replay(rows[delta].to_numpy(), level)
-        return pd.DataFrame(
-            {
-                key: [first[key]],
-                "chunk": [first["chunk"]],
-                "opening": [first["opening"]],
-                "low": [low],
-                "high": [high],
-                "net": [int(levels[-1]) - level],
-            }
+    unit = F.struct(key, "chunk")
+
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = level = opening = low = high = None
+        for batch in batches:
+            deltas, starts = batch["delta"].to_numpy(), batch["start"].to_numpy()
+            accepted, levels = np.empty(len(batch), bool), np.empty(len(batch), np.int64)
+            lows, highs = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            for run in _runs(batch["unit"]) if len(batch) else ():
+                if batch["unit"].iloc[run.start] != at:
+                    at = batch["unit"].iloc[run.start]
+                    level = opening = int(starts[run.start])
+                    low, high = 0, _NO_LIMIT
+                accepted[run], levels[run], low, high = replay(
+                    deltas[run], level, opening, low, high
+                )
+                level = int(levels[run.stop - 1])
+                lows[run], highs[run] = low, high
+            yield batch[[key, "chunk", "_pos", "start"]].assign(
+                accepted=accepted, level_after=levels, low=lows, high=highs
+            )
+
+    def fold(starts: DataFrame) -> DataFrame:
+        return (
+            placed.select(key, "chunk", "_pos", F.col(delta).alias("delta"))
+            .join(starts.select(key, "chunk", "start"), [key, "chunk"])
+            .withColumn("unit", F.to_json(unit))
+            .repartition(key, "chunk")
+            .sortWithinPartitions(key, "chunk", "_pos")
+            .mapInPandas(
+                answers,
+                f"{key} {key_type}, chunk bigint, _pos bigint, start bigint, accepted boolean,"
+                " level_after bigint, low bigint, high bigint",
+            )
+        )
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Opening level of every chunk, as far as the reports tell. ``known`` is
+        off for a chunk whose report does not cover its level."""
+        at = level = None
+        for batch in batches:
+            starts, known = [], []
+            columns = (batch[c] for c in ("unit", "opening", "low", "high", "net"))
+            for of, opening, low, high, net in zip(*columns, strict=True):
+                if of != at:
+                    at, level = of, int(opening)
+                starts.append(level)
+                known.append(bool(low <= level < high))
+                level = max(level + int(net), 0)
+            yield batch.drop(columns="unit").assign(
+                start=np.array(starts, np.int64), known=np.array(known, bool)
+            )
+
+    def walked(reports: DataFrame) -> DataFrame:
+        rows = reports.select(key, "chunk", "opening", "low", "high", "net")
+        return (
+            rows.withColumn("unit", F.to_json(F.struct(key)))
+            .repartition(key)
+            .sortWithinPartitions(key, "chunk")
+            .mapInPandas(
+                walk,
+                f"{key} {key_type}, chunk bigint, opening bigint, low bigint, high bigint,"
+                " net bigint, start bigint, known boolean",
+            )
+            .checkpoint()
         )
 
     # First guess: nothing was refused before the chunk.
-    walked = (
-        chunks.withColumns({"low": F.lit(0).cast("bigint"), "high": F.lit(0).cast("bigint")})
-        .select(key, "chunk", "opening", "low", "high", "net")
-        .groupBy(key)
-        .applyInPandas(_walk, walk_schema)
-        .checkpoint()
-    )
+    zero = F.lit(0).cast("bigint")
+    state = walked(chunks.withColumns({"low": zero, "high": zero}))
     while True:
-        wrong = walked.filter(~F.col("known")).select(key, "chunk", "opening", "start")
+        wrong = state.filter(~F.col("known"))
         if wrong.isEmpty():
             break
         redone = (
-            placed.select(key, "chunk", "_pos", delta)
-            .join(wrong, [key, "chunk"])
+            fold(wrong)
             .groupBy(key, "chunk")
-            .applyInPandas(report, report_schema)
+            .agg(
+                F.max("low").alias("low"),
+                F.min("high").alias("high"),
+                (F.max_by("level_after", "_pos") - F.first("start")).alias("net"),
+            )
+            .join(wrong.select(key, "chunk", "opening"), [key, "chunk"])
         )
-        kept = walked.filter("known").drop("start", "known")
-        walked = (
-            kept.unionByName(redone).groupBy(key).applyInPandas(_walk, walk_schema).checkpoint()
-        )
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        accepted, levels, _, _ = replay(rows[delta].to_numpy(), int(rows["start"].iloc[0]))
-        return rows[[key, "_pos"]].assign(accepted=accepted, level_after=levels)
-
-    answers = (
-        placed.select(key, "chunk", "_pos", delta)
-        .join(walked.select(key, "chunk", "start"), [key, "chunk"])
-        .groupBy(key, "chunk")
-        .applyInPandas(
-            answer, f"{key} {key_type}, _pos bigint, accepted boolean, level_after bigint"
-        )
-    )
-    return placed.join(answers, [key, "_pos"])
+        kept = state.filter("known").select(key, "chunk", "opening", "low", "high", "net")
+        state = walked(kept.unionByName(redone))
+    done = fold(state).select(key, "_pos", "accepted", "level_after")
+    return placed.join(done, [key, "_pos"])
