@@ -31,6 +31,7 @@ from tallyhouse.sources.sinks import shared_root
 CHUNK_EVENTS = 100_000
 
 _NO_LIMIT = np.iinfo(np.int64).max
+_NO_FLOOR = np.iinfo(np.int64).min
 
 
 def accept_in_order(
@@ -69,7 +70,11 @@ def accept_in_order(
 
 
 def replay(
-    deltas: np.ndarray, level: int, opening: int | None = None, low: int = 0, high: int = _NO_LIMIT
+    deltas: np.ndarray,
+    level: int,
+    opening: int | None = None,
+    low: int = _NO_FLOOR,
+    high: int = _NO_LIMIT,
 ) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Fold events of one chunk: answers, levels, and the range of opening levels
     (lowest included, highest excluded) for which all answers are the same. A
@@ -113,7 +118,7 @@ def _fold_chunks(placed: DataFrame, chunks: DataFrame, key: str, delta: str) ->
                 if batch["unit"].iloc[run.start] != at:
                     at = batch["unit"].iloc[run.start]
                     level = opening = int(starts[run.start])
-                    low, high = 0, _NO_LIMIT
+                    low, high = _NO_FLOOR, _NO_LIMIT
                 accepted[run], levels[run], low, high = replay(
                     deltas[run], level, opening, low, high
                 )
@@ -149,7 +154,9 @@ def _fold_chunks(placed: DataFrame, chunks: DataFrame, key: str, delta: str) ->
                     at, level = of, int(opening)
                 starts.append(level)
                 known.append(bool(low <= level < high))
-                level = max(level + int(net), 0)
+                level += int(net)
+                if not known[-1]:
+                    level = max(level, 0)
             yield batch.drop(columns="unit").assign(
                 start=np.array(starts, np.int64), known=np.array(known, bool)
             )

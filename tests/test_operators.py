@@ -174,3 +174,12 @@ def test_keys_that_never_run_short_are_accepted_whole(spark):
     assert {(r.at, r.accepted, r.level_after) for r in got if r.key == "tight"} == {
         (i, i < 4, max(3 - i, 0)) for i in range(9)
     }
+
+
+def test_a_level_below_zero_refuses_until_it_is_made_good(spark):
+    deltas = [-1, 2, -1, 4, -2, -1, 1]
+    events = [(i, "k", d) for i, d in enumerate(deltas)]
+    df = spark.createDataFrame(events, "seq int, key string, delta bigint")
+    openings = spark.createDataFrame([("k", -3)], "key string, opening bigint")
+    got = accept_in_order(df, openings, "key", ["seq"], "delta", "seq", 2).collect()
+    assert {r.seq: (r.accepted, r.level_after) for r in got} == brute(events, {"k": -3})
