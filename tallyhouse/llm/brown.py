@@ -1,13 +1,16 @@
 """Scores of texts under a Brown class-based bigram model.
 
-A text is its words with A-Z lowered and one end token. Exchange clustering assigns every word to a
-class: the most frequent ``HEAD`` words are units of their own, all others share one of ``FORMS`` units
-by the bytes they end with, and units are moved to the class that raises the likelihood of the class
-bigrams most. The most frequent units found a class each; every round twice as many units take part,
-until all do. In a round the units are spread over tasks, which weigh every class for each of their
-units against the class bigram counts of the round before; new units and alternate halves of the others
-move. The number of units is fixed, so what a round gathers is bounded; the counts behind it cover the
-corpus.
+A text is its words with A-Z lowered and one end token. Exchange clustering moves every training word to
+the class that raises the likelihood of the class bigrams most.
+
+It starts from a coarse clustering of a fixed number of units: the most frequent ``HEAD`` words, and
+``FORMS`` groups of all others by the bytes they end with. The most frequent units found a class each;
+every round twice as many units take part, until all do. Then each word starts in its unit's class and
+is exchanged itself for ``ROUNDS`` rounds. In a round the words' classes reach the blocks by a join, the
+blocks count (word, neighbour class), these counts meet by word, and tasks weigh every class for each of
+their words against the class bigram counts; alternate halves of the words move. (word, class) is a saved
+table that grows with the vocabulary; only the class bigram counts reach the driver. A word that no
+training row has takes the class of its unit.
 
     P(word | before) = P(class | class before) * P(word | class)
 
@@ -27,11 +30,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +46,12 @@ CLASSES = 64
 HEAD = 4096
 FORMS = 2048
 FORM_BYTES = 4
-#: Rounds after all units take part.
+#: Rounds of units that all take part in, before words are exchanged themselves.
+STARTING = 1
+#: Rounds in which every training word takes part.
 ROUNDS = 8
+#: Words that are weighed at a time.
+WEIGHED = 1024
 BLOCK_TOKENS = 2_000_000
 #: Added to each count of a word, and the weight of class frequencies in transitions.
 ADDED = 0.1
@@ -50,6 +59,8 @@ PRIOR = 10.0
 COUNTED_WORDS = 1_000_000
 COUNTED_PAIRS = 3_000_000
 
+PAIRS = "block long, size int, a binary, b binary, n binary"
+SEEN = "word binary, class int, slots array<int>, ns array<long>"
 BLOCKS = "block long, words binary, ids binary, held_out binary, lengths binary, tokens binary"
 WORDS = "word binary, n long"
 
@@ -166,6 +177,20 @@ class Block:
         return out
 
 
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.select(["block", "words"]).to_pylist():
+            words = row["words"].split(b"\n") if row["words"] else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(words), row["block"], np.int64)), pa.array(np.arange(1, len(words) + 1, dtype=np.int32)), pa.array(words, pa.binary())], ["block", "number", "word"]
+            )
+
+
+def block_words(cut: DataFrame) -> DataFrame:
+    """The words of each block and their numbers in it."""
+    return cut.select("block", "words").mapInArrow(_block_words, "block long, number int, word binary")
+
+
 def unit_pairs(cut: DataFrame, units: Units) -> DataFrame:
     """Counts of (unit before, unit) over the training texts."""
     many = units.start + 1
@@ -286,12 +311,161 @@ def exchange(pairs: DataFrame, units: Units, classes: int = CLASSES, rounds: int
     return of, tallied(of)[:outside, :outside]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as compressed bytes, those of equal worth together: blocks travel once a round."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
+
+
+def block_pairs(cut: DataFrame) -> DataFrame:
+    """Counts of (number before, number) over each block's training texts; ``size`` stands for the start.
+
+    ``a`` holds the steps from one number to the next.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Block.of(row)
+                size = len(own.words) + 1
+                values = own.tokens.astype(np.int64)
+                training = ~np.repeat(own.held_out, own.lengths)
+                codes, n = np.unique((own.before(values, size) * (size + 1) + values)[training], return_counts=True)
+                numbers = [packed(x) for x in (np.diff(codes // (size + 1), prepend=0), codes % (size + 1), n)]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([row["block"], size, *numbers], kinds, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
+
+    return cut.mapInArrow(counted, PAIRS)
+
+
+def _seen(classes: int):
+    """Of a block: neighbour class counts of each word that moves, and class bigrams under a null word."""
+    kinds = classes + 2
+
+    def block(pairs: pa.Table, known: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            pairs = pa.table({"size": [1], **{x: [packed(np.zeros(0, int))] for x in "abn"}})
+        size = pairs["size"][0].as_py()
+        a, b, n = (unpacked(pairs[x][0].as_py()) for x in "abn")
+        a = np.cumsum(a)
+        number = known["number"].to_numpy()
+        of, moving, row = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
+        of[number], moving[number], row[number] = known["class"].to_numpy(), known["moves"].to_numpy(), np.arange(len(number))
+        of[0], of[size] = classes, classes + 1
+        table = np.bincount(of[a] * kinds + of[b], n, minlength=kinds * kinds).astype(np.int64)
+        right, left = moving[a], moving[b]
+        codes = np.concatenate([a[right] * 2 * kinds + of[b[right]], b[left] * 2 * kinds + kinds + of[a[left]]])
+        codes, where = np.unique(codes, return_inverse=True)
+        times = np.bincount(where, np.concatenate([n[right], n[left]]), minlength=len(codes)).astype(np.int64)
+        whose, cell = codes // (2 * kinds), np.flatnonzero(table)
+        found, firsts = np.unique(whose, return_index=True)
+        words = known["word"].combine_chunks().take(pa.array(row[found]))
+        words = pa.concat_arrays([words, pa.nulls(1, words.type)])
+        ends = pa.array(np.r_[firsts, len(codes), len(codes) + len(cell)].astype(np.int32))
+        slots = pa.array(np.concatenate([codes % (2 * kinds), cell]).astype(np.int32))
+        columns = [words, pa.array(np.r_[of[found], 0].astype(np.int32))]
+        columns += [pa.ListArray.from_arrays(ends, x) for x in (slots, pa.array(np.concatenate([times, table[cell]])))]
+        return pa.Table.from_arrays(columns, ["word", "class", "slots", "ns"])
+
+    return block
+
+
+def best_of_many(after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+    """``best_classes`` for many words with few neighbour classes each: only their cells are weighed."""
+    every = np.arange(len(own))
+    gain = np.zeros((len(own), classes))
+    for mine, other, table in ((after, before, pairs.T), (before, after, pairs)):
+        who, cell = np.nonzero(mine)
+        n = mine[who, cell]
+        rest = table[cell, :classes].astype(float)
+        rest[np.arange(len(who)), own[who]] -= n
+        same = cell == own[who]
+        rest[same] -= other[who[same], :classes]
+        rest = np.maximum(rest, 0)
+        found = x_log_x(rest + n[:, None]) - x_log_x(rest)
+        some, firsts = np.unique(who, return_index=True)
+        if len(some):
+            gain[some] += np.add.reduceat(found, firsts, axis=0)
+        total = mine.sum(axis=1)
+        margin = np.repeat(table[:, :classes].sum(axis=0)[None, :].astype(float), len(own), axis=0) - other[:, :classes]
+        margin[every, own] -= total
+        margin = np.maximum(margin, 0)
+        gain -= x_log_x(margin + total[:, None]) - x_log_x(margin)
+    who, cell = np.nonzero((after[:, :classes] > 0) & (before[:, :classes] > 0))
+    r, l = after[who, cell], before[who, cell]
+    both = np.maximum(pairs[cell, cell] - (cell == own[who]) * (r + l), 0)
+    gain[who, cell] += x_log_x(both + r + l) + x_log_x(both) - x_log_x(both + r) - x_log_x(both + l)
+    best = gain.argmax(axis=1)
+    return np.where(gain[every, best] > gain[every, own] + 1e-9, best, own)
+
+
+def _moved(pairs: np.ndarray, classes: int):
+    """New classes of words, from rows sorted by word; the rows of a word may go on in the next batch."""
+    kinds = classes + 2
+
+    def weighed(words: pa.Array, own: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+        new = best_of_many(sides[:, :kinds], sides[:, kinds:], own, pairs, classes)
+        return pa.RecordBatch.from_arrays([words, pa.array(new.astype(np.int32))], ["word", "new"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, last = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, WEIGHED):
+                some = batch.slice(at, WEIGHED)
+                coded = some["word"].dictionary_encode()
+                row, words = coded.indices.to_numpy(), coded.dictionary
+                own, sides = np.zeros(len(words), np.int64), np.zeros((len(words), 2 * kinds))
+                own[row] = some["class"].to_numpy()
+                sizes = pa.compute.list_value_length(some["slots"]).to_numpy()
+                np.add.at(sides, (np.repeat(row, sizes), some["slots"].flatten().to_numpy()), some["ns"].flatten().to_numpy())
+                if word is not None and words[0] == word[0]:
+                    sides[0] += last[1][0]
+                elif word is not None:
+                    yield weighed(word, *last)
+                if len(words) > 1:
+                    yield weighed(words[:-1], own[:-1], sides[:-1])
+                word, last = words[-1:], (own[-1:], sides[-1:])
+        if word is not None:
+            yield weighed(word, *last)
+
+    return rows
+
+
+def exchange_words(words: DataFrame, asked: DataFrame, pairs: DataFrame, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """``words`` (word, n, class) after so many rounds, and the class bigrams [before, class] they give."""
+    kinds = classes + 2
+    for k in range(rounds + 1):
+        moves = F.lit(k < rounds) & (F.pmod(F.xxhash64("word"), F.lit(2)) == k % 2)
+        known = asked.join(words.select("word", "class", moves.alias("moves")), "word")
+        seen = pairs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_seen(classes), SEEN).persist(StorageLevel.DISK_ONLY)
+        table = np.zeros((kinds, kinds))
+        cells = seen.filter("word is null").select(F.explode(F.arrays_zip("slots", "ns")).alias("x"))
+        for r in cells.groupBy("x.slots").agg(F.sum("x.ns").alias("n")).collect():
+            table[divmod(r["slots"], kinds)] = r["n"]
+        if k < rounds:
+            sides = seen.filter("word is not null").repartition("word").sortWithinPartitions("word")
+            moved = sides.mapInArrow(_moved(table, classes), "word binary, new int")
+            words = saved(words.join(moved, "word", "left").select("word", "n", F.coalesce("new", "class").alias("class")), "words")
+        seen.unpersist()
+    return words, table
+
+
 @dataclass
 class Model:
-    """Logarithms to base 10 of transitions, and what words' shares are made of."""
+    """Logarithms to base 10 of transitions, and what words' shares are made of.
+
+    ``known`` holds (word, n, class) of every training word; ``classes`` those of the units.
+    """
 
     units: Units
     classes: np.ndarray
+    known: DataFrame | None
     transitions: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
@@ -299,51 +473,66 @@ class Model:
     words: int
     end_count: int
 
-    def class_of(self, word: bytes) -> int:
+    def of_unit(self, word: bytes) -> int:
         return int(self.classes[self.units.of(word)])
 
+    def class_of(self, word: bytes) -> int:
+        """For a look at single words; texts meet ``known`` by a join."""
+        own = self.known.filter(F.col("word") == F.lit(bytearray(word))).select("class").first()
+        return own["class"] if own else self.of_unit(word)
+
 
-def class_sizes(counts: DataFrame, units: Units, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
-    kinds = int(classes.max()) + 1
+def unit_classes(counts: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
+    """word, n and the class of its unit."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = classes[np.fromiter((units.of(x) for x in batch.column("word").to_pylist()), np.int64, batch.num_rows)]
-            n = np.bincount(own, batch.column("n").to_numpy(), minlength=kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds)), pa.array(n.astype(np.int64)), pa.array(np.bincount(own, minlength=kinds))], ["class", "n", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own.astype(np.int32))], ["word", "n", "class"])
 
-    found = counts.mapInArrow(summed, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    tokens, words = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
-    for r in found.collect():
-        tokens[r["class"]], words[r["class"]] = r["n"], r["v"]
-    return tokens, words
+    return counts.mapInArrow(placed, f"{WORDS}, class int")
 
 
-def fit(rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS) -> Model:
+def class_sizes(words: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each class."""
+    tokens, distinct = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r["class"]], distinct[r["class"]] = r["n"], r["v"]
+    return tokens, distinct
+
+
+def fit(
+    rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS, asked: DataFrame | None = None
+) -> Model:
     most = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     units = Units({bytes(r["word"]): k for k, r in enumerate(most)})
-    of, table = exchange(saved(unit_pairs(cut, units), "pairs"), units, classes, rounds)
-    tokens, words = class_sizes(counts, units, of)
+    of, _ = exchange(saved(unit_pairs(cut, units), "pairs"), units, classes, STARTING)
+    asked = saved(block_words(cut), "asked") if asked is None else asked
+    words, table = exchange_words(saved(unit_classes(counts, units, of), "words"), asked, saved(block_pairs(cut), "block-pairs"), classes, rounds)
+    tokens, distinct = class_sizes(words, classes + 2)
     ends = rows.filter("not held_out").count()
-    tokens[classes], words[classes] = ends, int(ends > 0)
+    tokens[classes], distinct[classes] = ends, int(ends > 0)
     share = (tokens[: classes + 1] + ADDED) / (tokens[: classes + 1].sum() + ADDED * (classes + 1))
     seen = table[:, : classes + 1]
     transitions = np.log10((seen + PRIOR * share) / (seen.sum(axis=1, keepdims=True) + PRIOR))
-    return Model(units, of, transitions, tokens, words, int(tokens.sum()), int(words.sum()), ends)
+    return Model(units, of, words, transitions, tokens, distinct, int(tokens.sum()), int(distinct.sum()), ends)
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scored(model: Model, classes: int):
+    model = replace(model, known=None)
+
     def block(row: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         own = Block.of(row.iloc[0].to_dict())
         n = np.zeros(len(own.words) + 1)
         n[0] = model.end_count
         n[known["number"].to_numpy(np.int64)] = known["n"].to_numpy(np.float64)
-        of = np.fromiter((model.class_of(x) for x in own.words), np.int64, len(own.words))
-        of = np.concatenate([[classes], of])
+        of = np.full(len(own.words) + 1, classes)
+        of[known["number"].to_numpy(np.int64)] = known["class"].to_numpy(np.int64)
+        for k in np.flatnonzero(n[1:] == 0).tolist():  # words that no training row has
+            of[k + 1] = model.of_unit(own.words[k])
         base = np.log10((n + ADDED) / (model.tokens + ADDED * (model.words + 1)))
         share = (n + ADDED) / (model.class_tokens[of] + ADDED * (model.class_words[of] + 1))
         share[0] = 1.0
@@ -364,15 +553,6 @@ def _scored(model: Model, classes: int):
     return block
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.select(["block", "words"]).to_pylist():
-            words = row["words"].split(b"\n") if row["words"] else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), row["block"], np.int64)), pa.array(np.arange(1, len(words) + 1, dtype=np.int32)), pa.array(words, pa.binary())], ["block", "number", "word"]
-            )
-
-
 def class_scores(
     docs: DataFrame, held_out: Column, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -384,9 +564,9 @@ def class_scores(
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     counts = saved(word_counts(rows), "counts")
     cut = saved(blocks(rows), "blocks")
-    model = fit(rows, counts, cut, classes, head, rounds)
-    asked = cut.select("block", "words").mapInArrow(_block_words, "block long, number int, word binary")
-    known = asked.join(counts, "word").select("block", "number", "n")
+    asked = saved(block_words(cut), "asked")
+    model = fit(rows, counts, cut, classes, head, rounds, asked)
+    known = asked.join(model.known, "word").select("block", "number", "n", "class")
     scores = cut.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_scored(model, classes), SCORES)
     return scores.select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"

@@ -87,3 +87,28 @@ def test_empty_table_and_no_training_rows(spark):
     assert scores(frame(spark, []), classes=2, head=2, rounds=1) == []
     rows = brown.class_scores(frame(spark, [(1, "a b", "en", "a")]), F.lit(True), classes=2, head=2, rounds=1).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(3, 0, 0, 0.0)]
+
+
+def test_every_training_word_is_exchanged_itself(spark):
+    """Words outside the head that end alike, and so share a unit, come to the classes of their tongues."""
+    rng = random.Random(3)
+    tongues = [[f"{c}{k}same" for k in range(40)] for c in "ab"]
+    rows = [(k, " ".join(rng.choices(tongues[k % 2], k=40)), "en", "a") for k in range(1, 200)]
+    df = brown.texts(frame(spark, rows)).withColumn("held_out", F.lit(False)).withColumn("id", F.col("doc_id"))
+    counts, cut = brown.saved(brown.word_counts(df), "c"), brown.saved(brown.blocks(df, 500), "b")
+    model = brown.fit(df, counts, cut, classes=2, head=2, rounds=8)
+    assert len({model.of_unit(x.encode()) for x in tongues[0][20:] + tongues[1][20:]}) < 3
+    known = {bytes(r["word"]).decode(): r["class"] for r in model.known.collect()}
+    assert set(known) == {x for r in rows for x in r[1].split()}
+    found = [Counter(known[x] for x in t if x in known) for t in tongues]
+    assert all(max(x.values()) == x.total() for x in found) and set(found[0]) != set(found[1])
+
+
+def test_many_words_are_weighed_like_single_ones():
+    rng = np.random.default_rng(4)
+    classes = 5
+    after, before = (rng.integers(0, 4, (60, classes + 2)) * (rng.random((60, classes + 2)) < 0.3) for _ in range(2))
+    after[:, classes + 1], before[:, classes], own = 0, 0, rng.integers(0, classes, 60)
+    pairs = rng.integers(300, 900, (classes + 2, classes + 2)).astype(float)
+    one = brown.best_classes(after.astype(float), before.astype(float), own, pairs, classes)
+    assert brown.best_of_many(after.astype(float), before.astype(float), own, pairs, classes).tolist() == one.tolist()
