@@ -25,8 +25,14 @@ def chosen(docs: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go."""
+    """Documents whose language can be told: those without a letter go.
+
+    Which language is predicted, and how surely, decides nothing. Without labelled rows to learn from
+    there is no network, and every text with a letter is kept all the same.
+    """
     net = bytecnn.fit(docs, ~language_held_out())
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = saved(bytecnn.identify(docs, net), "languages")
     return chosen(docs, found.filter(F.col("lang_pred") != bytecnn.UNDETERMINED))
 
