@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import brown, bytecnn, cuckoo, mixing, packing, phrases, sharding, simhash, temporal, weighted
+from tallyhouse.llm import brown, bytecnn, cuckoo, jaccard, mixing, packing, phrases, sharding, simhash, temporal, weighted
 from tallyhouse.llm.common import Query, documents
 
 
@@ -95,6 +95,10 @@ def op10_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_pigeonhole": op8_simhash_pigeonhole,
     "op9_byte_cnn_language": op9_byte_cnn_language,
     "op10_label_propagation": op10_label_propagation,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,4 +152,25 @@ ORACLES: dict[str, str] = {
         SELECT page_id, url, fetched_on, host, coalesce(n_active, 0) AS n_active, coalesce(categories, '') AS categories, n_active IS NOT NULL AS blocked
         FROM captures LEFT JOIN verdicts USING (page_id)
     """,
+    "op11_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS grams
+            FROM words
+        ), entries AS (
+            SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b USING (gram) WHERE a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM sets
+            UNION
+            SELECT doc_id, b FROM reached JOIN links ON a = other
+        )
+        SELECT doc_id, len(grams) AS n_shingles, component_id
+        FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+    """,
 }
