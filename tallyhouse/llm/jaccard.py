@@ -46,8 +46,8 @@ PERCENT = 90
 CHUNK, CHUNK_DOCS = 1 << 20, 4096
 #: Characters of text for which a column block is added beyond the shuffle partitions.
 BLOCK_CHARS = 1 << 26
-#: Products with single rows before all pairs left are tested.
-PIVOTS = 2
+#: Products with single rows, one for each row, before all pairs left are tested.
+PIVOTS = 4
 #: Column blocks of a pair's product.
 PRODUCT_BLOCKS = 8
 
@@ -110,7 +110,7 @@ def _requests(rows: DataFrame, ngram: int, blocks: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             at = range(len(sets))
-            yield _batch(schema, [(chunk % blocks, chunk, k, *ids[k], len(sets[k]), None, None, None) for k in at])
+            yield _batch(schema, [((chunk + k) % blocks, chunk, k, *ids[k], len(sets[k]), None, None, None) for k in at])
             owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             grams = np.concatenate(sets)
             block = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
@@ -216,6 +216,7 @@ def gram_sets(docs: DataFrame, chosen: DataFrame, ngram: int = NGRAM, id_col: st
     """cls, n and grams (ascending) of the chosen (doc_id, hash), one row for each set."""
     rows = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    chosen = chosen.hint("merge")  # they grow with the corpus, so they are never broadcast
     rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["hash"] == chosen["_hash"]), "left_semi")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +316,9 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
         else:
             other = rooted
         joined = rooted.join(_second(other), "gram").filter((F.col("root") != F.col("root2")) & _possible(percent))
-        if turn == PIVOTS:
+        if turn < PIVOTS:  # a row's columns have several pivots; one of them is tried
+            joined = joined.groupBy("cls").agg(F.min_by("cls2", F.struct(F.xxhash64("cls2", F.lit(turn)), "cls2")).alias("cls2"))
+        else:
             joined = joined.filter("cls < cls2")
         new = saved(linked(saved(_pairs(joined), "pairs"), sets, percent), "links")
         if not new.isEmpty():
