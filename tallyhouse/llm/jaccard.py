@@ -10,14 +10,13 @@ and m grams ``pair_need(n, m)``. These bounds discard, in this order:
    grams that are alike in block and bits only keep a document for longer.
 2. Columns: grams of the documents left are ordered from rare to frequent. A pair of enough overlap
    shares one of each document's first ``n - need(n) + 1``, so the product needs those columns alone.
-3. Pairs: by sizes and by the place of a shared gram in that order. Overlaps of the others are summed
-   over column blocks of the whole rows, and a pair goes as soon as its sum and the rest of the
-   smaller document can't reach ``pair_need``.
+3. Pairs: by sizes, and as soon as the overlap counted in the first blocks of columns and the most that the
+   rest can add don't reach ``pair_need``.
 
 Documents of one set of grams are one row of the matrix. A column of many documents is first multiplied
 with single rows (pivots), and what these links connect isn't multiplied any more: large groups of near
-copies take a few products a document. All pairs of a column that are still apart after that are
-tested, so no component is missed.
+copies take a few products a document. Rows of a column that are still apart after that are multiplied
+with each other, in blocks of rows, so no component is missed.
 
 Defined results: null or wordless text has no grams and is linked with nothing; fewer words than a gram
 has are one gram; null ids are never the smallest unless a component has no other; repeated rows get the
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import partition_id, saved, shuffle_partitions, texts
-from tallyhouse.llm.simhash import components
+from tallyhouse.llm.simhash import Forest, components
 from tallyhouse.llm.words import mixed
 
 NGRAM = 3
@@ -50,6 +49,8 @@ BLOCK_CHARS = 1 << 26
 PIVOTS = 4
 #: Column blocks of a pair's product.
 PRODUCT_BLOCKS = 8
+#: Matrix entries of a column's rows that are multiplied with as many at a time.
+BLOCK_ENTRIES = 1 << 20
 
 
 def gram_set(text: bytes, ngram: int = NGRAM) -> np.ndarray:
@@ -83,6 +84,11 @@ def _pair_need(n: str, m: str, percent: int) -> Column:
     return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent)).cast("long")
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    ends, grams = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [grams[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 REQUESTS = "block long, chunk long, at long, doc_id long, hash long, cls binary, n long, prints binary, docs binary, counts binary"
 ANSWERS = "chunk long, at long, doc_id long, hash long, cls binary, n long, docs binary, counts binary"
 
@@ -281,13 +287,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """a, b and overlap of the pairs (a, b) of set classes that are alike enough."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values(column: pa.ListArray) -> list[np.ndarray]:
-            ends = column.offsets.to_numpy()
-            grams = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            return [grams[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
         for batch in batches:
-            found = overlaps(values(batch.column("ga")), values(batch.column("gb")), percent)
+            found = overlaps(_lists(batch.column("ga")), _lists(batch.column("gb")), percent)
             some = pa.array(found >= 0)
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(some) for x in ("a", "b")] + [pa.array(found[found >= 0])], ["a", "b", "overlap"])
 
@@ -296,6 +297,90 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return joined.select("a", "b", "ga", "gb").mapInArrow(rows, "a binary, b binary, overlap long")
 
 
+class Block:
+    """A column's block of rows: their sets as a sparse matrix with a list of holders for each gram."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.rows = len(sets)
+        sizes = np.array([len(x) for x in sets])
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.grams, self.local = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(self.rows), sizes)[np.argsort(self.local, kind="stable")]
+        self.columns = np.r_[0, np.cumsum(np.bincount(self.local))]
+
+    def holders_of(self, locals_: np.ndarray) -> list[np.ndarray]:
+        return [self.holders[self.columns[g] : self.columns[g + 1]] for g in locals_]
+
+    def product(self, locals_: np.ndarray) -> np.ndarray:
+        """How many of these grams each row has."""
+        return np.bincount(np.concatenate([self.holders[:0], *self.holders_of(locals_)]), minlength=self.rows)
+
+
+def block_links(rows: list[tuple], percent: int = PERCENT) -> list[tuple]:
+    """Links (a, b, overlap) between rows (cls, root, place, side, prefix, grams) of one column that connect something new.
+
+    A pair belongs to the first column that both have in their prefixes. Their overlap is counted over the
+    prefixes, where what lies beyond can add ``need(n) - 1`` at most, and then over the other columns for the rows
+    that are still possible. Rows of equal ``side`` are told apart from others only where both sides are here.
+    """
+    cls, root, place, side, prefix, grams = zip(*rows, strict=True)
+    block, n = Block(list(grams)), np.array([len(x) for x in grams], np.int64)
+    side, forest = np.array(side), Forest()
+    _, roots = np.unique(np.array(root, object), return_inverse=True)
+    two, out = side.min() != side.max(), []
+    for a in range(len(rows)):
+        own = np.searchsorted(block.grams, prefix[a])
+        other = (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent) & (roots != roots[a])
+        other[: a + 1] = False
+        if two:
+            other &= side != side[a]
+        if not other.any():
+            continue
+        first = np.full(len(rows), -1)
+        for k, held in reversed([*enumerate(block.holders_of(own))]):
+            first[held] = k
+        shared, least = block.product(own), pair_need(n, n[a], percent)
+        other &= (first == place[a]) & (shared + need(np.maximum(n, n[a]), percent) - 1 >= least)
+        if not other.any():
+            continue
+        rest = np.setdiff1d(block.local[block.starts[a] : block.starts[a + 1]], own)
+        shared += block.product(rest)
+        for b in np.flatnonzero(other & (shared >= least)):
+            if forest.join(int(roots[a]), int(roots[b])):
+                out.append((cls[a], cls[b], int(shared[b])))
+    return out
+
+
+def column_links(entries: DataFrame, rooted: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b, overlap) between all rows of different roots that share a column, by blocks of a column's rows."""
+    prefixes = entries.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("p"))
+    sizes = saved(rooted.groupBy("gram").agg(F.ceil(F.sum("n") / BLOCK_ENTRIES).cast("long").alias("blocks")), "sizes")
+    rows = rooted.join(sizes, "gram").withColumn("side", F.pmod(F.xxhash64("cls"), "blocks"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("side", "with"), "high": F.greatest("side", "with")})
+    rows = rows.join(prefixes, "cls").join(sets.select("cls", "grams"), "cls")
+    within = (F.array_position(F.col("p.gram"), F.col("gram")) - 1).alias("place")
+    rows = rows.select("gram", "low", "high", "cls", "root", within, "side", F.col("p.gram").alias("prefix"), "grams")
+    schema = _schema("a binary, b binary, overlap long")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            some = batch.drop_columns(["prefix", "grams"]).to_pydict()
+            prefix, grams = _lists(batch.column("prefix")), _lists(batch.column("grams"))
+            for k, new in enumerate(zip(some["gram"], some["low"], some["high"], strict=True)):
+                if new != key and held:
+                    yield _batch(schema, block_links(held, percent))
+                    held = []
+                key = new
+                held.append((*(some[x][k] for x in ("cls", "root", "place", "side")), prefix[k], grams[k]))
+        if held:
+            yield _batch(schema, block_links(held, percent))
+
+    blocks = rows.repartition(shuffle_partitions(entries.sparkSession), "gram", "low", "high").sortWithinPartitions("gram", "low", "high")
+    return blocks.mapInArrow(multiplied, "a binary, b binary, overlap long")
+
+
 def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, overlap) that connect all rows of ``sets`` that are alike enough, and the roots (node, root) of their components."""
     entries = saved(prefix_columns(sets, percent), "prefixes")
@@ -309,22 +394,24 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
             rooted = rooted.select(*entries.columns, F.coalesce("_root", "cls").alias("root"))
             rooted = saved(rooted, "rooted")
             apart = rooted.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-            rooted = rooted.join(saved(apart.select("gram"), "open"), "gram", "left_semi")
-        if turn < PIVOTS:
+            apart = saved(apart.select("gram"), "open")
+            if apart.isEmpty():
+                break
+            rooted = rooted.join(apart, "gram", "left_semi")
+        if turn == PIVOTS:
+            new = saved(column_links(entries, rooted, sets, percent), "links")
+        else:
             first = F.min_by(F.struct("cls", "n", "place", "root"), F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("p")
             other = saved(rooted.groupBy("gram").agg(first).select("gram", "p.*"), "pivots")
-        else:
-            other = rooted
-        joined = rooted.join(_second(other), "gram").filter((F.col("root") != F.col("root2")) & _possible(percent))
-        if turn < PIVOTS:  # a row's columns have several pivots; one of them is tried
-            joined = joined.groupBy("cls").agg(F.min_by("cls2", F.struct(F.xxhash64("cls2", F.lit(turn)), "cls2")).alias("cls2"))
-        else:
-            joined = joined.filter("cls < cls2")
-        new = saved(linked(saved(_pairs(joined), "pairs"), sets, percent), "links")
+            joined = rooted.join(_second(other), "gram").filter((F.col("root") != F.col("root2")) & _possible(percent))
+            # a row's columns have several pivots; one of them is tried
+            one = F.min_by("cls2", F.struct(F.xxhash64("cls2", F.lit(turn)), "cls2")).alias("cls2")
+            pairs = saved(_pairs(joined.groupBy("cls").agg(one)), "pairs")
+            new = saved(linked(pairs, sets, percent), "links")
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             roots = saved(components(found.select("a", "b")), "roots")
-    if found is None:
+    if roots is None:
         found, roots = new, sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
     return found, roots
 
