@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import brown, bytecnn, cuckoo, jaccard, mixing, packing, phrases, sharding, simhash, temporal, weighted
+from tallyhouse.llm import brown, bytecnn, cuckoo, jaccard, merkle, mixing, packing, phrases, sharding, simhash, temporal, weighted
 from tallyhouse.llm.common import Query, documents
 
 
@@ -99,6 +99,21 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(documents(spark, sf_dir), tampered).drop("path")
+
+
+def crc32_steps() -> list[int]:
+    """What four bits add to a CRC-32."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    return steps
+
+
 QUERIES: dict[str, Query] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -111,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_cnn_language": op9_byte_cnn_language,
     "op10_label_propagation": op10_label_propagation,
     "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -173,4 +189,43 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(grams) AS n_shingles, component_id
         FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
     """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, n_chars, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS f,
+                xor(list_reduce(
+                    list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) & 15 AS BIGINT), CAST(ascii(c) >> 4 AS BIGINT)]))),
+                    lambda a, x: xor({crc32_steps()}[(xor(a, x) & 15) + 1], a >> 4)), 4294967295) % 7 = 0 AS tampered
+            FROM documents
+        ), leaves AS (
+            SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+                sha256(array_to_string(list_transform(f, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS leaf,
+                CASE WHEN tampered AND n_chars IS NOT NULL THEN sha256(array_to_string(list_transform(f[:3] || [CAST(n_chars + 1 AS VARCHAR)] || f[5:],
+                    lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) END AS changed
+            FROM fields
+        ), nodes AS (
+            SELECT lang, 0 AS level, i, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n
+        ), trees AS (
+            SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS level, i, n, subroot AS digest FROM trees
+            UNION ALL
+            SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n
+        ), lower_path AS (
+            SELECT doc_id, lang, 0 AS level, i, n, '' AS proof, coalesce(changed, leaf) AS folded FROM leaves
+            UNION ALL
+            SELECT doc_id, p.lang, p.level + 1, p.i // 2, (p.n + 1) // 2, proof || coalesce(s.digest, ''),
+                sha256(CASE WHEN p.i % 2 = 1 THEN s.digest || folded ELSE folded || coalesce(s.digest, '') END)
+            FROM lower_path p LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = p.level AND s.i = xor(p.i, 1) WHERE p.n > 1
+        ), upper_path AS (
+            SELECT doc_id, subroot, 0 AS level, t.i, t.n, proof, folded FROM lower_path p JOIN trees t ON t.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+            UNION ALL
+            SELECT doc_id, subroot, p.level + 1, p.i // 2, (p.n + 1) // 2, proof || coalesce(s.digest, ''),
+                sha256(CASE WHEN p.i % 2 = 1 THEN s.digest || folded ELSE folded || coalesce(s.digest, '') END)
+            FROM upper_path p LEFT JOIN tops s ON s.level = p.level AND s.i = xor(p.i, 1) WHERE p.n > 1
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM upper_path JOIN leaves USING (doc_id), (SELECT digest AS root FROM tops WHERE n = 1) WHERE upper_path.n = 1
+    """,
 }
