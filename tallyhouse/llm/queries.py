@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import brown, bytecnn, cuckoo, jaccard, merkle, mixing, packing, phrases, sharding, simhash, temporal, weighted
+from tallyhouse.llm import align, brown, bytecnn, cuckoo, jaccard, merkle, mixing, packing, phrases, sharding, simhash, temporal, weighted
 from tallyhouse.llm.common import Query, documents
 
 
@@ -114,6 +116,18 @@ def crc32_steps() -> list[int]:
     return steps
 
 
+def alignment_files() -> tuple[bytes, str, bytes]:
+    """Contents of both tokenizers' files; executors need no file of their own."""
+    import public_tokenizers
+
+    byte_bpe, pieces = (Path(public_tokenizers.path(x)).read_bytes() for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return byte_bpe, public_tokenizers.PATTERN, pieces
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir), alignment_files())
+
+
 QUERIES: dict[str, Query] = {
     "op1_cuckoo_dedup": op1_cuckoo_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -127,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op10_label_propagation": op10_label_propagation,
     "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
