@@ -35,7 +35,7 @@ from tallyhouse.llm.common import NO_ID, partition_id, saved, shuffle_partitions
 from tallyhouse.llm.packing import byte_letters
 
 #: Ends of both kinds in a piece, in the documents of a block, and in a chunk.
-PIECE, BLOCK, CHUNK = 1 << 16, 1 << 20, 1 << 24
+PIECE, BLOCK, CHUNK = 1 << 16, 1 << 20, 1 << 23
 #: Documents that are encoded at a time.
 SOME = 128
 
@@ -78,6 +78,7 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.kinds = tuple("<u2" if len(own) <= 1 << 16 else "<u4" for own in (self.a_bytes, self.b_bytes))
 
     def _piece(self, k: int) -> bytes:
         if self.b.is_byte(k):
@@ -183,12 +184,13 @@ def pieces_of(docs: DataFrame, files: tuple[bytes, str, bytes], id_col: str = "d
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, chunk, piece, in_chunk, number = loaded(files), partition_id() << 32, 0, 0, 0
         ids, a, b, ends = [], [], [], 0
+        kinds = both.kinds
 
         def flush() -> list[tuple]:
             nonlocal chunk, piece, in_chunk, number
             out = []
             for own_a, own_b, apart, next_a, next_b, at, na, nb, opened, left_open in cut_block(a, b, both.a_sizes, both.b_sizes, PIECE):
-                out.append((chunk, piece, _pack(own_a, "<u4"), _pack(own_b, "<u4"), None, apart, next_a, next_b, number + at, [ids[k] for k in at], na, nb, opened, left_open))
+                out.append((chunk, piece, _pack(own_a, kinds[0]), _pack(own_b, kinds[1]), None, apart, next_a, next_b, number + at, [ids[k] for k in at], na, nb, opened, left_open))
                 piece += 1
             number += len(ids)
             in_chunk += ends
@@ -220,7 +222,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _links(row: dict, both: Tokenizers) -> tuple[np.ndarray, ...]:
-    a, b = _unpack(row["a"], "<u4"), _unpack(row["b"], "<u4")
+    a, b = (_unpack(row[x], kind) for x, kind in zip("ab", both.kinds, strict=True))
     return a, b, *merged_links(a, b, row["apart"], row["next_a"], row["next_b"], both.a_sizes, both.b_sizes)
 
 
