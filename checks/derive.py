@@ -8,7 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.money import cents, from_cents
@@ -181,43 +181,47 @@ def product_changes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def shelf_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """The categories, and every brand as one without products."""
+    kinds = mapped.categories(spark, sf).select("id", "name")
+    brands = mapped.star(spark, sf, "part").select("p_brand").distinct()
+    place = F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint")
+    return kinds.unionByName(brands.select((place + 1_000_000).alias("id"), F.col("p_brand").alias("name")))
+
+
 def category_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Add every brand and, again, every type; rename and delete every type;
-    drop one category that does not exist for each brand."""
-    part = mapped.star(spark, sf, "part")
-    brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("at"))
-    kinds = mapped.categories(spark, sf)
-    new = brands.select(
-        F.lit("add").alias("action"),
-        F.lit(None).cast("bigint").alias("id"),
-        F.col("p_brand").alias("name"),
-        F.col("at").alias("seq"),
-    )
-    again = kinds.select(
-        F.lit("add").alias("action"),
-        F.lit(None).cast("bigint").alias("id"),
-        "name",
-        (F.col("id") + 1_000_000_000_000).alias("seq"),
-    )
-    renamed = kinds.select(
-        F.lit("rename").alias("action"),
-        "id",
-        F.concat(F.lit(" "), F.lower("name")).alias("name"),
-        (F.col("id") + 2_000_000_000_000).alias("seq"),
-    )
-    dropped = kinds.select(
-        F.lit("delete").alias("action"),
-        "id",
-        F.lit(None).cast("string").alias("name"),
-        (F.col("id") + 3_000_000_000_000).alias("seq"),
-    )
-    unknown = brands.select(
-        F.lit("delete").alias("action"),
-        (F.col("at") + 4_000_000_000_000).alias("id"),
-        F.lit(None).cast("string").alias("name"),
-        (F.col("at") + 4_000_000_000_000).alias("seq"),
-    )
-    return new.unionByName(again).unionByName(renamed).unionByName(dropped).unionByName(unknown)
+    """Requests in six waves over all categories: many hang on the answers to earlier ones.
+
+    Types are renamed, their old names asked for by a new category and by the next brand, renamed back
+    and dropped; brands swap names by way of a free one, are dropped and renamed once more.
+    """
+    shelf = shelf_categories(spark, sf)
+    brand = F.col("id") >= 1_000_000
+    none, wave = F.lit(None), lambda k: F.col("id") + k * 10_000_000
+
+    def asked(rows: DataFrame, action: str, number: Column, name: Column, k: int) -> DataFrame:
+        return rows.select(F.lit(action).alias("action"), number.cast("bigint").alias("id"), name.cast("string").alias("name"), wave(k).alias("seq"))
+
+    kinds, brands = shelf.filter(~brand), shelf.filter(brand)
+    away = F.concat(F.lit("  old "), "name")
+    parts = [
+        asked(kinds, "add", none, F.col("name"), 0),
+        asked(kinds.filter("id % 2 = 0"), "rename", F.col("id"), away, 1),
+        asked(kinds, "add", none, F.concat("name", F.lit(" ")), 2),
+        asked(kinds, "rename", F.col("id"), F.col("name"), 3),
+        asked(kinds, "delete", F.col("id"), none, 4),
+        asked(kinds, "rename", F.col("id"), F.when(F.col("id") % 3 == 0, " "), 5),
+        asked(brands, "rename", F.col("id"), away, 0),
+        asked(brands, "rename", F.col("id") + F.when(F.col("id") % 2 == 0, 1).otherwise(-1), F.col("name"), 1),
+        asked(brands, "add", none, away, 2),
+        asked(brands, "delete", F.col("id"), none, 3),
+        asked(brands, "add", none, F.col("name"), 4),
+        asked(brands, "rename", F.col("id"), F.col("name"), 5),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def checkout_headers(spark: SparkSession, sf: str) -> DataFrame:

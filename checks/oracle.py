@@ -851,20 +851,52 @@ oracle(
       LEFT JOIN products p ON p.id = user_id)
     WHERE reject_reason IS NOT NULL""",
 )
+#: Requests answered one after another: a list of the categories there are is handed from each to the next.
+CATEGORY_REPLAY = """, all_names AS (
+  SELECT id, name FROM categories
+  UNION ALL SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) + 1000000, p_brand FROM part
+), requests AS (
+  SELECT 'add' AS action, CAST(NULL AS BIGINT) AS id, name, id AS seq FROM all_names WHERE id < 1000000
+  UNION ALL SELECT 'rename', id, '  old ' || name, id + 10000000 FROM all_names WHERE id < 1000000 AND id % 2 = 0
+  UNION ALL SELECT 'add', NULL, name || ' ', id + 20000000 FROM all_names WHERE id < 1000000
+  UNION ALL SELECT 'rename', id, name, id + 30000000 FROM all_names WHERE id < 1000000
+  UNION ALL SELECT 'delete', id, NULL, id + 40000000 FROM all_names WHERE id < 1000000
+  UNION ALL SELECT 'rename', id, CASE WHEN id % 3 = 0 THEN ' ' END, id + 50000000 FROM all_names WHERE id < 1000000
+  UNION ALL SELECT 'rename', id, '  old ' || name, id FROM all_names WHERE id >= 1000000
+  UNION ALL SELECT 'rename', id + CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END, name, id + 10000000 FROM all_names WHERE id >= 1000000
+  UNION ALL SELECT 'add', NULL, '  old ' || name, id + 20000000 FROM all_names WHERE id >= 1000000
+  UNION ALL SELECT 'delete', id, NULL, id + 30000000 FROM all_names WHERE id >= 1000000
+  UNION ALL SELECT 'add', NULL, name, id + 40000000 FROM all_names WHERE id >= 1000000
+  UNION ALL SELECT 'rename', id, name, id + 50000000 FROM all_names WHERE id >= 1000000
+), queue AS (
+  SELECT *, trim(coalesce(name, '')) AS wanted, row_number() OVER (ORDER BY seq) AS k,
+         EXISTS (SELECT 1 FROM products p WHERE p.category_id = r.id) AS used FROM requests r
+), steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT max(id) FROM all_names) AS top, CAST(NULL AS VARCHAR) AS reason,
+         (SELECT list(struct_pack(id := id, name := name)) FROM all_names) AS live
+  UNION ALL
+  SELECT k, top + CASE WHEN action = 'add' AND reason IS NULL THEN 1 ELSE 0 END, reason,
+    CASE WHEN reason IS NOT NULL THEN live
+         WHEN action = 'add' THEN live || [struct_pack(id := top + 1, name := wanted)]
+         WHEN action = 'delete' THEN list_filter(live, lambda c: c.id <> id)
+         ELSE list_transform(live, lambda c: struct_pack(id := c.id, name := CASE WHEN c.id = id THEN wanted ELSE c.name END)) END
+  FROM (SELECT q.k, q.action, q.id, q.wanted, s.top, s.live,
+          CASE WHEN q.action <> 'add' AND len(list_filter(s.live, lambda c: c.id = q.id)) = 0 THEN 'unknown category'
+               WHEN q.action <> 'delete' AND q.wanted = '' THEN 'name is required'
+               WHEN q.action <> 'delete' AND len(list_filter(s.live, lambda c: c.name = q.wanted AND (q.action = 'add' OR c.id <> q.id))) > 0
+               THEN 'name already exists'
+               WHEN q.action = 'delete' AND q.used THEN 'category has products' END AS reason
+        FROM steps s JOIN queue q ON q.k = s.k + 1)
+)"""
 oracle(
     "ledger_category_changes",
-    """, brands AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1)
-    SELECT 'add' AS action, CAST(NULL AS BIGINT) AS id, p_brand AS name, first AS seq,
-           CAST(NULL AS VARCHAR) AS reject_reason FROM brands
-    UNION ALL SELECT 'add', NULL, name, id + 1000000000000, 'name already exists' FROM categories
-    UNION ALL SELECT 'rename', id, ' ' || lower(name), id + 2000000000000, NULL FROM categories
-    UNION ALL SELECT 'delete', id, NULL, id + 3000000000000, 'category has products' FROM categories
-    UNION ALL SELECT 'delete', first + 4000000000000, NULL, first + 4000000000000, 'unknown category'
-    FROM brands""",
+    CATEGORY_REPLAY
+    + " SELECT action, id, name, seq, reason AS reject_reason FROM queue JOIN steps USING (k)",
+    BASE.replace("WITH ", "WITH RECURSIVE ", 1),
 )
 oracle(
     "ledger_changed_categories",
-    """SELECT id, lower(name) AS name FROM categories
-    UNION ALL SELECT row_number() OVER (ORDER BY first) + (SELECT max(id) FROM categories), p_brand
-    FROM (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1)""",
+    CATEGORY_REPLAY
+    + """ SELECT c.id, c.name FROM (SELECT unnest(live) AS c FROM steps WHERE k = (SELECT max(k) FROM queue))""",
+    BASE.replace("WITH ", "WITH RECURSIVE ", 1),
 )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from checks import derive
 from tallyhouse.functions import debt, pricing, stock, text, validation
-from tallyhouse.plans import catalogue, intake, inventory, ledger, receivables, sales
+from tallyhouse.plans import catalogue, categories, intake, inventory, ledger, receivables, sales
 from tallyhouse.sources import mapped, sinks
 from tallyhouse.sources import intake as files
 from tallyhouse.sources.mapped import AS_OF, NOW
@@ -712,11 +712,11 @@ def ledger_product_change_rejects(spark, sf):
 
 
 def _category_changes(spark, sf):
-    t = _tables(spark, sf)
-    checked = ledger.check_category_changes(
-        t.categories, t.products, derive.category_changes(spark, sf)
+    shelf = derive.shelf_categories(spark, sf)
+    checked = categories.check_category_changes(
+        shelf, mapped.products(spark, sf), derive.category_changes(spark, sf)
     )
-    return t, checked
+    return shelf, checked
 
 
 @query
@@ -726,5 +726,4 @@ def ledger_category_changes(spark, sf):
 
 @query
 def ledger_changed_categories(spark, sf):
-    t, checked = _category_changes(spark, sf)
-    return ledger.apply_category_changes(t.categories, checked).select("id", "name")
+    return categories.apply_category_changes(*_category_changes(spark, sf)).select("id", "name")

@@ -74,6 +74,49 @@ def running_totals(
     )
 
 
+def running_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    values: Mapping[str, Column],
+) -> DataFrame:
+    """Add the last value that is not null of each entry of ``values`` among the earlier rows of the key.
+
+    Stretches as in ``running_totals``: each tells its own last value, and rows are
+    only ordered inside their stretch.
+    """
+    df = df.withColumn("_bucket", F.struct(bucket.alias("at")))
+    at = F.struct(*order)
+    ends = df.groupBy(*keys, "_bucket").agg(
+        *[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_end_{n}") for n, v in values.items()]
+    )
+    earlier = (
+        Window.partitionBy(*keys)
+        .orderBy("_bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = ends.select(
+        *keys,
+        "_bucket",
+        *[F.last(f"_end_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in values],
+    )
+    inside = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    found = {
+        n: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_before_{n}"))
+        for n, v in values.items()
+    }
+    return (
+        df.join(carried.hint("merge"), [*keys, "_bucket"])
+        .withColumns(found)
+        .drop("_bucket", *[f"_before_{n}" for n in values])
+    )
+
+
 def running_count(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str
 ) -> DataFrame:

@@ -13,12 +13,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import strip
 from tallyhouse.functions import pricing
 from tallyhouse.functions.money import MONEY, TOTAL, cents, from_cents
 from tallyhouse.operators.running import by_hour, running_total
 from tallyhouse.operators.sequential import accept_in_order
-from tallyhouse.plans.intake import next_ids
 
 
 def price_sales(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -450,69 +448,3 @@ def apply_product_changes(products: DataFrame, changes: DataFrame, seq: str = "s
 
 def rejected_product_changes(products: DataFrame, changes: DataFrame) -> DataFrame:
     return check_product_changes(products, changes).filter(F.col("reject_reason").isNotNull())
-
-
-def check_category_changes(
-    categories: DataFrame, products: DataFrame, changes: DataFrame, seq: str = "seq"
-) -> DataFrame:
-    """Each requested change with the reason it is refused, or null.
-
-    ``changes``: ``action`` (``add``, ``rename``, ``delete``), ``id``, ``name``
-    and ``seq``. All requests are judged against the stored tables; where
-    several ask for one new name, the earliest gets it.
-    """
-    wanted = strip(F.coalesce("name", F.lit("")))
-    asked = changes.withColumn("_wanted", wanted)
-    holder = categories.select(F.col("name").alias("_wanted"), F.col("id").alias("_holder"))
-    used = products.select(F.col("category_id").alias("id"), F.lit(True).alias("_used")).distinct()
-    present = categories.select("id", F.lit(True).alias("_present"))
-    names = F.col("action").isin("add", "rename")
-    taken = F.col("_holder").isNotNull() & (
-        (F.col("action") == "add") | (F.col("_holder") != F.col("id"))
-    )
-    judged = (
-        asked.join(holder, "_wanted", "left")
-        .join(used, "id", "left")
-        .join(present, "id", "left")
-        .withColumn(
-            "reject_reason",
-            F.when(names & (F.col("_wanted") == ""), "name is required")
-            .when((F.col("action") != "add") & F.col("_present").isNull(), "unknown category")
-            .when(names & taken, "name already exists")
-            .when((F.col("action") == "delete") & F.col("_used"), "category has products"),
-        )
-    )
-    open_names = names & F.col("reject_reason").isNull()
-    winners = judged.filter(open_names).groupBy("_wanted").agg(F.min(seq).alias("_winner"))
-    late = open_names & (F.col(seq) != F.col("_winner"))
-    reason = F.when(late, "name already exists").otherwise(F.col("reject_reason"))
-    return (
-        judged.join(winners, "_wanted", "left")
-        .withColumn("reject_reason", reason)
-        .select(*changes.columns, "reject_reason")
-    )
-
-
-def apply_category_changes(
-    categories: DataFrame, checked: DataFrame, seq: str = "seq"
-) -> DataFrame:
-    """Categories after the accepted changes; new ones follow in order."""
-    good = checked.filter(F.col("reject_reason").isNull())
-    renamed = (
-        good.filter(F.col("action") == "rename")
-        .groupBy("id")
-        .agg(strip(F.max_by("name", seq)).alias("_name"))
-    )
-    deleted = good.filter(F.col("action") == "delete").select("id")
-    kept = (
-        categories.join(deleted, "id", "left_anti")
-        .join(renamed, "id", "left")
-        .withColumn("name", F.coalesce("_name", "name"))
-        .drop("_name")
-    )
-    added = good.filter(F.col("action") == "add").select(
-        strip(F.col("name")).alias("name"), F.col(seq).alias("_first")
-    )
-    return kept.unionByName(
-        next_ids(added, categories, [F.col("_first")]).drop("_first"), allowMissingColumns=True
-    )

@@ -83,32 +83,3 @@ def test_product_changes(spark, shop):
         (8, "unknown action"), (9, "unknown action"), (10, "reorder level missing"),
     ]
     assert ledger.check_product_changes(shop.products, changes).count() == 10
-
-
-def test_category_changes(spark, shop):
-    changes = spark.createDataFrame(
-        [
-            (1, "add", None, " Toys "), (2, "add", None, "Toys"), (3, "add", None, "Drinks"),
-            (4, "add", None, " "), (5, "rename", 4, "Beverages"), (6, "rename", 3, "Curtains"),
-            (7, "rename", 2, "Curtains"), (8, "delete", 1, None), (9, "delete", 77, None),
-            (10, "delete", 5, None),
-        ],
-        "seq bigint, action string, id bigint, name string",
-    )
-    spare = spark.createDataFrame([(5, "Spare", None)], "id bigint, name string, description string")
-    categories = shop.categories.unionByName(spare)
-    checked = ledger.check_category_changes(categories, shop.products, changes)
-    assert dict(rows(checked, "seq", "reject_reason")) == {
-        1: None,
-        2: "name already exists",
-        3: "name already exists",
-        4: "name is required",
-        5: None,
-        6: "name already exists",
-        7: None,
-        8: "category has products",
-        9: "unknown category",
-        10: None,
-    }
-    got = dict(rows(ledger.apply_category_changes(categories, checked), "id", "name"))
-    assert got == {1: "Electronics", 2: "Curtains", 3: "Clothes", 4: "Beverages", 6: "Toys"}
