@@ -900,3 +900,23 @@ oracle(
     + """ SELECT c.id, c.name FROM (SELECT unnest(live) AS c FROM steps WHERE k = (SELECT max(k) FROM queue))""",
     BASE.replace("WITH ", "WITH RECURSIVE ", 1),
 )
+#: One event after another: all products' levels are a table keyed by product that each event rewrites in part.
+oracle(
+    "ledger_replayed_stock",
+    """, units AS (
+  SELECT k, product_id, moved, sale_id FROM (
+    SELECT *, dense_rank() OVER (ORDER BY moved_at NULLS FIRST, kind, coalesce(sale_id, n)) AS k
+    FROM (SELECT product_id, sale_date AS moved_at, 1 AS kind, sale_id, sum(-qty) AS moved, 0 AS n FROM lines WHERE qty > 0 GROUP BY ALL
+          UNION ALL SELECT product_id, entry_date, 0, CAST(NULL AS BIGINT), qty, row_number() OVER (PARTITION BY product_id, entry_date ORDER BY qty) FROM entries))
+), play(product_id, level, k, asked, refused) USING KEY (product_id) AS (
+  SELECT id, CAST(stock AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), false FROM products
+  UNION ALL SELECT -1, 0, 0, 0, false
+  UNION
+  (WITH due AS (SELECT u.product_id, u.moved, u.sale_id, p.level, p.level + u.moved < 0 AS short, h.k + 1 AS k
+     FROM play h JOIN units u ON u.k = h.k + 1 JOIN recurring.play p ON p.product_id = u.product_id WHERE h.product_id = -1)
+   SELECT product_id, CASE WHEN CASE WHEN sale_id IS NULL THEN short ELSE bool_or(short) OVER () END THEN level ELSE level + moved END, k, moved, short FROM due
+   UNION ALL SELECT -1, 0, h.k + 1, 0, false FROM play h WHERE h.product_id = -1 AND h.k < (SELECT max(k) FROM units))
+)
+SELECT product_id, CAST(level AS BIGINT) AS stock FROM play WHERE product_id >= 0""",
+    BASE.replace("WITH ", "WITH RECURSIVE ", 1),
+)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from checks import derive
 from tallyhouse.functions import debt, pricing, stock, text, validation
-from tallyhouse.plans import catalogue, categories, intake, inventory, ledger, receivables, sales
+from tallyhouse.plans import catalogue, categories, intake, inventory, ledger, receivables, replay, sales
 from tallyhouse.sources import mapped, sinks
 from tallyhouse.sources import intake as files
 from tallyhouse.sources.mapped import AS_OF, NOW
@@ -727,3 +727,11 @@ def ledger_category_changes(spark, sf):
 @query
 def ledger_changed_categories(spark, sf):
     return categories.apply_category_changes(*_category_changes(spark, sf)).select("id", "name")
+
+
+@query
+def ledger_replayed_stock(spark, sf):
+    """What is left of every product if sales without stock had been refused."""
+    t = _tables(spark, sf)
+    opening = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("opening"))
+    return replay.replay_sales(t.stock_entries, t.sale_items, t.sales, opening).stock

@@ -8,12 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Undated sales of one stretch.
+UNDATED = 4096
+
+
 def by_hour(ts: str) -> Column:
     """Stretches of an hour; rows without a time come first, as they sort."""
     hour = F.unix_date(F.col(ts).cast("date")).cast("bigint") * 24 + F.hour(ts)
     return F.coalesce(hour, F.lit(-(1 << 40)))
 
 
+def by_hour_or_sale(at: str, kind: str, sale_id: str) -> Column:
+    """Stretches of the order (at, kind, sale id): hours, and ranges of ids where there is no time."""
+    undated = F.when(F.col(kind) == 0, F.lit(-(1 << 62))).otherwise(F.expr(f"{sale_id} div {UNDATED}") - (1 << 61))
+    return F.when(F.col(at).isNull(), undated).otherwise(by_hour(at))
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.text import strip
 from tallyhouse.operators.running import running_last
 from tallyhouse.plans.intake import next_ids
-from tallyhouse.sources.sinks import shared_root
+from tallyhouse.sources.sinks import shared_root, written
 
 #: Stretches of the batch in which a key's requests are ordered.
 STRETCHES = 1024
@@ -38,18 +38,18 @@ def check_category_changes(
     Requests with another action are refused.
     """
     shared_root(changes.sparkSession)
-    asked = _asked(categories, products, changes, seq).checkpoint()
+    asked = written(_asked(categories, products, changes, seq))
     alone = _uncontested(asked)
     judged = _judge(asked.join(alone, "_seq", "left_semi"), None)
     contested = asked.join(alone, "_seq", "left_anti")
-    answers = contested.select("_seq", F.lit(None).cast("string").alias("_reason")).checkpoint()
+    answers = written(contested.select("_seq", F.lit(None).cast("string").alias("_reason")))
     if not answers.isEmpty():
         ends = contested.agg(F.min("_seq").alias("low"), F.max("_seq").alias("high")).first()
         step = (ends.high - ends.low) // STRETCHES + 1
         bucket = F.expr(f"(_seq - {ends.low}L) div {step}L")
         while True:
             before = contested.join(answers, "_seq")
-            new = _judge(before, bucket).select("_seq", "_reason").checkpoint()
+            new = written(_judge(before, bucket).select("_seq", "_reason"))
             old = answers.withColumnRenamed("_reason", "_old")
             changed = new.join(old, "_seq").filter(~F.col("_reason").eqNullSafe(F.col("_old")))
             answers = new
@@ -122,7 +122,7 @@ def _found(asked: DataFrame, bucket: Column) -> DataFrame:
     owner = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("+"), F.col("_seq").cast("string")))
     rows = running_last(asked.withColumn("_owner", owner), ["_owner"], bucket, [F.col("_seq")], past)
     rows = rows.withColumns({"_gone": F.coalesce("_dropped", F.lit(False)), "_name": F.coalesce("_renamed", "_stored")})
-    rows = rows.drop("_renamed", "_dropped", "_owner").checkpoint()
+    rows = rows.drop("_renamed", "_dropped", "_owner").transform(written)
     # a name's history: who asks for it, who lets it go and who takes it
     moved = good & ((F.col("_action") == "delete") | ((F.col("_action") == "rename") & (F.col("_name") != F.col("_wanted"))))
     event = lambda kind, held, by: F.struct(F.lit(held).alias("held"), by.alias("by")).alias("_event")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import pricing
 from tallyhouse.functions.money import MONEY, TOTAL, cents, from_cents
-from tallyhouse.operators.running import by_hour, running_total
+from tallyhouse.operators.running import by_hour_or_sale, running_total
 from tallyhouse.operators.sequential import accept_in_order
 
 
@@ -86,12 +86,12 @@ def movements(stock_entries: DataFrame, sale_items: DataFrame, sales: DataFrame)
 def oversell_audit(
     stock_entries: DataFrame, sale_items: DataFrame, sales: DataFrame
 ) -> DataFrame:
-    """Sale lines larger than the stock there was. Reports breaches; it does
-    not replay what a refused sale would have changed."""
+    """Sale lines larger than the stock there was. Reports breaches;
+    ``replay.replay_sales`` plays out what refusing them would have changed."""
     levels = running_total(
         movements(stock_entries, sale_items, sales),
         ["product_id"],
-        by_hour("at"),
+        by_hour_or_sale("at", "kind", "sale_id"),
         [F.col(c) for c in ("at", "kind", "sale_id", "moved", "price_at_sale")],
         F.col("moved"),
         "stock_after",

@@ -52,3 +52,11 @@ def write_export(lines: DataFrame, summary: DataFrame, path: str) -> None:
     """The two sheets of the sales export as two data sets."""
     write_csv(lines, f"{path}/lines")
     write_csv(summary, f"{path}/summary")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. For what a round hands to the next: unlike a
+    checkpoint it carries no constraints of the plan it came from, which grow from round to round."""
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
