@@ -87,7 +87,7 @@ WITH categories AS (
               WHEN DATE '2001-07-31' - CAST(created_at AS DATE) <= 14 THEN '4-14 days'
               ELSE '15+ days' END AS age
   FROM debtors
-), intake AS (
+), intake0 AS (
   SELECT event_id AS seq,
          CASE event_type WHEN 'click' THEN '  ' ELSE '' END ||
          CASE event_type WHEN 'signup' THEN 'NEW ' ELSE '' END ||
@@ -101,10 +101,14 @@ WITH categories AS (
          CAST(CAST((CAST(round(value * 100) AS BIGINT) * 6 // 5) / 100e0 AS DECIMAL(18, 2))
            AS VARCHAR) AS selling_price,
          'Supplier ' || event_id % 7 AS supplier,
-         CASE WHEN floor(value) <= 0 OR round(value * 100) <= 0 THEN 'not positive' END AS reason,
          CAST(floor(value) AS BIGINT) AS qty, CAST(round(value * 100) AS BIGINT) AS buy,
          CAST(round(value * 100) AS BIGINT) * 6 // 5 AS sell
   FROM events JOIN part ON p_partkey = user_id
+), intake AS (
+  SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN NULL ELSE name END AS name, CASE WHEN seq % 89 = 0 THEN NULL ELSE category END AS category),
+         CASE WHEN seq % 97 = 0 THEN 'bad name' WHEN seq % 89 = 0 THEN 'bad category'
+              WHEN qty <= 0 OR buy <= 0 THEN 'not positive' END AS reason
+  FROM intake0
 ), accepted AS (
   SELECT seq, trim(name) AS name, category, qty, buy, sell, supplier FROM intake
   WHERE reason IS NULL
@@ -537,8 +541,8 @@ oracle(
 oracle(
     "intake_json_explode",
     """SELECT seq, CAST(0 AS BIGINT) AS line, trim(name) AS name, seq AS category_id, quantity, buying_price,
-    selling_price, supplier FROM intake
-    UNION ALL SELECT seq, 1, 'twin', NULL, quantity, buying_price, selling_price, '' FROM intake""",
+    selling_price, supplier FROM intake0
+    UNION ALL SELECT seq, 1, 'twin', NULL, quantity, buying_price, selling_price, '' FROM intake0""",
 )
 oracle(
     "sink_csv_roundtrip",
@@ -633,7 +637,7 @@ oracle(
       CASE WHEN quantity LIKE '%.%' THEN 'Quantity must be a valid number'
            WHEN qty <= 0 THEN 'Quantity must be greater than 0' END,
       CASE WHEN seq % 5 = 0 AND buy > 0 THEN 'Buying price cannot be negative' END,
-      CASE WHEN seq % 6 = 0 THEN 'Selling price must be a valid number' END) AS errors FROM intake)""",
+      CASE WHEN seq % 6 = 0 THEN 'Selling price must be a valid number' END) AS errors FROM intake0)""",
 )
 
 # --- ledger ----------------------------------------------------------------
@@ -651,6 +655,11 @@ oracle(
     f"""SELECT id, name, category_id, stock AS current_stock, reorder AS reorder_level,
     {money("buy", "buying_price")}, {money("sell", "selling_price")}, active AS is_active FROM merged""",
 )
+oracle(
+    "ledger_folder_import",
+    f"""SELECT id, name, category_id, stock AS current_stock, reorder AS reorder_level,
+    {money("buy", "buying_price")}, {money("sell", "selling_price")}, active AS is_active FROM merged""",
+)
 oracle(
     "ledger_intake_entries",
     f"""SELECT seq, m.id AS product_id, a.qty AS quantity, {money("a.buy", "buying_price")},

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from checks import derive
 from tallyhouse.functions import debt, pricing, stock, text, validation
 from tallyhouse.plans import catalogue, categories, intake, inventory, ledger, receivables, replay, sales
-from tallyhouse.sources import mapped, sinks
+from tallyhouse.sources import folder, mapped, sinks
 from tallyhouse.sources import intake as files
 from tallyhouse.sources.mapped import AS_OF, NOW
 from tallyhouse.sources.tables import RetailTables
@@ -521,24 +521,24 @@ def scalar_validation(spark, sf):
 
 def _imported(spark, sf):
     return intake.import_intake(
-        mapped.products(spark, sf), mapped.categories(spark, sf), derive.intake_text(spark, sf)
+        mapped.products(spark, sf), mapped.categories(spark, sf), derive.intake_rows(spark, sf)
     )
 
 
 @query
 def intake_rejects(spark, sf):
-    return intake.screen_intake(derive.intake_text(spark, sf)).rejects
+    return intake.screen_intake(derive.intake_rows(spark, sf)).rejects
 
 
 @query
 def ledger_intake_rejects(spark, sf):
-    rejects = intake.screen_intake(derive.intake_text(spark, sf)).rejects
+    rejects = intake.screen_intake(derive.intake_rows(spark, sf)).rejects
     return rejects.groupBy("reason", "category").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query
 def ledger_category_merge(spark, sf):
-    rows = intake.screen_intake(derive.intake_text(spark, sf)).accepted
+    rows = intake.screen_intake(derive.intake_rows(spark, sf)).accepted
     return intake.merge_categories(mapped.categories(spark, sf), rows).select("id", "name")
 
 
@@ -552,6 +552,15 @@ def ledger_intake_entries(spark, sf):
     return _imported(spark, sf).entries
 
 
+@query
+def ledger_folder_import(spark, sf):
+    """The intake from files of a folder to the products they leave."""
+    path = sinks.scratch_path(spark, "intake-folder")
+    derive.intake_folder(spark, sf, path)
+    read = folder.read_stock_folder(spark, path)
+    return intake.import_intake(mapped.products(spark, sf), mapped.categories(spark, sf), read.rows).products
+
+
 @query
 def ledger_price_sales(spark, sf):
     return ledger.price_sales(

@@ -39,16 +39,22 @@ def whole_count(quantity: Column) -> Column:
     return quantity.try_cast("decimal(38,6)").try_cast("int")
 
 
-def intake_reject_reason(count: Column, buying: Column, selling: Column) -> Column:
+def intake_reject_reason(
+    count: Column, buying: Column, selling: Column, name: Column, category: Column | None = None
+) -> Column:
     """Why a batch or import row is not taken in; null for accepted rows.
 
-    ``count`` is the converted quantity. Conversion failures come first, then the
-    rule that quantity and buying price must both be positive.
+    ``count`` is the converted quantity. A cell without a value can't be a name or
+    category, an empty text can. Failures come in the order in which fields are
+    read, then the rule that quantity and buying price must both be positive.
     """
     cost = buying.try_cast("decimal(18,2)")
     price = selling.try_cast("decimal(18,2)")
+    reason = F.when(name.isNull(), "bad name")
+    if category is not None:
+        reason = reason.when(category.isNull(), "bad category")
     return (
-        F.when(count.isNull(), "bad quantity")
+        reason.when(count.isNull(), "bad quantity")
         .when(cost.isNull(), "bad buying price")
         .when(price.isNull(), "bad selling price")
         .when((count <= 0) | (cost <= 0), "not positive")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.text import strip
 from tallyhouse.functions.validation import intake_reject_reason, whole_count
 from tallyhouse.operators.ranking import number_rows
-from tallyhouse.sources.sinks import shared_root
+from tallyhouse.sources.sinks import shared_root, written
 
 # Defaults of a product created by intake.
 NEW_REORDER_LEVEL = 5
@@ -33,14 +34,17 @@ def screen_intake(intake: DataFrame, mode: str = "skip", batch: str | None = Non
     off. ``strict`` (batch form) refuses a whole batch when one of its rows fails
     conversion: with ``batch``, the column that names the batch, all its rows are
     rejects and other batches go on; without it the frame is one batch and the
-    refusal is raised. Rows with a quantity or buying price that is not positive
+    refusal is raised. A row whose name or category has no value counts as one that
+    could not be converted. Rows with a quantity or buying price that is not positive
     are passed over in both modes.
     """
     quantity = F.col("quantity")
     count = quantity.try_cast("int") if mode == "strict" else whole_count(quantity)
-    checked = intake.withColumn(
-        "reason", intake_reject_reason(count, F.col("buying_price"), F.col("selling_price"))
+    category = F.col("category") if "category" in intake.columns else None
+    reason = intake_reject_reason(
+        count, F.col("buying_price"), F.col("selling_price"), F.col("name"), category
     )
+    checked = intake.withColumn("reason", reason)
     if mode == "strict":
         bad = checked.filter(F.col("reason").startswith("bad"))
         if batch is not None:
@@ -104,9 +108,14 @@ def _first_by_name(products: DataFrame) -> DataFrame:
 
 
 def merge_stock_intake(
-    products: DataFrame, categories: DataFrame, intake: DataFrame, seq: str = "seq"
+    products: DataFrame,
+    categories: DataFrame,
+    intake: DataFrame,
+    seq: str = "seq",
+    at: datetime | None = None,
 ) -> DataFrame:
-    """Product list after an accepted intake.
+    """Product list after an accepted intake. With ``at``, products that took
+    something in carry it as ``updated_at``, if the list has that column.
 
     ``intake`` holds typed rows with a unique ``seq`` that gives their order,
     and either a ``category`` name or a ``category_id``. ``categories`` must
@@ -125,6 +134,10 @@ def merge_stock_intake(
             "selling_price": F.coalesce("in_selling", "selling_price"),
         }
     )
+    if at is not None and "updated_at" in products.columns:
+        stamp = F.lit(at).cast(products.schema["updated_at"].dataType)
+        touched = F.when(F.col("in_quantity").isNotNull(), stamp).otherwise(F.col("updated_at"))
+        merged = merged.withColumn("updated_at", touched)
     fresh = next_ids(
         target.filter(F.col("id").isNull()).drop("id"),
         products,
@@ -161,6 +174,37 @@ def stock_entries_from_intake(
     )
 
 
+def refuse_new_without_category(
+    products: DataFrame, screened: Screened, batch: str | None, seq: str = "seq"
+) -> Screened:
+    """Refuse batches that would create a product without a category id.
+
+    The row that creates a product is the first of its name in a batch that is taken.
+    Refusing a batch hands that part to a later row, so batches are refused in
+    rounds until every creating row has an id; a round refuses only batches that
+    one batch after another would refuse too.
+    """
+    accepted, rejects = screened.accepted, screened.rejects
+    unit = F.lit(True) if batch is None else F.col(batch)
+    new = accepted.join(products.select("name").distinct(), "name", "left_anti")
+    while True:
+        first = F.min_by(F.struct(seq, unit.alias("_unit"), "category_id"), seq).alias("_first")
+        bad = new.groupBy("name").agg(first).select("_first.*").filter("category_id is null")
+        bad = written(bad.select(F.col(seq).alias("_seq"), "_unit"))
+        if bad.isEmpty():
+            return Screened(accepted, rejects)
+        if batch is None:
+            raise RejectedIntake("batch refused: a new product has no category id")
+        units = bad.select("_unit").distinct()
+        of = F.col(batch).eqNullSafe(F.col("_unit"))
+        out = accepted.join(units, of, "left_semi").join(bad.select("_seq"), F.col(seq) == F.col("_seq"), "left")
+        reason = F.when(F.col("_seq").isNotNull(), "bad category id").otherwise("batch refused")
+        out = out.withColumn("reason", reason).drop("_seq")
+        text = [F.col(c).cast(t).alias(c) for c, t in rejects.dtypes]
+        rejects = rejects.unionByName(out.select(text))
+        accepted, new = accepted.join(units, of, "left_anti"), new.join(units, of, "left_anti")
+
+
 @dataclass(frozen=True)
 class Imported:
     products: DataFrame
@@ -181,6 +225,8 @@ def import_intake(
     write the ledger. Accepted rows are cut off from their files once."""
     shared_root(products.sparkSession)
     screened = screen_intake(intake, mode, batch)
+    if mode == "strict" and "category_id" in intake.columns:
+        screened = refuse_new_without_category(products, screened, batch, seq)
     accepted = screened.accepted.checkpoint()
     kinds = categories
     if "category" in accepted.columns:

@@ -68,7 +68,8 @@ def explode_intake_json(df: DataFrame, column: str) -> DataFrame:
     """One row per object of the JSON array in ``column``; other columns and
     the position inside the array (``line``) are kept. Text that is not a JSON
     array gives one row without a line and without values, which screening
-    rejects; an empty array gives none. A quantity or price left out is 0."""
+    rejects; an empty array gives none. A quantity or price left out is 0,
+    a name left out is empty."""
     keep = [c for c in df.columns if c != column]
     item = F.col("item")
 
@@ -83,7 +84,7 @@ def explode_intake_json(df: DataFrame, column: str) -> DataFrame:
         .select(
             *keep,
             "line",
-            strip(item["name"]).alias("name"),
+            strip(F.when(item.isNotNull() & ~F.map_contains_key(item, "name"), "").otherwise(item["name"])).alias("name"),
             item["category_id"].try_cast("bigint").alias("category_id"),
             *map(number, ("quantity", "buying_price", "selling_price")),
             F.coalesce(item["supplier"], F.lit("")).alias("supplier"),
