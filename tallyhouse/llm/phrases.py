@@ -13,7 +13,8 @@ least hash, so three steps find them all:
    occurrence of a phrase is located, and the windows around it that are confirmed cover their words.
 
 A shard's automaton grows with the shard's documents, not with the corpus; a phrase of a third of all
-documents is one row for each shard. Words, phrases and windows are compared by 64-bit hashes.
+documents is one row for each shard. Words and phrases are compared by 64-bit hashes; windows by two
+that are independent, 128 bits, as those of the whole corpus meet each other.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; null ids are rows
 like any other; rows that repeat id and text count as two documents, get the same answer and so lose
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import NO_ID, saved, shuffle_partitions, texts
-from tallyhouse.llm.words import gram_hashes, window_minima, word_hashes, word_spans
+from tallyhouse.llm.words import gram_hashes, mixed, window_minima, word_hashes, word_spans
 
 WINDOW = 35
 PHRASE = 8
+#: Windows are confirmed by a second hash, of words mixed with this.
+CHECK = np.uint64(0xA0761D6478BD642F)
 #: Documents that a shard is planned for.
 SHARD_DOCS = 1000
 
@@ -92,12 +95,17 @@ def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 text = value.as_buffer().to_pybytes()
                 words = word_hashes(text, *word_spans(text))
                 own = np.isin(_signed(least_phrases(words, window, phrase)), seeds.values.to_numpy())
-                by_shard.setdefault(shard, []).append(gram_hashes(words, window)[own])
+                by_shard.setdefault(shard, []).append((gram_hashes(words, window)[own], gram_hashes(mixed(words ^ CHECK), window)[own]))
             for shard, some in by_shard.items():
-                values, times = np.unique(np.concatenate(some), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(np.full(len(values), shard, np.int32)), pa.array(times > 1)], ["window", "shard", "twice"])
+                values, checks = (np.concatenate(x) for x in zip(*some, strict=True))
+                order = np.lexsort((checks, values))
+                values, checks = values[order], checks[order]
+                first = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (checks[1:] != checks[:-1])][: len(values)])
+                times = np.diff(np.r_[first, len(values)])
+                columns = [pa.array(_signed(values[first])), pa.array(_signed(checks[first])), pa.array(np.full(len(first), shard, np.int32)), pa.array(times > 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["window", "check", "shard", "twice"])
 
-    return docs.select("shard", "text", "seeds").mapInArrow(found, "window long, shard int, twice boolean")
+    return docs.select("shard", "text", "seeds").mapInArrow(found, "window long, check long, shard int, twice boolean")
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -181,7 +189,7 @@ def recurring_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRA
     shard = F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).cast("int")
     candidates = saved(rows.join(lists, ["id", "hash"]).withColumn("shard", shard), "candidates")
     windows = _windows(candidates, window, phrase)
-    own = Window.partitionBy("window")
+    own = Window.partitionBy("window", "check")
     times = (F.count("*").over(own) > 1) | F.max("twice").over(own)
     dictionary = windows.withColumn("recurs", times).filter("recurs").select("shard", "window").distinct()
     removed = candidates.select("id", "hash", "text", "shard").groupBy("shard").cogroup(dictionary.groupBy("shard")).applyInPandas(

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes from which a word counts as long.
+LONG = 64
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -44,7 +47,11 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), starts, ends)
+    """Hashes of words; long ones by XXH3, as polynomials modulo 2 ** 64 collide on some strings of 1,024 bytes and more."""
+    found = span_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), starts, ends)
+    for k in np.flatnonzero(ends - starts >= LONG):
+        found[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
+    return found
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -57,6 +57,19 @@ def test_short_windows_within_one_document(spark):
     assert result(frame(spark, rows), window=3, phrase=2) == brute(rows, 3)
 
 
+def test_words_on_which_polynomials_collide(spark):
+    """Thue-Morse words: equal polynomial hashes modulo 2 ** 64 for every odd base."""
+    def word(n, flip):
+        return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+    rows = []
+    for k, n in enumerate((32, 64, 512, 1024, 2048, 4096)):
+        rest = [f"r{k}w{j}" for j in range(34)]
+        rows += [(2 * k, " ".join([word(n, 0), *rest]), "en", "a"), (2 * k + 1, " ".join([word(n, 1), *rest]), "en", "a")]
+    assert {r[2] for r in brute(rows)} == {0}
+    assert result(frame(spark, rows)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert phrases.recurring_passages(frame(spark, [])).count() == 0
 
