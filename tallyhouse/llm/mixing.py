@@ -120,7 +120,7 @@ def tilts(classes: DataFrame, wanted: DataFrame, most: int = MOST, steps: int =
         }
         state = saved(new.select(*[c for c in state.columns if c not in updated], *[v.alias(k) for k, v in updated.items()]).select(state.columns), "tilts")
     full = F.col("target") >= F.col("source_size") * most * (1 - CLOSE)
-    return state.select("source", F.when(~full, F.col("tilt")).alias("tilt"), "scale")
+    return state.select("source", F.when(~full, F.round("tilt", 10)).alias("tilt"), "scale")
 
 
 def round_copies(rates: pd.DataFrame, most: int = MOST) -> np.ndarray:
@@ -156,12 +156,13 @@ def mix(
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     exponent = F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))
     rated = joined.withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.least(F.lit(float(most)), F.exp(exponent)), F.lit(float(most)))))
+    # by id and text, so that neither partitions nor their order decide; sums of doubles differ in the last digits alone
     strata = F.ceil(F.col("docs") / STRATUM_ROWS)
-    rated = rated.withColumn("stratum", F.pmod(F.xxhash64("doc_id", "seq"), strata))
+    rated = rated.withColumn("stratum", F.pmod(F.xxhash64("doc_id", "hash", F.when(F.col("size") == 0, F.col("seq"))), strata))
     schema = "doc_id long, hash long, source string, size long, source_size long, target double, rate double, copies long, taken long, part int, seq long"
 
     def rounded(stratum: pd.DataFrame) -> pd.DataFrame:
-        stratum = stratum.sort_values(["size", "doc_id", "part", "seq"], ascending=[False, True, True, True])
+        stratum = stratum.sort_values(["size", "doc_id", "hash"], ascending=[False, True, True])
         copies = round_copies(stratum, most)
         return stratum.assign(copies=copies, taken=copies * stratum["size"])[[x.split()[0] for x in schema.split(", ")]]
 

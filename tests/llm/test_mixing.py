@@ -67,3 +67,11 @@ def test_targets_with_several_stops(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_same_mix_for_any_partitions(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 300)), "en", rng.choice("ab")) for k in range(6000)]
+    docs = frame(spark, rows)
+    mixes = [sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 4, 7)]
+    assert mixes[0] == mixes[1] == mixes[2]
