@@ -16,7 +16,7 @@ and m grams ``pair_need(n, m)``. These bounds discard, in this order:
 Documents of one set of grams are one row of the matrix. A column of many documents is first multiplied
 with single rows (pivots), and what these links connect isn't multiplied any more: large groups of near
 copies take a few products a document. Rows of a column that are still apart after that are multiplied
-with each other, in blocks of rows, so no component is missed.
+with each other, in blocks of rows where the column is large, so no component is missed.
 
 Defined results: null or wordless text has no grams and is linked with nothing; fewer words than a gram
 has are one gram; null ids are never the smallest unless a component has no other; repeated rows get the
@@ -49,6 +49,8 @@ BLOCK_CHARS = 1 << 26
 PIVOTS = 4
 #: Column blocks of a pair's product.
 PRODUCT_BLOCKS = 8
+#: Rows of a column up to which they are multiplied pair by pair, larger ones in blocks that carry the rows' sets.
+SMALL = 64
 #: Matrix entries of a column's rows that are multiplied with as many at a time.
 BLOCK_ENTRIES = 1 << 20
 
@@ -399,7 +401,13 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
                 break
             rooted = rooted.join(apart, "gram", "left_semi")
         if turn == PIVOTS:
-            new = saved(column_links(entries, rooted, sets, percent), "links")
+            rows = F.count("*").alias("rows")
+            many = saved(rooted.groupBy("gram").agg(rows).filter(F.col("rows") > SMALL).select("gram"), "large")
+            few = rooted.join(many, "gram", "left_anti")
+            joined = few.join(_second(few), "gram").filter((F.col("root") != F.col("root2")) & _possible(percent))
+            alone = linked(saved(_pairs(joined.filter("cls < cls2")), "pairs"), sets, percent)
+            large = column_links(entries, rooted.join(many, "gram", "left_semi"), sets, percent)
+            new = saved(alone.unionByName(large), "links")
         else:
             first = F.min_by(F.struct("cls", "n", "place", "root"), F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("p")
             other = saved(rooted.groupBy("gram").agg(first).select("gram", "p.*"), "pivots")

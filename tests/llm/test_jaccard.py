@@ -76,7 +76,7 @@ def test_components_as_by_brute_force(spark, corpus):
 
 
 def test_any_chunks_and_pivots(spark, corpus, monkeypatch):
-    for name, value in (("BLOCK_ENTRIES", 900), ("CHUNK", 2000), ("CHUNK_DOCS", 50), ("BLOCK_CHARS", 1000), ("PIVOTS", 0), ("PRODUCT_BLOCKS", 3)):
+    for name, value in (("SMALL", 4), ("BLOCK_ENTRIES", 900), ("CHUNK", 2000), ("CHUNK_DOCS", 50), ("BLOCK_CHARS", 1000), ("PIVOTS", 0), ("PRODUCT_BLOCKS", 3)):
         monkeypatch.setattr(jaccard, name, value)
     assert of(jaccard.jaccard_components(frame(spark, corpus).repartition(3))) == brute(corpus)
 
