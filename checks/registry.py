@@ -678,12 +678,12 @@ def ledger_payments(spark, sf):
 
 @query
 def ledger_hot_key_payments(spark, sf):
-    """All events as payments to two debtors: long keys, checked against the oracle."""
+    """All events as payments to two debtors, keys cut into many chunks."""
     two = derive.late_payments(spark, sf).withColumn("debtor_id", F.pmod("debtor_id", F.lit(2)))
     owing = spark.range(2).select(
         "id", (F.col("id") * 1_000_000 + 250_000).cast("decimal(18,2)").alias("balance")
     )
-    log = ledger.payment_log(owing, two, ["payment_date", "id"], "paid_on")
+    log = ledger.payment_log(owing, two, ["payment_date", "id"], "paid_on", chunk_events=512)
     return log.select("id", "debtor_id", "accepted", "balance_after", "reject_reason")
 
 
