@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.bytelevel import ByteLevel, ranks_of
 from tallyhouse.llm.common import NO_ID, partition_id, saved, shuffle_partitions, texts
-from tallyhouse.llm.packing import byte_letters
 
 #: Ends of both kinds in a piece, in the documents of a block, and in a chunk.
 PIECE, BLOCK, CHUNK = 1 << 16, 1 << 20, 1 << 23
@@ -65,16 +65,12 @@ class Tokenizers:
 
     def __init__(self, byte_bpe: bytes, pattern: str, piece_model: bytes):
         import sentencepiece
-        import tiktoken
 
-        letters = {chr(c): b for b, c in byte_letters().items()}
         kind = json.loads(byte_bpe)
-        vocabulary, special = kind["model"]["vocab"], {x["content"] for x in kind["added_tokens"]}
-        ranks = {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if token not in special}
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, k in ranks.items():
+        self.a_bytes = [b""] * (max(kind["model"]["vocab"].values()) + 1)
+        for token, k in ranks_of(kind).items():
             self.a_bytes[k] = token
-        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.a = ByteLevel(byte_bpe, specials=False, pattern=pattern)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
@@ -91,7 +87,7 @@ class Tokenizers:
         for text, b in zip(some, self.b.encode(some, num_threads=1), strict=True):
             want = b" " + text.encode()
             if text and b"".join([self.b_bytes[x] for x in b]) == want:
-                a = np.array(self.a.encode_ordinary(" " + text), np.int64)
+                a = self.a.ids(" " + text).astype(np.int64)
                 if self.a_sizes[a].sum() == len(want):
                     out.append((a, np.array(b, np.int64)))
                     continue

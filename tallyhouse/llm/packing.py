@@ -8,10 +8,7 @@ its own pieces as it reads; only the pieces of a sequence it could not fill trav
 within their class across workers and fill further sequences. The last sequence of each class, fewer
 than ten thousand small pieces in all whatever the input, is packed first-fit by falling length.
 
-Token ids come from a tokenizers file. A text is cut at single spaces that stand between other
-characters: its byte-level pre-tokenizer never joins across them, so each stretch is encoded by the
-tokenizer once and kept by the worker. A new stretch is first cut where it certainly ends a token
-(``INSIDE``), as most of its parts are known. Stretches beyond ``KEPT`` are encoded each time they occur.
+Token ids are those of a tokenizers file, whose contents travel with the job; every text is encoded whole.
 
 Defined results: null or empty text is the end token alone; null ids are carried; repeated rows are
 documents of their own; other columns are not read; an empty table gives no rows.
@@ -19,12 +16,11 @@ documents of their own; other columns are not read; an empty table gives no rows
 
 from __future__ import annotations
 
-import json
-import re
-import struct
+import hashlib
 import zlib
-from collections import ChainMap, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,39 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.bytelevel import ByteLevel
 from tallyhouse.llm.common import NO_ID, partition_id, saved, texts
 
 CAPACITY = 2048
 #: Classes whose pieces are cut to size; shorter ends stay whole.
 CLASSES = 32
 END = 1
-#: Stretches of text whose ids a worker keeps.
-KEPT = 1_200_000
 
 PIECES = "part long, size int, number long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 #: Numbers of sequences: of worker p from (p + 1) << WORKER, of class s filled across workers from s << CLASS.
 WORKER, CLASS = 38, 26
-#: A single space after and before something that isn't white space starts a stretch of its own.
-APART = re.compile(r"(?<=\S) (?=\S)")
-MORE_SPACE = re.compile(r"\s | \s")
-#: Inside a stretch: before punctuation after a letter or digit, and around a single line end.
-INSIDE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ0-9])(?=[.,;:!?])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-
-#: Stretches that are one token to the pre-tokenizer: letters, digits or punctuation alone.
-WHOLE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[.,;:!?]+)|\n")
-
-
-def byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next from 256."""
-    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printing]
-    return {b: b for b in printing} | {b: 256 + k for k, b in enumerate(others)}
-
-
-def stretches_of(text: str) -> list[str]:
-    plain = text[0] != " " and text[-1] != " " and not MORE_SPACE.search(text)
-    head, *rest = text.split(" ") if plain else APART.split(text)
-    return [head, *[" " + x for x in rest]]
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
@@ -78,82 +52,18 @@ def cuts(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[
     return [*out, left] if left else out
 
 
-class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, with the ids of frequent stretches kept."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self._plain("\n")
-        self.letters = byte_letters()
-        kind = json.loads(self.tokenizer.to_str())
-        self.byte_level = kind["normalizer"] is None and kind["pre_tokenizer"]["type"] == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"]
-        self.kept: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of stretches.
-
-        Stretches that are one token to a byte-level pre-tokenizer go to the tokenizer's model as they are;
-        others without a line end are encoded many at a time, with line ends between.
-        """
-        found, model = {}, self.tokenizer.model
-        if self.byte_level:
-            for x in missing:
-                if WHOLE.fullmatch(x):
-                    tokens = model.tokenize(x.encode().decode("latin-1").translate(self.letters))
-                    found[x] = struct.pack(f"<{len(tokens)}I", *[y.id for y in tokens])
-            missing = [x for x in missing if x not in found]
-        joined = [x for x in missing if "\n" not in x]
-        for at in range(0, len(joined), 500):
-            some = joined[at : at + 500]
-            ids = np.frombuffer(self._plain("\n".join(some)), "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            if len(ends) != len(some) - 1:
-                found.update((x, self._plain(x)) for x in some)
-                continue
-            data = ids.tobytes()
-            bounds = zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)
-            found.update((x, data[4 * a : 4 * b]) for x, (a, b) in zip(some, bounds, strict=True))
-        found.update((x, self._plain(x)) for x in missing if "\n" in x)
-        return found
-
-    def encode(self, some: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in some:
-            special = any(x in text for x in self.specials)
-            cut.append(None if special else stretches_of(text) if text else [])
-        known = self.kept
-        missing = {x: INSIDE.split(x) for stretches in cut if stretches for x in stretches if x not in known}
-        if missing:
-            new = self._learn(list({y for parts in missing.values() for y in parts if y not in known}))
-            for x, parts in missing.items():
-                new[x] = b"".join([known[y] if y in known else new[y] for y in parts])
-            if len(known) + len(new) <= KEPT:
-                known.update(new)
-            else:
-                known = ChainMap(new, known)
-        return [
-            self._plain(text) if stretches is None else b"".join([known[x] for x in stretches])
-            for text, stretches in zip(some, cut, strict=True)
-        ]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: bool) -> DataFrame:
+_ENCODERS: dict[str, ByteLevel] = {}
+
+
+def encoder(content: bytes) -> ByteLevel:
+    """This worker's encoder of a tokenizers file."""
+    name = hashlib.sha256(content).hexdigest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = ByteLevel(content, specials=True)
+    return _ENCODERS[name]
+
+
+def _pieces(docs: DataFrame, tokenizer: bytes, capacity: int, end: int, with_ids: bool) -> DataFrame:
     """Every piece; those in sequences that one worker filled have their place."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +79,8 @@ def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some, out = batch.slice(at, 256), []
-                ids_of = coder.encode(some.column("text").to_pylist())
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of, strict=True):
-                    ids += last
+                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    ids = coder.ids(text).tobytes() + last
                     tokens, start = len(ids) // 4, 0
                     for size in cuts(tokens, capacity):
                         own = ids[4 * start : 4 * (start + size)]
@@ -214,10 +123,10 @@ def harmonic_pack(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset.
 
-    ``ids`` (little-endian unsigned 32-bit) is null unless ``with_ids``. Gapless offsets; sequences
+    ``tokenizer``: path of a tokenizers file, read by the driver. ``ids`` (little-endian unsigned 32-bit) is null unless ``with_ids``. Gapless offsets; sequences
     hold at most ``capacity`` tokens.
     """
-    pieces = saved(_pieces(texts(docs, id_col, text_col), tokenizer, capacity, end, with_ids), "pieces")
+    pieces = saved(_pieces(texts(docs, id_col, text_col), Path(tokenizer).read_bytes(), capacity, end, with_ids), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
     done = pieces.filter("sequence_id is not null").select(columns)
     loose = pieces.filter("sequence_id is null").drop("sequence_id", "offset")

@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyhouse.llm import packing
+from tallyhouse.llm.bytelevel import ByteLevel
 from tests.llm.shared import ODD, clashing, frame
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,11 +61,21 @@ def test_little_padding(spark):
     assert sum(r.length for r in got) / (sequences * packing.CAPACITY) > 0.97
 
 
-def test_ids_of_stretches_are_those_of_whole_texts():
-    texts = ["", " a", "a  b", "a \n b", "x\n\ny z ", "it's  <|endoftext|> ok", "tab\t x", "  a   b", "1 2 don't\r\n", "a\x1c b"]
-    coder = packing.Encoder(PATH)
-    for some in (texts, texts[::-1]):
-        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(some)] == [plain(x)[:-1] for x in some]
+def test_ids_are_those_of_the_tokenizers_library():
+    texts = ["", " a", "a  b", "a \n b", "x\n\ny z ", "it's  <|endoftext|> ok", "tab\t x", "  a   b", "1 2 don't\r\n", "a\x1c b", "ſ'S ٣ ½ é\u0301 \u3000 日本 \U0001f469\u200d\U0001f4bb"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices("abé1 \t\n'.,sß\u00a0\u2028漢\U0001f600", k=rng.randrange(60))) for _ in range(2000)]
+    coder = packing.encoder(Path(PATH).read_bytes())
+    whole = Tokenizer.from_file(PATH)
+    assert [coder.ids(x).tolist() for x in texts] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "b" + " " * 1_000_000 + "c", "\n" * 1_000_000 + "x", "word, " * 400_000])
+def test_texts_of_megabytes(text):
+    """tiktoken alone fails on the runs of white space."""
+    whole = Tokenizer.from_file(PATH)
+    for specials in (True, False):
+        assert ByteLevel(Path(PATH).read_bytes(), specials).ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 700, 1024, 1500, 2047, 2048, 2049, 10000])
