@@ -2,7 +2,9 @@
 
 Each stage reads what the one before it kept, as written. The filtering stages and the mix return the
 columns of ``documents``, the last one the pieces of packed sequences. Rows are told apart by doc_id
-and text; rows that repeat both share one decision.
+and text; rows that repeat both share one decision. In every stage a null text is empty, a null doc_id
+is an id like any other, an empty table gives no rows, and further columns are carried by the stages
+before the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,14 @@ from tallyhouse.llm.queries import language_held_out, tokenizer
 ORACLE_SQL = None
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {x.lower() for x in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def chosen(docs: DataFrame, picks: DataFrame) -> DataFrame:
     """The documents whose doc_id (null included) and text's hash are among ``picks``."""
     picks = picks.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
@@ -39,10 +49,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, A-Z lowered: the one with the largest doc_id."""
+    digest = free(docs, "_own")
     kept = cuckoo.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
-    own = docs.withColumn("_own", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    left = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_own"] == kept["_sha256"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    own = docs.withColumn(digest, F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    left = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own[digest] == kept["_sha256"]), "left_semi")
+    return left.dropDuplicates(["doc_id", digest]).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +65,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies."""
-    plan = mixing.mix(docs).groupBy("doc_id", "hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == plan["_hash"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    id_, hash_, copies, copy = (free(docs, x) for x in ("_id", "_hash", "_copies", "_copy"))
+    plan = mixing.mix(docs).groupBy("doc_id", "hash").agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    plan = plan.withColumnsRenamed({"doc_id": id_, "hash": hash_})
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == plan[hash_]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
