@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = 64
+RESULTS = ("host", "n_active", "categories", "blocked")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -55,22 +56,32 @@ def epoch_of(day: Column) -> Column:
 
 
 def temporal_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Captures (url, fetched_on, ...) with host, n_active, categories and blocked."""
-    urls = captures.withColumns({"host": host_of(F.col("url")), "_segment": segment_of(F.col("url"))})
-    asked = urls.select("host", "_segment", "fetched_on").filter("host <> '' and fetched_on is not null").distinct()
-    until = asked.agg(F.max("fetched_on").alias("day")).first()["day"]
+    """Captures (url, fetched_on, ...) with host, n_active, categories and blocked.
+
+    Other columns of a capture are carried whatever their names, but for those named like one of the four
+    results, which give way to it. Captures without a host or a day are under no entry and meet no list.
+    """
+    at = {name.lower(): f"c{k}" for k, name in enumerate(captures.columns)}
+    own = captures.toDF(*[f"c{k}" for k in range(len(captures.columns))])
+    url = F.col(at["url"])
+    urls = own.withColumns({"host": host_of(url), "segment": segment_of(url), "day": F.col(at["fetched_on"])})
+    listable = (F.col("host") != "") & F.col("day").isNotNull()
+    asked = urls.filter(listable).select("host", "segment", "day").distinct()
+    until = asked.agg(F.max("day").alias("day")).first()["day"]
     spans = validity(entries).filter(F.col("valid_from") <= F.lit(until))
     last = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(until)), F.lit(until))
     spans = spans.withColumn("epoch", F.explode(F.sequence(epoch_of(F.col("valid_from")), epoch_of(last))))
-    keyed = asked.select("*", F.explode(keys_of(F.col("host"), F.col("_segment"))).alias("key"), epoch_of(F.col("fetched_on")).alias("epoch"))
-    active = (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
+    keyed = asked.select("*", F.explode(keys_of(F.col("host"), F.col("segment"))).alias("key"), epoch_of(F.col("day")).alias("epoch"))
+    active = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     hits = keyed.join(spans, ["key", "epoch"]).filter(active)
-    verdicts = hits.groupBy("host", "_segment", "fetched_on").agg(
+    verdicts = hits.groupBy("host", "segment", "day").agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
     )
-    joined = urls.join(verdicts, ["host", "_segment", "fetched_on"], "left")
+    joined = urls.filter(listable).join(verdicts, ["host", "segment", "day"], "left")
+    joined = joined.unionByName(urls.filter(~listable), allowMissingColumns=True)
+    carried = [F.col(f"c{k}").alias(x) for k, x in enumerate(captures.columns) if x.lower() not in RESULTS]
     return joined.select(
-        *captures.columns,
+        *carried,
         "host",
         F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
         F.coalesce("categories", F.lit("")).alias("categories"),

@@ -56,6 +56,20 @@ def test_empty_tables(spark, captures, entries):
     assert run(spark, captures, entries) == brute(captures, entries)
 
 
+@pytest.mark.parametrize("names", [("host", "n_active", "categories", "blocked"), ("Host", "segment", "_segment", "day"), ("valid_from", "valid_to", "c0", "listed_on")])
+def test_clashing_columns(spark, names):
+    captures = [(1, "http://a.b/c", DAY), (2, None, DAY), (3, "http://x.y", None)]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_on date").withColumns({x: F.lit(f"own {x}") for x in names})
+    e = spark.createDataFrame([("a.b", "p", "add", DAY)], "key string, category string, action string, listed_on date")
+    got = temporal.temporal_filter(c, e)
+    results = ["host", "n_active", "categories", "blocked"]
+    kept = [x for x in names if x.lower() not in results]
+    assert got.columns == ["page_id", "url", "fetched_on", *kept, *results]
+    rows = {r.page_id: r for r in got.collect()}
+    assert {k: (r.host, r.n_active, r.categories, r.blocked) for k, r in rows.items()} == {1: ("a.b", 1, "p", True), 2: ("", 0, "", False), 3: ("x.y", 0, "", False)}
+    assert all(r[x] == f"own {x}" for r in rows.values() for x in kept)
+
+
 def test_no_python_on_the_executors(spark):
     plan = queries.op6_temporal_list_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
