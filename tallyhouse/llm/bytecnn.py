@@ -2,7 +2,7 @@
 
 Bytes of a fixed-length window are embedded, convolved with filters of several widths, rectified,
 max-pooled over the window and classified by softmax. Training is plain numpy on the driver, on a
-bounded sample: at most ``LANGUAGES`` languages, about ``PER_LANGUAGE`` labelled rows of each and
+bounded sample: every language among the labels, about ``PER_LANGUAGE`` labelled rows of each and
 ``WINDOWS_OF_ROW`` windows of a row, chosen by hash. Prediction covers whole texts: windows overlap by
 the widest filter less one byte, tasks run them in blocks, and a document's probabilities are the mean
 over its windows by length. For prediction the filters become tables over byte pairs, which give the
@@ -28,7 +28,6 @@ WIDTHS = (2, 3, 4)
 STRIDE = WINDOW - max(WIDTHS) + 1
 EMBEDDING = 8
 FILTERS = 16
-LANGUAGES = 200
 PER_LANGUAGE = 500
 WINDOWS_OF_ROW = 4
 EPOCHS = 8
@@ -166,8 +165,8 @@ def stacked(padded: bytes, counts: list[int]) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, answers and languages of a bounded sample of rows (text, lang, id hash)."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    """Windows, answers and languages of a sample of rows (text, lang, id hash): every language, each with a bounded number."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     labels = sorted(r.lang for r in counts)
