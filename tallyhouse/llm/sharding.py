@@ -3,7 +3,7 @@
 Documents of equal text are neighbours. Rows start in shards by hash. In each round the rows of a
 cluster (a text's documents; texts with many are cut into clusters of a quarter shard) ask for the shard
 where most of them are, and a shard admits clusters, in order of a hash, as far as its quota of linked
-rows goes; clusters turned away ask again among the shards with room left. Counts by cluster and shard
+rows goes; clusters turned away ask again, any shard with room where none of their own has it. Counts by cluster and shard
 decide, so no group of copies meets in one task. Rows without neighbours cross no edge wherever they
 are, so they make room: at the end each shard keeps its first rows up to its quota, linked rows before
 the others, and the rows beyond fill the shards that are short, in order. Counts differ by one at most.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import saved, texts, with_rank
@@ -40,27 +40,57 @@ def linked_rows(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(groups, "text_key").select("uid", F.xxhash64("text_key", part).alias("cluster"), "shard")
 
 
+def draw(*of: Column | str) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def asked_shards(waiting: DataFrame, room: list[int], number: int) -> DataFrame:
+    """cluster, shard and n: the shard that each waiting cluster asks for in a round.
+
+    The one with room that holds most of the cluster, ties by a hash of cluster, shard and round; where
+    none of its shards has room, one drawn by the room that shards have left.
+    """
+    free = by_shard(room, F.col("shard")) > 0
+    tie = F.xxhash64("cluster", "shard", F.lit(number))
+    best = F.max_by("shard", F.when(free, F.struct("n", tie.alias("tie")))).alias("best")
+    found = waiting.groupBy("cluster").agg(best, F.sum("n").alias("n"))
+    ends = [sum(room[: k + 1]) for k in range(len(room))]
+    at = draw("cluster", F.lit(-1 - number)) * F.lit(float(ends[-1]))
+    other = reduce(lambda a, b: a + b, [(at >= F.lit(float(end))).cast("int") for end in ends])
+    return found.select("cluster", F.coalesce("best", F.least(other, F.lit(len(room) - 1))).alias("shard"), "n")
+
+
+def within_room(asked: DataFrame, room: list[int], number: int, stretches: int) -> DataFrame:
+    """The clusters that fit into their shard's room, in order of a hash of cluster and round.
+
+    A shard's clusters are cut into ``stretches`` by that hash; rows of earlier stretches are added, so
+    that no shard is ordered in one task.
+    """
+    turned = asked.withColumn("turn", draw("cluster", F.lit(number))).withColumn("stretch", F.floor(F.col("turn") * stretches))
+    sums = turned.groupBy("shard", "stretch").agg(F.sum("n").alias("rows"))
+    earlier = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("shard", "stretch", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("shard", "stretch").orderBy("turn", "cluster").rowsBetween(Window.unboundedPreceding, 0)
+    reached = turned.withColumn("reached", F.sum("n").over(own)).join(sums, ["shard", "stretch"])
+    return reached.filter(F.col("before") + F.col("reached") <= by_shard(room, F.col("shard"))).select("cluster", "shard", "n")
+
+
 def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """The shard of each admitted ``cluster``; those for which no room was found are absent."""
     counts = saved(linked.groupBy("cluster", "shard").agg(F.count("*").alias("n")), "counts")
     room, admitted, waiting = list(quotas), [], counts
-    for _ in range(rounds):
-        free = by_shard(room, F.col("shard"))
-        best = F.max_by("shard", F.struct((free > 0).cast("int"), "n", -F.col("shard"))).alias("shard")
-        asked = waiting.groupBy("cluster").agg(best, F.sum("n").alias("n"))
-        asked = saved(asked.filter(by_shard(room, F.col("shard")) > 0), "asked")
-        asked_rows = [0] * len(quotas)
-        for r in asked.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-            asked_rows[r["shard"]] = r["n"]
-        if not any(asked_rows):
+    stretches = 1 + sum(quotas) // (len(quotas) * STRETCH_ROWS)
+    for number in range(rounds):
+        if not any(room):
             break
-        share = F.element_at(F.array(*[F.lit(min(1.0, x / y) if y else 1.0) for x, y in zip(room, asked_rows, strict=True)]), F.col("shard") + 1)
-        draw = F.pmod(F.xxhash64("cluster", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        taken = saved(asked.filter(draw < share), "admitted")
+        taken = saved(within_room(asked_shards(waiting, room, number), room, number, stretches), "admitted")
         for r in taken.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-            room[r["shard"]] = max(0, room[r["shard"]] - r["n"])
+            room[r["shard"]] -= r["n"]
         admitted.append(taken.select("cluster", "shard"))
         waiting = saved(waiting.join(taken.select("cluster"), "cluster", "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
     return reduce(DataFrame.union, admitted) if admitted else counts.select("cluster", "shard").limit(0)
 
 

@@ -51,6 +51,33 @@ def test_a_third_of_all_rows_alike(spark):
     assert sum(hot.values()) == 1000 and cut < 0.3 * len(groups)
 
 
+@pytest.mark.parametrize("copies, stretch", [(2, 50_000), (3, 40)])
+def test_groups_that_fit_are_not_cut(spark, monkeypatch, copies, stretch):
+    monkeypatch.setattr(sharding, "STRETCH_ROWS", stretch)
+    rows = [(k, f"t{k // copies}", "en", "a") for k in range(4000 * copies)]
+    got = sharding.balanced_shards(frame(spark, rows).repartition(4)).collect()
+    check(rows, got, sharding.SHARDS)
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.doc_id // copies].add(r.shard)
+    assert sum(len(x) > 1 for x in groups.values()) < 0.02 * len(groups)
+
+
+def test_shards_admit_what_their_room_holds(spark):
+    clusters = [(c, c % 3, 1 + c % 4) for c in range(90)]
+    room = [40, 0, 1000]
+    asked = spark.createDataFrame(clusters, "cluster long, shard int, n long")
+    for stretches in (1, 5):
+        got = {r.cluster: r for r in sharding.within_room(asked, room, 2, stretches).collect()}
+        held = Counter()
+        for r in got.values():
+            held[r.shard] += r.n
+        assert 36 < held[0] <= 40 and held[1] == 0 and sum(c in got for c, s, _ in clusters if s == 2) == 30
+    waiting = spark.createDataFrame([(1, 0, 5), (1, 2, 3), (2, 1, 9), (3, 0, 2), (3, 2, 7)], "cluster long, shard int, n long")
+    wanted = {r.cluster: (r.shard, r.n) for r in sharding.asked_shards(waiting, room, 0).collect()}
+    assert wanted[1] == (0, 8) and wanted[3] == (2, 9) and wanted[2][0] in (0, 2)
+
+
 def test_fewer_rows_than_shards_and_none(spark):
     rows = [(1, "a", "en", "a"), (2, "a", "en", "a"), (3, "b", "en", "a")]
     check(rows, sharding.balanced_shards(frame(spark, rows)).collect(), 40)
