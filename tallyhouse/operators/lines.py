@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.money import TOTAL
+from tallyhouse.sources.tables import UNKNOWN
 
 
 def of_sales(items: DataFrame, sales: DataFrame, *columns: str) -> DataFrame:
@@ -20,6 +21,13 @@ def of_sales(items: DataFrame, sales: DataFrame, *columns: str) -> DataFrame:
     return items.join(sales.select(F.col("id").alias("sale_id"), *extra, *columns), keys)
 
 
+def without_sale(items: DataFrame, sales: DataFrame) -> DataFrame:
+    """Lines whose sale is not there. Where lines are stored by month, these lie with the undated ones."""
+    if "month" in items.columns and "month" in sales.columns:
+        items, sales = (df.filter(F.col("month") == UNKNOWN) for df in (items, sales))
+    return items.join(sales.select(F.col("id").alias("sale_id")), "sale_id", "left_anti")
+
+
 def revenue() -> Column:
     return F.col("quantity") * F.col("price_at_sale")
 

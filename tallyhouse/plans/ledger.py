@@ -217,12 +217,17 @@ def stock_balance(stock_entries: DataFrame, sale_items: DataFrame) -> DataFrame:
 def stock_drift(products: DataFrame, stock_entries: DataFrame, sale_items: DataFrame) -> DataFrame:
     """Products whose stored stock differs from their ledger, and ledger rows
     of products that are not listed."""
+    return drift_of(products, stock_balance(stock_entries, sale_items))
+
+
+def drift_of(products: DataFrame, ledgered: DataFrame) -> DataFrame:
+    """Drift of the stored stock from balances by product."""
     stored = products.select(
         F.col("id").alias("product_id"), F.col("current_stock").cast("bigint").alias("stored_stock")
     )
     drift = F.coalesce("stored_stock", F.lit(0)) - F.coalesce("ledger_stock", F.lit(0))
     return (
-        stored.join(stock_balance(stock_entries, sale_items), "product_id", "full")
+        stored.join(ledgered, "product_id", "full")
         .withColumn("drift", drift)
         .filter(F.col("drift") != 0)
     )
@@ -233,6 +238,11 @@ def debt_balance(debtors: DataFrame, payments: DataFrame) -> DataFrame:
     paid = payments.groupBy(F.col("debtor_id").alias("id")).agg(
         F.sum("amount").cast(TOTAL).alias("recorded_payments")
     )
+    return recorded(debtors, paid)
+
+
+def recorded(debtors: DataFrame, paid: DataFrame) -> DataFrame:
+    """Debtors with their sums of payments, 0 where there is none."""
     return debtors.join(paid, "id", "left").withColumn(
         "recorded_payments", F.coalesce("recorded_payments", F.lit(0)).cast(TOTAL)
     )

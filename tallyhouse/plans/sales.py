@@ -188,18 +188,27 @@ def _with_mix(row: DataFrame) -> DataFrame:
 
 
 def products_report(
-    t: RetailTables, as_of: date, start: date | None = None, end: date | None = None
+    t: RetailTables,
+    as_of: date,
+    start: date | None = None,
+    end: date | None = None,
+    ever: DataFrame | None = None,
 ) -> DataFrame:
     """Performance of products sold in the period and of products never sold.
 
-    A product sold only outside the period is left out. Lines are matched to
-    the period's sales alone; the whole line history is read for nothing but
-    the distinct product ids.
+    A product sold only outside the period is left out. Lines of undated sales and lines whose sale
+    is not there count in every period; the latter lie under one month where lines are
+    stored by month, and else take an anti join of all lines. Beyond these, lines are matched
+    to the period's sales alone; the whole line history is read for nothing but the
+    distinct product ids, and not for these where ``ever`` has them.
     """
     start, end = default_period(as_of, start, end)
     kept = t.sales.filter(in_period("sale_date", start, end) | F.col("sale_date").isNull())
-    sold = L.per_product(L.of_sales(t.sale_items, kept)).drop("lines")
-    ever = t.sale_items.select("product_id").distinct().withColumn("_ever", F.lit(True))
+    counted = "product_id", "quantity", "price_at_sale"
+    matched = L.of_sales(t.sale_items, kept).select(*counted)
+    sold = L.per_product(matched.unionByName(L.without_sale(t.sale_items, t.sales).select(*counted))).drop("lines")
+    ever = t.sale_items.select("product_id").distinct() if ever is None else ever
+    ever = ever.withColumn("_ever", F.lit(True))
     shelf = t.products.withColumnRenamed("id", "product_id").join(
         _category_names(t), "category_id"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.sources import schemas
@@ -75,7 +75,11 @@ def load_tables(spark: SparkSession, root: str) -> RetailTables:
     return RetailTables(**{n: partial(load_table, spark, root, n) for n in RetailTables.NAMES})
 
 
-def _conform(df: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
+#: Month of undated rows, and of lines whose sale is not there.
+UNKNOWN = "unknown"
+
+
+def conform(df: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Declared columns in declared order and type; absent ones become null."""
     have = set(df.columns)
     wanted = [
@@ -85,8 +89,19 @@ def _conform(df: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame
     return df.select(*wanted, *extra)
 
 
-def _month(ts: str):
-    return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit("unknown")).alias("month")
+def month_of(ts: str) -> Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit(UNKNOWN)).alias("month")
+
+
+def with_months(tables: RetailTables) -> dict[str, DataFrame]:
+    """All tables as they are stored, facts with their ``month``. Sale lines take the month of their sale."""
+    out = {n: conform(getattr(tables, n), n) for n in ("categories", "users", "products", "debtors")}
+    for name, ts in MONTH_OF.items():
+        out[name] = conform(getattr(tables, name).withColumn("month", month_of(ts)), name, ("month",))
+    months = tables.sales.select(F.col("id").alias("sale_id"), month_of("sale_date"))
+    # A line without its sale is kept, under the month of undated sales.
+    items = tables.sale_items.drop("month").join(months, "sale_id", "left").fillna(UNKNOWN, "month")
+    return {**out, "sale_items": conform(items, "sale_items", ("month",))}
 
 
 def write_tables(tables: RetailTables, root: str) -> None:
@@ -96,20 +111,8 @@ def write_tables(tables: RetailTables, root: str) -> None:
     Rows are gathered by month, and adaptive execution splits large months by
     their size: a month that holds most of the data still writes in parallel.
     """
-    facts = {name: getattr(tables, name) for name in MONTH_OF}
-    for name in ("categories", "users", "products", "debtors"):
-        _conform(getattr(tables, name), name).write.mode("overwrite").parquet(f"{root}/{name}")
-    for name, df in facts.items():
-        out = _conform(df.withColumn("month", _month(MONTH_OF[name])), name, ("month",))
-        _by_month(out).write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
-    months = tables.sales.select(F.col("id").alias("sale_id"), _month("sale_date"))
-    # A line without its sale is kept, under the month of undated sales.
-    items = tables.sale_items.join(months, "sale_id", "left").withColumn(
-        "month", F.coalesce("month", F.lit("unknown"))
-    )
-    out = _conform(items, "sale_items", ("month",))
-    _by_month(out).write.mode("overwrite").partitionBy("month").parquet(f"{root}/sale_items")
-
-
-def _by_month(df: DataFrame) -> DataFrame:
-    return df.hint("rebalance", "month")
+    for name, df in with_months(tables).items():
+        if "month" in df.columns:
+            df.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")

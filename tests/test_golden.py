@@ -69,6 +69,12 @@ def test_products_report_keeps_lines_of_undated_sales(shop, spark):
     assert ("Shirt", 1) in got
 
 
+def test_products_report_keeps_lines_without_a_sale(shop):
+    lost = shop.replace(sales=shop.sales.filter("id != 5"))
+    got = rows(sales.products_report(lost, TODAY), "name", "total_sold", "total_revenue")
+    assert ("Shirt", 1, 500) in got
+
+
 def test_categories_report_counts_lines(shop):
     report = sales.categories_report(shop, TODAY)
     got = rows(report, "category", "transaction_count", "sale_count", "items_sold", "revenue")
