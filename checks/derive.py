@@ -264,3 +264,42 @@ def checkout_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("price_at_sale").alias("selling_price"),
         from_cents(override).alias("price_override"),
     )
+
+
+#: Ids of sales that a batch adds start here.
+LATE_SALES = 1_000_000_000_000
+
+
+def late_batch(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Changes of the stored tables, by kind of event: errors redate the sale of their number,
+    purchases are new sales of one line, clicks replace the lines of the sale of their number,
+    sign-ups receive stock. Every event is a payment as well; the user id names product and debtor."""
+    events, price = _events(spark, sf), from_cents(cents(F.col("value")))
+    late = (F.col("event_id") + LATE_SALES).alias("id")
+    redated = mapped.sales(spark, sf).join(
+        events.filter(_kind("error")).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz")), "id"
+    )
+    made = events.filter(_kind("purchase")).select(
+        late,
+        F.concat(F.lit("LATE-"), "event_id").alias("receipt_number"),
+        price.alias("final_amount"),
+        F.lit("cash").alias("payment_method"),
+        F.col("ts").cast("timestamp_ntz").alias("sale_date"),
+    )
+    lines = events.filter(_kind("purchase", "click")).select(
+        F.when(_kind("purchase"), late).otherwise(F.col("event_id")).alias("sale_id"),
+        F.col("user_id").alias("product_id"),
+        F.when(_kind("purchase"), F.floor("value") % 5 + 1).otherwise(1).alias("quantity"),
+        price.alias("price_at_sale"),
+    )
+    entries = events.filter(_kind("signup")).select(
+        F.col("user_id").alias("product_id"),
+        F.floor("value").alias("quantity"),
+        F.col("ts").alias("entry_date"),
+    )
+    return {
+        "sales": redated.withColumn("sale_date", F.col("ts")).unionByName(made, allowMissingColumns=True),
+        "sale_items": lines,
+        "stock_entries": entries,
+        "payments": late_payments(spark, sf),
+    }

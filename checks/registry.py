@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from checks import derive
 from tallyhouse.functions import debt, pricing, stock, text, validation
-from tallyhouse.plans import catalogue, categories, intake, inventory, ledger, receivables, replay, sales
-from tallyhouse.sources import folder, mapped, sinks
+from tallyhouse.plans import balances, catalogue, categories, intake, inventory, ledger, receivables, replay, sales
+from tallyhouse.sources import folder, mapped, sinks, versions
 from tallyhouse.sources import intake as files
 from tallyhouse.sources.mapped import AS_OF, NOW
 from tallyhouse.sources.tables import RetailTables
@@ -55,6 +55,14 @@ def _named(spark: SparkSession, sf: str) -> RetailTables:
     return _tables(spark, sf).replace(sales=lambda: mapped.named_sales(spark, sf))
 
 
+def _versions(spark: SparkSession, sf: str) -> str:
+    """A store whose first version has the tables, with balances, and the second the late batch."""
+    root = sinks.scratch_path(spark, "shop")
+    balances.save_balances(spark, root, versions.publish(_named(spark, sf), root))
+    versions.publish_changes(spark, root, **derive.late_batch(spark, sf))
+    return root
+
+
 # --- dashboard and sales reports ------------------------------------------
 
 
@@ -744,3 +752,36 @@ def ledger_replayed_stock(spark, sf):
     t = _tables(spark, sf)
     opening = t.products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("opening"))
     return replay.replay_sales(t.stock_entries, t.sale_items, t.sales, opening).stock
+
+
+# --- versions of the stored tables and balances advanced with them ----------
+
+
+@query
+def stored_version_months(spark, sf):
+    """Sales and their lines by the months of the version that a batch of changes made."""
+    t = versions.load_version(spark, _versions(spark, sf))
+    made = t.sales.groupBy("month").agg(
+        F.count(F.lit(1)).alias("sales_count"), F.sum("final_amount").alias("total_sales")
+    )
+    sold = t.sale_items.groupBy("month").agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum("quantity").alias("units")
+    )
+    return made.join(sold, "month", "full")
+
+
+@query
+def stored_products_report(spark, sf):
+    return balances.products_report(spark, _versions(spark, sf), AS_OF)
+
+
+@query
+def ledger_advanced_stock_drift(spark, sf):
+    return balances.stock_drift(spark, _versions(spark, sf))
+
+
+@query
+def ledger_advanced_debt_balance(spark, sf):
+    return balances.debt_balance(spark, _versions(spark, sf)).select(
+        "id", "total_owed", "amount_paid", "balance", "recorded_payments"
+    )
