@@ -303,3 +303,9 @@ def late_batch(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "stock_entries": entries,
         "payments": late_payments(spark, sf),
     }
+
+
+def best_seller_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The sale lines, with one product on all lines of every second sale."""
+    best = F.when(F.col("sale_id") % 2 == 0, F.lit(1).cast("bigint")).otherwise(F.col("product_id"))
+    return mapped.sale_items(spark, sf).withColumn("product_id", best)

@@ -977,3 +977,10 @@ oracle(
     "ledger_advanced_debt_balance",
     LATE + ORACLES["ledger_debt_balance"].removeprefix(BASE).replace("FROM payments", "FROM payments2"),
 )
+
+BEST_SELLER = BASE.replace(
+    "l_orderkey AS sale_id, l_partkey AS product_id",
+    "l_orderkey AS sale_id, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE l_partkey END AS product_id",
+)
+oracle("export_sales_even", EXPORT, BEST_SELLER)
+oracle("receipt_lines_even", ORACLES["receipt_lines"].removeprefix(BASE), BEST_SELLER)

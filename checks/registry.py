@@ -785,3 +785,20 @@ def ledger_advanced_debt_balance(spark, sf):
     return balances.debt_balance(spark, _versions(spark, sf)).select(
         "id", "total_owed", "amount_paid", "balance", "recorded_payments"
     )
+
+
+# --- a product on half of all lines -----------------------------------------
+
+
+def _best_seller(spark, sf):
+    return _named(spark, sf).replace(sale_items=lambda: derive.best_seller_lines(spark, sf))
+
+
+@query
+def export_sales_even(spark, sf):
+    return sales.export_sales(_best_seller(spark, sf), AS_OF, even=True)
+
+
+@query
+def receipt_lines_even(spark, sf):
+    return catalogue.receipt_lines(_best_seller(spark, sf), even=True)

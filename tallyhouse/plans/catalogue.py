@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import pricing, stock, text
 from tallyhouse.operators import lines as L
+from tallyhouse.operators.hot_keys import even_join
 from tallyhouse.sources.tables import RetailTables
 
 CATALOGUE_ROWS = 50
@@ -122,12 +123,15 @@ def receipts(t: RetailTables) -> DataFrame:
     )
 
 
-def receipt_lines(t: RetailTables) -> DataFrame:
+def receipt_lines(t: RetailTables, even: bool = False) -> DataFrame:
     """The printed lines of the given sales, one row each: nothing is nested, so a
-    receipt may have any number of lines. On paper they stand by ``LINE_ORDER``."""
+    receipt may have any number of lines. On paper they stand by ``LINE_ORDER``.
+    ``even`` salts the products that hold most lines."""
     names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
-    return (
-        L.of_sales(t.sale_items, t.sales, "receipt_number")
-        .join(names, "product_id", "left")
-        .select("sale_id", "receipt_number", *LINE_ORDER, "product", "total")
+    lines = L.of_sales(t.sale_items, t.sales, "receipt_number")
+    named = (
+        even_join(lines, names, "product_id", "sale_id", "left")
+        if even
+        else lines.join(names, "product_id", "left")
     )
+    return named.select("sale_id", "receipt_number", *LINE_ORDER, "product", "total")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import pricing, stock, text
 from tallyhouse.functions.money import TOTAL, percent, percent_label, ratio, total
 from tallyhouse.operators import lines as L
+from tallyhouse.operators.hot_keys import even_join
 from tallyhouse.operators.periods import (
     day_spine,
     default_period,
@@ -345,9 +346,13 @@ def sales_by_method(sales: DataFrame) -> DataFrame:
 
 
 def export_sales(
-    t: RetailTables, as_of: date, start: date | None = None, end: date | None = None
+    t: RetailTables,
+    as_of: date,
+    start: date | None = None,
+    end: date | None = None,
+    even: bool = False,
 ) -> DataFrame:
-    """Flat sale lines of the period, newest sale first."""
+    """Flat sale lines of the period, newest sale first. ``even`` salts the products that hold most lines."""
     _, _, sales = _period(t, as_of, start, end)
     lines = L.of_sales(
         t.sale_items,
@@ -358,7 +363,10 @@ def export_sales(
         "customer_name",
         "user_id",
     )
-    named = L.with_products(lines, t.products, F.col("name").alias("product"))
+    names = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
+    named = (
+        even_join(lines, names, "product_id", "sale_id") if even else lines.join(names, "product_id")
+    )
     staff = t.users.select(F.col("id").alias("user_id"), "username")
     return (
         named.join(staff, "user_id")
