@@ -1,3 +1,4 @@
+import tracemalloc
 import zipfile
 from datetime import date
 from decimal import Decimal
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.derive import _workbook
 from tallyhouse.plans import intake as plans
 from tallyhouse.plans import sales
-from tallyhouse.sources import intake, sinks
+from tallyhouse.sources import intake, sinks, workbooks
 from tallyhouse.sources.tables import RetailTables, load_tables, write_tables
 from tallyhouse.sources.workbooks import read_stock_workbooks
 
@@ -110,6 +111,70 @@ def test_workbook_with_shared_strings_and_gaps(spark, tmp_path):
     ]
 
 
+def _long_book(path, count, tail="</sheetData></worksheet>"):
+    """A book of ``count`` products, every name a shared text of its own."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    heads = ["name", "category", "quantity", "buying_price", "selling_price"]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook {main} xmlns:r="{office}"><sheets>'
+            '<sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        )
+        book.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+        )
+        with book.open("xl/sharedStrings.xml", "w") as part:
+            part.write(f"<sst {main}>".encode())
+            for text in [*heads, "Drinks"]:
+                part.write(f"<si><t>{text}</t></si>".encode())
+            for i in range(count):
+                part.write(f"<si><r><t>Cola é </t></r><r><t>{i}</t></r></si>".encode())
+            part.write(b"</sst>")
+        with book.open("xl/worksheets/s.xml", "w") as part:
+            cells = "".join(f'<c t="s"><v>{i}</v></c>' for i in range(5))
+            part.write(f"<worksheet {main}><sheetData><row>{cells}</row>".encode())
+            for i in range(count):
+                part.write(
+                    f'<row><c t="s"><v>{i + 6}</v></c><c t="s"><v>5</v></c><c><v>{i}</v></c>'
+                    "<c><v>1.5</v></c><c><v>2</v></c></row>".encode()
+                )
+            part.write(tail.encode())
+
+
+def test_a_long_workbook_is_read_whole(spark, tmp_path):
+    _long_book(tmp_path / "long.xlsx", 25_000)
+    _long_book(tmp_path / "torn.xlsx", 25_000, "<row>")
+    got = read_stock_workbooks(spark, str(tmp_path))
+    torn = got.filter("path like '%torn.xlsx'")
+    assert torn.count() == 1 and torn.filter("error is not null and name is null").count() == 1
+    long = got.filter("path like '%long.xlsx'")
+    right = "name = concat('Cola é ', line) and quantity = string(line) and category = 'Drinks' and error is null"
+    assert long.count() == 25_000 == long.filter(right).select("line").distinct().count()
+
+
+def test_memory_of_a_sheet_does_not_grow_with_its_rows(tmp_path, monkeypatch):
+    monkeypatch.setattr(workbooks, "SPOOLED_BYTES", 1 << 16)
+    peaks = []
+    for count in (4_000, 24_000):
+        path = tmp_path / f"{count}.xlsx"
+        _long_book(path, count)
+        content = path.read_bytes()
+        tracemalloc.start()
+        assert sum(1 for _ in workbooks.sheet_rows(content)) == count + 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_a_shared_text_that_is_not_there_is_an_error(spark, tmp_path):
+    _long_book(tmp_path / "bad.xlsx", 3, '<row><c t="s"><v>99</v></c></row></sheetData></worksheet>')
+    got = read_stock_workbooks(spark, str(tmp_path))
+    assert rows(got, "line", "name", "error") == [(None, None, "no shared text 99")]
+
+
 def test_json_batches(spark):
     batch = '[{"name":" Cola ","category_id":"4","quantity":"5","buying_price":"1"},{"name":"Tie"}]'
     df = spark.createDataFrame([(1, batch), (2, "broken"), (3, "[]")], "id int, batch string")
