@@ -17,6 +17,7 @@ from tallyhouse.functions import pricing
 from tallyhouse.functions.money import MONEY, TOTAL, cents, from_cents
 from tallyhouse.operators.running import by_hour_or_sale, running_total
 from tallyhouse.operators.sequential import accept_in_order
+from tallyhouse.sources.schemas import PAYMENTS
 
 
 def price_sales(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -275,6 +276,7 @@ class Paid:
     sales: DataFrame
     rejects: DataFrame
     log: DataFrame
+    payments: DataFrame
 
 
 def payment_log(
@@ -312,14 +314,19 @@ def apply_payments(
     payments: DataFrame,
     order: Sequence[str],
     bucket: str,
+    paid_at: str | None = None,
     **sizes: int,
 ) -> Paid:
-    """Payments applied to debtors; the sale behind each debt follows."""
+    """Payments applied to debtors; the sale behind each debt follows. ``paid_at`` names the column
+    with the moment of a payment: it dates the accepted payments, and the latest is the debtor's ``updated_at``."""
     log = payment_log(debtors, payments, order, bucket, **sizes).checkpoint()
     taken = (
         log.filter("accepted")
         .groupBy(F.col("debtor_id").alias("id"))
-        .agg(F.sum("amount").cast(TOTAL).alias("_taken"))
+        .agg(
+            F.sum("amount").cast(TOTAL).alias("_taken"),
+            F.max(F.col(paid_at) if paid_at else F.lit(None)).cast("timestamp_ntz").alias("_at"),
+        )
     )
     now_paid = debtors.join(taken, "id", "left")
     left = F.col("balance") - F.col("_taken")
@@ -331,8 +338,9 @@ def apply_payments(
             .cast(MONEY),
             "balance": F.when(touched, left).otherwise(F.col("balance")).cast(MONEY),
             "status": F.when(touched & (left <= 0), "paid").otherwise(F.col("status")),
+            **({"updated_at": _moment(debtors, F.col("_at"))} if paid_at else {}),
         }
-    )
+    ).drop("_at")
     follow = updated.filter(touched).select(
         F.col("sale_id").alias("id"), "_taken", F.col("balance").alias("_left")
     )
@@ -348,7 +356,19 @@ def apply_payments(
         )
         .drop("_taken", "_left")
     )
-    return Paid(updated.drop("_taken"), new_sales, log.filter(~F.col("accepted")), log)
+    taken_in = log.filter("accepted")
+    if paid_at:
+        taken_in = taken_in.withColumn("payment_date", F.col(paid_at).cast("timestamp_ntz"))
+    recorded_as = [c for c in PAYMENTS if c in taken_in.columns]
+    return Paid(
+        updated.drop("_taken"), new_sales, log.filter(~F.col("accepted")), log, taken_in.select(recorded_as)
+    )
+
+
+def _moment(df: DataFrame, at: Column) -> Column:
+    """``updated_at`` after a change at ``at``, as it was where that is null."""
+    before = F.col("updated_at") if "updated_at" in df.columns else F.lit(None)
+    return F.coalesce(at, before.cast("timestamp_ntz"))
 
 
 @dataclass(frozen=True)
@@ -366,8 +386,8 @@ def write_off(
     user_id: int | None = None,
 ) -> WrittenOff:
     """Close the debts named in ``ids`` (``id, reason`` and a unique ``seq``) with a
-    payment of the whole balance, dated ``at`` by ``user_id``. The sale is left as
-    it is. The first request for an open debt closes it; every other request is
+    payment of the whole balance, dated ``at`` (the debtor's ``updated_at`` too) by ``user_id``.
+    The sale is left as it is. The first request for an open debt closes it; every other request is
     in ``rejects`` with its reason, those of unknown or null ids too."""
     first = ids.groupBy("id").agg(
         F.min(seq).alias("_first"), F.min_by("reason", seq).alias("_reason")
@@ -382,6 +402,11 @@ def write_off(
             .cast(MONEY),
             "status": F.when(closing, "written_off").otherwise(F.col("status")),
             "balance": F.when(closing, F.lit(0)).otherwise(F.col("balance")).cast(MONEY),
+            **(
+                {"updated_at": _moment(debtors, F.when(closing, F.lit(at).cast("timestamp_ntz")))}
+                if at
+                else {}
+            ),
         }
     ).drop("_first", "_reason")
     entries = closed.select(

@@ -219,6 +219,24 @@ def test_payments_in_order(shop, spark):
     assert done.sales.count() == 6
 
 
+def test_payments_and_write_offs_are_dated(shop, spark):
+    given, order = _payments(spark, [500, 1600, 700, 0]), ["payment_date", "id"]
+    moments = dict(rows(given, "id", "payment_date"))
+    renamed = given.withColumnRenamed("payment_date", "made")
+    done = ledger.apply_payments(shop.debtors, shop.sales, renamed, ["made", "id"], "day", paid_at="made")
+    assert rows(done.debtors, "updated_at", "balance") == [(moments[2], 800)]
+    assert sorted(rows(done.payments, "id", "amount", "payment_date")) == [
+        (0, 500, moments[0]), (2, 700, moments[2]),
+    ]
+    refused = ledger.apply_payments(
+        done.debtors, shop.sales, given.filter("id = 1"), order, "day", paid_at="payment_date"
+    )
+    assert rows(refused.debtors, "updated_at") == [(moments[2],)] and refused.payments.isEmpty()
+    asked = spark.createDataFrame([(1, "gone", 1)], "id bigint, reason string, seq int")
+    closed = ledger.write_off(done.debtors, asked, at=NOON)
+    assert rows(closed.debtors, "updated_at", "status") == [(NOON, "written_off")]
+
+
 def test_write_off_leaves_the_sale_behind(shop, spark):
     asked = spark.createDataFrame(
         [(1, "moved", 2), (1, "gone", 1), (99, "gone", 3), (None, "gone", 4)],
