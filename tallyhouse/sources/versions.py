@@ -19,6 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.hot_keys import left_by_merge
 from tallyhouse.sources import schemas
 from tallyhouse.sources.sinks import written
 from tallyhouse.sources.tables import MONTH_OF, UNKNOWN, RetailTables, conform, month_of, with_months
@@ -157,7 +158,7 @@ def _moves(now: RetailTables, sales: DataFrame, lines: DataFrame) -> DataFrame:
         .agg(F.max("dated").alias("dated"), F.max("headed").alias("headed"), F.max("relined").alias("relined"))
     )
     stored = now.sales.select(F.col("id").alias("sale_id"), F.col("month").alias("stored"))
-    return asked.join(stored, "sale_id", "left").select(
+    return left_by_merge(asked, stored, "sale_id").select(
         "sale_id",
         "stored",
         "headed",
@@ -182,7 +183,8 @@ def publish_changes(
     tables are given whole. When the month of a sale changes, its lines move along; lines of
     a sale that is not there lie under the month ``unknown`` until it comes.
 
-    Only months that lose rows are written anew; rows for other months go to one more folder.
+    Only months that lose rows are written anew; rows for other months go to one more folder. The sales
+    that a batch names grow with it, so joins with them are merged and never broadcast.
     """
     if unknown := set(batch) - set(RetailTables.NAMES):
         raise TypeError(f"no table {', '.join(sorted(unknown))}")
@@ -199,18 +201,17 @@ def publish_changes(
         folders = folders - old
         return read_folders(spark, root, name, old)
 
-    kept = rewrite("sales", _months(moves.filter("headed"), "stored")).join(sales, "id", "left_anti")
+    kept = rewrite("sales", _months(moves.filter("headed"), "stored")).join(sales.hint("merge"), "id", "left_anti")
     new_sales = kept.unionByName(sales.withColumn("month", month_of("sale_date")))
 
     taken = moves.filter("relined or source <> target").select("sale_id", "relined", "source", "target")
     staying = (
-        rewrite("sale_items", _months(taken, "source"))
-        .join(taken.drop("source"), "sale_id", "left")
+        left_by_merge(rewrite("sale_items", _months(taken, "source")), taken.drop("source"), "sale_id")
         .filter(~F.coalesce("relined", F.lit(False)))
         .withColumn("month", F.coalesce("target", "month"))
         .drop("relined", "target")
     )
-    given = lines.join(moves.select("sale_id", F.col("target").alias("month")), "sale_id", "left")
+    given = left_by_merge(lines, moves.select("sale_id", F.col("target").alias("month")), "sale_id")
     new_lines = staying.unionByName(given.fillna(UNKNOWN, "month"))
 
     wrote = _write(new_sales, root, "sales", tag) | _write(new_lines, root, "sale_items", tag)

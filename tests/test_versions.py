@@ -166,3 +166,22 @@ def test_advanced_balances_read_no_untouched_month(spark, shop, root):
     assert read and not any("month=2024-03" in path for path in read)
     assert any("month=2024-01" in path for path in read)
     assert not any("stock_entries" in path for path in read)
+
+
+def test_what_a_batch_names_is_never_broadcast(spark, root, monkeypatch):
+    plans, write = [], versions._write
+
+    def seen(df, *at):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *at)
+
+    monkeypatch.setattr(versions, "_write", seen)
+    lines = frame(spark, "sale_items", ITEMS, [(2, 3, 1, d(5)), (None, 4, 1, d(5))])
+    versions.publish_changes(spark, root, sales=sale(spark, (3, datetime(2024, 2, 2))), sale_items=lines)
+    assert len(plans) == 2 and not [plan for plan in plans if "Broadcast" in plan]
+    kept = lines_of(versions.load_version(spark, root))
+    assert (2, 3, 1, "2024-03") in kept and (None, 4, 1, "unknown") in kept
+    # lines without sale are read again on their own and stay
+    versions.publish_changes(spark, root, sale_items=frame(spark, "sale_items", ITEMS, [(77, 1, 1, d(5))]))
+    versions.publish_changes(spark, root, sale_items=frame(spark, "sale_items", ITEMS, [(77, 2, 1, d(5))]))
+    assert sorted(kept + [(77, 2, 1, "unknown")], key=str) == lines_of(versions.load_version(spark, root))
