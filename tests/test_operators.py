@@ -6,9 +6,11 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.hot_keys import left_by_merge
 from tallyhouse.operators.ranking import number_rows, top_per_group
 from tallyhouse.operators.running import running_count, running_total
 from tallyhouse.operators.sequential import accept_in_order, replay
+from tallyhouse.sources import mapped
 from tallyhouse.sources.tables import load_tables, write_tables
 
 
@@ -183,3 +185,22 @@ def test_a_level_below_zero_refuses_until_it_is_made_good(spark):
     openings = spark.createDataFrame([("k", -3)], "key string, opening bigint")
     got = accept_in_order(df, openings, "key", ["seq"], "delta", "seq", 2).collect()
     assert {r.seq: (r.accepted, r.level_after) for r in got} == brute(events, {"k": -3})
+
+
+def test_rows_without_key_pass_by_the_join(spark):
+    rows = spark.createDataFrame([(i, i % 5 if i % 10 == 0 else None) for i in range(200)], "id int, key int")
+    listed = spark.createDataFrame([(0, "a"), (0, "b"), (7, "c"), (None, "d")], "key int, name string")
+    got = left_by_merge(rows.repartition(4), listed, "key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(listed, "key", "left").select(got.columns).collect()))
+
+
+def test_sales_without_customer_are_not_joined(spark, tmp_path):
+    orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"
+    made = [(i, i % 3, "P" if i % 10 == 0 else "F", 10.0, None) for i in range(100)]
+    spark.createDataFrame(made, orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "A"), (1, "B")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    named = mapped.named_sales(spark, str(tmp_path))
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    names = {r.id: r.customer_name for r in named.collect()}
+    assert names == {i: {0: "A", 1: "B"}.get(i % 3) if i % 10 == 0 else None for i in range(100)}
