@@ -21,8 +21,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.operators.running import running_totals
 from tallyhouse.sources.sinks import shared_root
@@ -94,6 +96,39 @@ def replay(
     return accepted, levels, low, high
 
 
+def accept_short(
+    events: DataFrame, openings: DataFrame, key: str, order: Sequence[str], delta: str
+) -> DataFrame:
+    """``accept_in_order`` for keys with one opening and no more events than a chunk has: one shuffle, and
+    one pass over sorted partitions that keeps a level. Keys and ``delta`` are bigint."""
+    names = events.columns
+    answered = T.StructType(
+        [*events.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("level_after", T.LongType())]
+    )
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = level = None
+        for batch in batches:
+            keys, deltas, starts = (batch.column(c).to_pandas() for c in (key, delta, "_opening"))
+            accepted, levels = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
+            for run in _runs(keys) if len(keys) else ():
+                if keys.iat[run.start] != at:
+                    at, level = keys.iat[run.start], int(starts.iat[run.start])
+                accepted[run], levels[run], _, _ = replay(deltas.to_numpy()[run], level)
+                level = int(levels[run.stop - 1])
+            columns = [*(batch.column(c) for c in names), pa.array(accepted), pa.array(levels)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "accepted", "level_after"])
+
+    opened = openings.select(key, F.coalesce("opening", F.lit(0)).cast("bigint").alias("_opening"))
+    return (
+        events.join(opened.hint("merge"), key)
+        .select(*names, "_opening")
+        .repartition(key)
+        .sortWithinPartitions(key, *order)
+        .mapInArrow(answers, answered)
+    )
+
+
 def _runs(values: pd.Series) -> Iterator[slice]:
     """Stretches of equal neighbours."""
     edges = np.flatnonzero((values != values.shift()).to_numpy()[1:]) + 1

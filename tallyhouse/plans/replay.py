@@ -6,7 +6,7 @@ products at once, and a product's level on answers given for others.
 
 Products that never run short, even if every sale is taken, refuse nothing and need no more than running
 totals. For the others rounds are played: each product answers its own lines exactly and in order
-(``accept_in_order``), counting a sale as absent where another product refused it in the round before.
+(``accept_short``, or ``accept_in_order`` for those of very many events), counting a sale as absent where another product refused it in the round before.
 An answer rests on earlier events alone; every round settles at least the earliest event that was still
 wrong, and a round that repeats the refusals of the one before is the sequential answer.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.running import by_hour_or_sale, running_total
-from tallyhouse.operators.sequential import accept_in_order
+from tallyhouse.operators.sequential import CHUNK_EVENTS, accept_in_order, accept_short
 from tallyhouse.sources.sinks import shared_root, written
 
 ORDER = ["at", "kind", "sale_id", "moved"]
@@ -92,7 +92,8 @@ def replay_sales(
 def _play(events: DataFrame, tight: DataFrame, openings: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Events of the tight products with ``fits`` and the level ``before`` them, where sales go whole or not at all."""
     opening = tight.join(openings, "product_id", "left").select("product_id", F.coalesce("opening", F.lit(0)).cast("bigint").alias("opening"))
-    played = written(_answered(events.withColumn("delta", F.col("moved")), opening, sizes))
+    cut = _cut(events, opening, sizes.get("chunk_events", CHUNK_EVENTS))
+    played = written(_answered(events.withColumn("delta", F.col("moved")), opening, cut, sizes))
     refused, before = _refusals(played), None
     while True:
         # only products that share a sale whose refusals changed are answered anew
@@ -106,13 +107,31 @@ def _play(events: DataFrame, tight: DataFrame, openings: DataFrame, sizes: dict[
         seen = events.join(dirty, "product_id", "left_semi").join(all_, "sale_id", "left").join(own, ["sale_id", "product_id"], "left")
         elsewhere = F.coalesce("_all", F.lit(0)) > F.coalesce("_own", F.lit(0))
         seen = seen.withColumn("delta", F.when(elsewhere, F.lit(0).cast("bigint")).otherwise(F.col("moved"))).drop("_all", "_own")
-        answered = _answered(seen, opening.join(dirty, "product_id", "left_semi"), sizes)
+        answered = _answered(seen, opening.join(dirty, "product_id", "left_semi"), cut, sizes)
         played = written(played.join(dirty, "product_id", "left_anti").unionByName(answered))
         refused, before = _refusals(played), refused
 
 
-def _answered(seen: DataFrame, opening: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    settled = accept_in_order(seen, opening, "product_id", ORDER, "delta", "stretch", **sizes)
+def _cut(events: DataFrame, opening: DataFrame, most: int) -> DataFrame | None:
+    """Products to answer in chunks: those of more than ``most`` events or several openings, if there are any."""
+    one = F.lit(1).cast("bigint")
+    counts = events.select("product_id", one.alias("events"), F.lit(0).alias("openings")).unionByName(
+        opening.select("product_id", F.lit(0).cast("bigint").alias("events"), F.lit(1).alias("openings"))
+    )
+    totals = counts.groupBy("product_id").agg(F.sum("events").alias("events"), F.sum("openings").alias("openings"))
+    cut = written(totals.filter((F.col("events") > most) | (F.col("openings") > 1)).select("product_id"))
+    return None if cut.isEmpty() else cut
+
+
+def _answered(seen: DataFrame, opening: DataFrame, cut: DataFrame | None, sizes: dict[str, int]) -> DataFrame:
+    key = "product_id"
+    if cut is None:
+        settled = accept_short(seen, opening, key, ORDER, "delta")
+    else:
+        short, long = ((seen.join(cut, key, how), opening.join(cut, key, how)) for how in ("left_anti", "left_semi"))
+        settled = accept_short(*short, key, ORDER, "delta").unionByName(
+            accept_in_order(*long, key, ORDER, "delta", "stretch", **sizes)
+        )
     before = F.col("level_after") - F.when(F.col("accepted"), F.col("delta")).otherwise(0)
     settled = settled.withColumn("before", before).withColumn("fits", F.col("before") + F.col("moved") >= 0)
     return settled.select("product_id", "at", "kind", "sale_id", "moved", "before", "fits")

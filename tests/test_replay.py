@@ -77,3 +77,25 @@ def test_random_shops_as_one_by_one(spark, seed):
 
 def test_no_sales(spark):
     assert played(spark, [(1, 4, START)], [], [], {1: 2}) == ({}, [], {1: 6})
+
+
+def test_only_products_of_many_events_are_cut(spark, monkeypatch):
+    """Product 1 has more events than a chunk, 2 and 3 are answered in one pass."""
+    asked, chunks = [], plan.accept_in_order
+
+    def seen(events, *rest, **sizes):
+        asked.append({r.product_id for r in events.select("product_id").distinct().collect()})
+        return chunks(events, *rest, **sizes)
+
+    monkeypatch.setattr(plan, "accept_in_order", seen)
+    rng = random.Random(5)
+    moment = lambda: START + timedelta(microseconds=rng.randrange(10**6))
+    entries = [(p, rng.choice([-2, 3]), moment()) for p in (1, 2, 3) for _ in range(4)]
+    sales = [(k, moment()) for k in range(40)]
+    lines = [(k, k % 40, 1 if k < 30 else rng.choice([2, 3]), rng.randrange(1, 3)) for k in range(50)]
+    opening = {1: 4, 2: 1, 3: 2}
+    assert played(spark, entries, lines, sales, opening, chunk_events=20) == one_by_one(entries, lines, sales, opening)
+    assert asked and set.union(*asked) == {1}
+    asked.clear()
+    assert played(spark, entries, lines, sales, opening) == one_by_one(entries, lines, sales, opening)
+    assert not asked
