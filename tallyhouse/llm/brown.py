@@ -6,11 +6,13 @@ the class that raises the likelihood of the class bigrams most.
 It starts from a coarse clustering of a fixed number of units: the most frequent ``HEAD`` words, and
 ``FORMS`` groups of all others by the bytes they end with. The most frequent units found a class each;
 every round twice as many units take part, until all do. Then each word starts in its unit's class and
-is exchanged itself for ``ROUNDS`` rounds. In a round the words' classes reach the blocks by a join, the
-blocks count (word, neighbour class), these counts meet by word, and tasks weigh every class for each of
-their words against the class bigram counts; alternate halves of the words move. (word, class) is a saved
-table that grows with the vocabulary; only the class bigram counts reach the driver. A word that no
-training row has takes the class of its unit.
+is exchanged itself for ``ROUNDS`` rounds. Words lie in buckets by their hash, about ``BUCKET_WORDS`` in each;
+a bucket knows which of its words each block has. In a round buckets tell the blocks the classes of their
+words, blocks count (word, neighbour class) and send them to the buckets, and these weigh every class for
+each of their words against the class bigram counts; alternate halves of the words move. What travels
+between a block and a bucket is one row of compressed numbers; block pairs and buckets stay where they are.
+Classes are a saved table that grows with the vocabulary; only the class bigram counts reach the driver. A
+word that no training row has takes the class of its unit.
 
     P(word | before) = P(class | class before) * P(word | class)
 
@@ -19,7 +21,7 @@ of that class. Counts come from the training rows alone.
 
 The corpus is read twice: for word counts, then for blocks of about ``BLOCK_TOKENS`` tokens that hold
 their own vocabulary and their texts as numbers in it. Blocks are scored with the counts of their own
-words, which reach them by one join of (block, word) rows with the counts.
+words, which reach them from the buckets.
 
 Defined results: null text is empty, which is the end token alone; null ids hash like the text '';
 repeated rows are scored alike; without training rows all counts are 0; other columns are not read; an
@@ -33,9 +35,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,13 @@ STARTING = 1
 #: Rounds in which every training word takes part.
 ROUNDS = 8
 #: Words that are weighed at a time.
-WEIGHED = 1024
+WEIGHED = 4096
+#: Words of a bucket, about.
+BUCKET_WORDS = 100_000
+#: Units whose neighbours share a row.
+RANGE = 256
+#: Cells counted at a time.
+CELLS = 1 << 24
 BLOCK_TOKENS = 2_000_000
 #: Added to each count of a word, and the weight of class frequencies in transitions.
 ADDED = 0.1
@@ -59,12 +66,48 @@ PRIOR = 10.0
 COUNTED_WORDS = 1_000_000
 COUNTED_PAIRS = 3_000_000
 
-PAIRS = "block long, size int, a binary, b binary, n binary"
-SEEN = "word binary, class int, slots array<int>, ns array<long>"
+PAIRS = "block long, size int, odd binary, a binary, b binary, n binary"
+SIDES = "range int, is_after boolean, codes binary, n binary"
+ASKED = "bucket int, block long, words binary, n binary"
+BUCKETS = "bucket int, words binary, n binary, blocks array<long>, places array<binary>"
+ANSWERS = "block long, bucket int, classes binary, n binary"
+SEEN = "bucket int, block long, codes binary, n binary"
+STATE = "bucket int, classes binary"
 BLOCKS = "block long, words binary, ids binary, held_out binary, lengths binary, tokens binary"
 WORDS = "word binary, n long"
 
 
+def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as compressed bytes, those of equal worth together."""
+    width = 4 if not len(numbers) or numbers.max() < 1 << 31 else 8
+    planes = numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}")[:, 0].astype(np.int64)
+
+
+def summed(codes: np.ndarray, n: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes below ``many``, ascending, and the sum of each one's ``n``."""
+    found, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, many, CELLS):
+        some = slice(None) if many <= CELLS else (codes >= low) & (codes < low + CELLS)
+        cells = np.bincount(codes[some] - low, n[some], minlength=0)
+        at = np.flatnonzero(cells)
+        found.append(at + low)
+        sums.append(cells[at].astype(np.int64))
+    return np.concatenate(found), np.concatenate(sums)
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -177,45 +220,52 @@ class Block:
         return out
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.select(["block", "words"]).to_pylist():
-            words = row["words"].split(b"\n") if row["words"] else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), row["block"], np.int64)), pa.array(np.arange(1, len(words) + 1, dtype=np.int32)), pa.array(words, pa.binary())], ["block", "number", "word"]
-            )
-
-
-def block_words(cut: DataFrame) -> DataFrame:
-    """The words of each block and their numbers in it."""
-    return cut.select("block", "words").mapInArrow(_block_words, "block long, number int, word binary")
-
+def unit_sides(cut: DataFrame, units: Units) -> DataFrame:
+    """Counts of (unit before, unit) over the training texts, by ranges of either unit.
 
-def unit_pairs(cut: DataFrame, units: Units) -> DataFrame:
-    """Counts of (unit before, unit) over the training texts."""
+    ``codes`` are, ascending and as steps, the unit's place in its range * all units + the unit after (or before) it.
+    """
     many = units.start + 1
 
+    def rows_of(codes: np.ndarray, counts: np.ndarray, is_after: bool) -> list[tuple]:
+        bounds = np.searchsorted(codes, np.arange(0, many + RANGE, RANGE) * many)
+        pieces = [(k, codes[lo:hi] - k * RANGE * many, counts[lo:hi]) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
+        return [(k, is_after, packed(np.diff(x, prepend=0)), packed(n)) for k, x, n in pieces]
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((codes // many).astype(np.int32)), pa.array((codes % many).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
+            turned = codes % many * many + codes // many
+            order = np.argsort(turned)
+            return batch_of(SIDES, rows_of(codes, counts, True) + rows_of(turned[order], counts[order], False))
 
         for batch in batches:
             for row in batch.to_pylist():
                 own = Block.of(row)
                 values = own.spread(np.fromiter((units.of(x) for x in own.words), np.int64, len(own.words)), units.end)
                 training = ~np.repeat(own.held_out, own.lengths)
-                found, times = np.unique((own.before(values, units.start) * many + values)[training], return_counts=True)
-                both = np.concatenate([codes, found])
-                codes, where = np.unique(both, return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, times])).astype(np.int64) if len(both) else counts
+                found = (own.before(values, units.start) * many + values)[training]
+                codes, counts = summed(np.concatenate([codes, found]), np.concatenate([counts, np.ones(len(found), np.int64)]), many * many)
                 if len(codes) > COUNTED_PAIRS:
                     yield flushed()
                     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield flushed()
 
-    return cut.mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def merged(found: pa.Table) -> pa.Table:
+        rows = found.to_pylist()
+        out = []
+        for is_after in (True, False):
+            some = [r for r in rows if r["is_after"] == is_after]
+            if some:
+                codes = np.concatenate([np.cumsum(unpacked(r["codes"])) for r in some])
+                codes, n = summed(codes, np.concatenate([unpacked(r["n"]) for r in some]), RANGE * many)
+                out.append((rows[0]["range"], is_after, packed(np.diff(codes, prepend=0)), packed(n)))
+        return pa.Table.from_batches([batch_of(SIDES, out)])
+
+    merged_sides = cut.mapInArrow(counted, SIDES).groupBy("range").applyInArrow(merged, SIDES)
+    codes = lambda side: F.first(F.when(F.col("is_after") == side, F.struct("codes", "n")), ignorenulls=True)
+    return merged_sides.groupBy("range").agg(codes(True).alias("after"), codes(False).alias("before"))
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
@@ -247,63 +297,78 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs:
     return out
 
 
-def exchange(pairs: DataFrame, units: Units, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(sides: DataFrame, units: Units, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Class of every unit, and the counts of class bigrams [before, class].
 
     The end is class ``classes``, the start the one after; they stay. Units that take no part yet are
-    in a class beyond. Rows of a unit's neighbours are saved once; a round returns a row for each unit.
+    in a class beyond. ``sides`` are saved ``unit_sides``; a round returns a row for each unit.
     """
     many, outside = units.start + 1, classes + 2
     kinds = outside + 1
-    totals = np.zeros(units.end)
-    for r in pairs.filter(F.col("b") < units.end).groupBy("b").agg(F.sum("n").alias("n")).collect():
-        totals[r["b"]] = r["n"]
+
+    def neighbours(row: dict, of: np.ndarray, kinds: int) -> list[np.ndarray]:
+        """Counts of (unit of the range, class) after and before."""
+        found = []
+        for side in ("after", "before"):
+            counts = np.zeros(RANGE * kinds)
+            if row[side] is not None:
+                unit, other = divmod(np.cumsum(unpacked(row[side]["codes"])), many)
+                counts = np.bincount(unit * kinds + of[other], unpacked(row[side]["n"]), minlength=RANGE * kinds)
+            found.append(counts.reshape(RANGE, kinds))
+        return found
+
+    def told(what):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    one, two, three = what(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.array(three.astype(np.int64))], ["one", "two", "n"])
+
+        return sides.mapInArrow(rows, "one int, two int, n long")
+
+    def totals_of(row: dict):
+        counts = neighbours(row, np.zeros(many, np.int64), 1)[1][:, 0]
+        unit = np.flatnonzero(counts)
+        return unit + row["range"] * RANGE, unit, counts[unit]
+
+    totals = np.zeros(many)
+    for r in told(totals_of).collect():
+        totals[r["one"]] = r["n"]
     rank = np.full(many, np.iinfo(np.int64).max)
-    rank[np.argsort(-totals, kind="stable")] = np.arange(units.end)
+    rank[np.argsort(-totals[: units.end], kind="stable")] = np.arange(units.end)
     of = np.full(many, outside)
     of[units.end], of[units.start] = classes, classes + 1
     of[rank < classes] = rank[rank < classes]
-    right = pairs.select(F.col("a").alias("unit"), F.lit(True).alias("is_after"), F.struct(F.col("b").alias("u"), "n").alias("x"))
-    left = pairs.select(F.col("b").alias("unit"), F.lit(False).alias("is_after"), F.struct(F.col("a").alias("u"), "n").alias("x"))
-    sides = right.union(left).groupBy("unit").agg(
-        F.collect_list(F.when(F.col("is_after"), F.col("x"))).alias("after"), F.collect_list(F.when(~F.col("is_after"), F.col("x"))).alias("before")
-    )
-    names = [F.col(side)[field].alias(f"{side}_{field}") for side in ("after", "before") for field in ("u", "n")]
-    sides = saved(sides.select("unit", *names), "sides")
-
-    def weighed(of: np.ndarray, table: np.ndarray, moves: np.ndarray):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                unit = batch.column("unit").to_numpy(zero_copy_only=False)
-                seen = []
-                for us, ns in (("after_u", "after_n"), ("before_u", "before_n")):
-                    counts = np.zeros((len(unit), kinds))
-                    for k, (u, n) in enumerate(zip(batch.column(us), batch.column(ns), strict=True)):
-                        counts[k] = np.bincount(of[u.values.to_numpy()], n.values.to_numpy(), minlength=kinds) if len(u.values) else 0
-                    seen.append(counts)
-                own, new, move = of[unit], of[unit].copy(), moves[unit]
-                if move.any():
-                    new[move] = best_classes(seen[0][move], seen[1][move], own[move], table, classes)
-                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(new.astype(np.int32)), pa.array(list(seen[0]), pa.list_(pa.float64()))], ["unit", "class", "after"])
-
-        return rows
 
     def tallied(of: np.ndarray) -> np.ndarray:
-        found = sides.mapInArrow(weighed(of, np.zeros((0, 0)), np.zeros(many, bool)), "unit int, class int, after array<double>")
-        sums = found.select("class", F.posexplode("after")).groupBy("class", "pos").agg(F.sum("col").alias("n"))
+        def cells(row: dict):
+            own = of[row["range"] * RANGE :][:RANGE]
+            table = np.zeros((kinds, kinds))
+            np.add.at(table, own, neighbours(row, of, kinds)[0][: len(own)])
+            one, two = np.nonzero(table)
+            return one, two, table[one, two]
+
         out = np.zeros((kinds, kinds))
-        for r in sums.collect():
-            out[r["class"], r["pos"]] = r["n"]
+        for r in told(cells).groupBy("one", "two").agg(F.sum("n").alias("n")).collect():
+            out[r["one"], r["two"]] = r["n"]
         return out
 
+    def moved(of: np.ndarray, table: np.ndarray, moves: np.ndarray) -> DataFrame:
+        def classes_of(row: dict):
+            after, before = neighbours(row, of, kinds)
+            unit = np.flatnonzero(moves[row["range"] * RANGE :][:RANGE] & (after.any(axis=1) | before.any(axis=1))[: many - row["range"] * RANGE])
+            own = unit + row["range"] * RANGE
+            return own, best_classes(after[unit], before[unit], of[own], table, classes), own
+
+        return told(classes_of)
+
     taking, k = classes, 0
     while k < rounds:
         taking *= 2
         moves = (rank < taking) & ((of == outside) | (rank % 2 == k % 2))
-        found = sides.mapInArrow(weighed(of, tallied(of), moves), "unit int, class int, after array<double>")
         new = of.copy()
-        for r in found.select("unit", "class").collect():
-            new[r["unit"]] = r["class"]
+        for r in moved(of, tallied(of), moves).collect():
+            new[r["one"]] = r["two"]
         new[(new == outside) & (rank < taking)] = 0  # units that never occur
         k += taking >= units.end
         of = new
@@ -311,22 +376,52 @@ def exchange(pairs: DataFrame, units: Units, classes: int = CLASSES, rounds: int
     return of, tallied(of)[:outside, :outside]
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Small numbers as compressed bytes, those of equal worth together: blocks travel once a round."""
-    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+def bucketed(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of words by bucket, their buckets in that order, and whether a word moves in odd rounds."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in words), np.uint64, len(words))
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order], (hashes[order] & np.uint64(1)).astype(bool)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
+def asked_words(cut: DataFrame, buckets: int) -> DataFrame:
+    """Words of each block by bucket, in the block's order, and their counts in its training texts."""
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Block.of(row)
+                order, bucket, _ = bucketed(own.words, buckets)
+                n = np.bincount(own.tokens[~np.repeat(own.held_out, own.lengths)], minlength=len(own.words) + 1)[1:]
+                firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                pieces = np.split(order, firsts[1:]) if len(firsts) else []
+                yield batch_of(ASKED, [(int(bucket[at]), row["block"], b"\n".join([own.words[k] for k in some.tolist()]), packed(n[some])) for at, some in zip(firsts, pieces, strict=True)])
+
+    return cut.mapInArrow(asked, ASKED)
+
+
+def vocabulary(cut: DataFrame, buckets: int) -> DataFrame:
+    """A row for each bucket: its words, their training counts, and for each block the places of its words."""
 
-def block_pairs(cut: DataFrame) -> DataFrame:
-    """Counts of (number before, number) over each block's training texts; ``size`` stands for the start.
+    def merged(asked: pa.Table) -> pa.Table:
+        at: dict[bytes, int] = {}
+        places, counts = [], []
+        for words, n in zip(asked["words"], asked["n"], strict=True):
+            some = words.as_py().split(b"\n")
+            places.append(np.fromiter((at.setdefault(x, len(at)) for x in some), np.int64, len(some)))
+            counts.append(unpacked(n.as_py()))
+        n = np.bincount(np.concatenate(places), np.concatenate(counts)).astype(np.int64)
+        row = (asked["bucket"][0].as_py(), b"\n".join(at), packed(n), asked["block"].to_pylist(), [packed(x) for x in places])
+        return pa.Table.from_batches([batch_of(BUCKETS, [row])])
 
-    ``a`` holds the steps from one number to the next.
+    return asked_words(cut, buckets).groupBy("bucket").applyInArrow(merged, BUCKETS)
+
+
+def block_pairs(cut: DataFrame, buckets: int) -> DataFrame:
+    """Counts of (place before, place) over each block's training texts.
+
+    Words' places follow their buckets, from 1; 0 is the end and ``size`` the start of a text. ``a`` holds the
+    steps from one place to the next, ``odd`` the words that move in odd rounds.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,69 +429,103 @@ def block_pairs(cut: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 own = Block.of(row)
                 size = len(own.words) + 1
-                values = own.tokens.astype(np.int64)
+                order, _, odd = bucketed(own.words, buckets)
+                place = np.zeros(size, np.int64)
+                place[order + 1] = np.arange(1, size)
+                values = place[own.tokens]
                 training = ~np.repeat(own.held_out, own.lengths)
                 codes, n = np.unique((own.before(values, size) * (size + 1) + values)[training], return_counts=True)
                 numbers = [packed(x) for x in (np.diff(codes // (size + 1), prepend=0), codes % (size + 1), n)]
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([row["block"], size, *numbers], kinds, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
+                yield batch_of(PAIRS, [(row["block"], size, np.packbits(odd).tobytes(), *numbers)])
 
     return cut.mapInArrow(counted, PAIRS)
 
 
-def _seen(classes: int):
-    """Of a block: neighbour class counts of each word that moves, and class bigrams under a null word."""
+def _answers(buckets: pa.Table, state: pa.Table) -> pa.Table:
+    """The classes of each block's words in a bucket, and their counts where these are asked for."""
+    of = unpacked(state["classes"][0].as_py())
+    n = unpacked(buckets["n"][0].as_py()) if "n" in buckets.column_names else None
+    rows = []
+    for block, data in zip(buckets["blocks"][0].as_py(), buckets["places"][0].as_py(), strict=True):
+        at = unpacked(data)
+        rows.append((block, buckets["bucket"][0].as_py(), packed(of[at]), None if n is None else packed(n[at])))
+    return pa.Table.from_batches([batch_of(ANSWERS, rows)])
+
+
+def in_places(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a block's words in the order of their places, and the first place of each bucket."""
+    order = np.argsort(answers["bucket"].to_numpy(), kind="stable").tolist()
+    parts = [unpacked(answers[column][k].as_py()) for k in order]
+    return np.concatenate([np.zeros(0, np.int64), *parts]), 1 + np.cumsum([0, *map(len, parts)])
+
+
+def _seen(classes: int, moving: int | None):
+    """Of a block: by bucket the neighbour class counts of words that move, and class bigrams as bucket -1."""
     kinds = classes + 2
 
-    def block(pairs: pa.Table, known: pa.Table) -> pa.Table:
-        if not pairs.num_rows:
-            pairs = pa.table({"size": [1], **{x: [packed(np.zeros(0, int))] for x in "abn"}})
-        size = pairs["size"][0].as_py()
+    def block(pairs: pa.Table, answers: pa.Table) -> pa.Table:
+        size, number = pairs["size"][0].as_py(), pairs["block"][0].as_py()
         a, b, n = (unpacked(pairs[x][0].as_py()) for x in "abn")
         a = np.cumsum(a)
-        number = known["number"].to_numpy()
-        of, moving, row = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
-        of[number], moving[number], row[number] = known["class"].to_numpy(), known["moves"].to_numpy(), np.arange(len(number))
-        of[0], of[size] = classes, classes + 1
-        table = np.bincount(of[a] * kinds + of[b], n, minlength=kinds * kinds).astype(np.int64)
-        right, left = moving[a], moving[b]
-        codes = np.concatenate([a[right] * 2 * kinds + of[b[right]], b[left] * 2 * kinds + kinds + of[a[left]]])
-        codes, where = np.unique(codes, return_inverse=True)
-        times = np.bincount(where, np.concatenate([n[right], n[left]]), minlength=len(codes)).astype(np.int64)
-        whose, cell = codes // (2 * kinds), np.flatnonzero(table)
-        found, firsts = np.unique(whose, return_index=True)
-        words = known["word"].combine_chunks().take(pa.array(row[found]))
-        words = pa.concat_arrays([words, pa.nulls(1, words.type)])
-        ends = pa.array(np.r_[firsts, len(codes), len(codes) + len(cell)].astype(np.int32))
-        slots = pa.array(np.concatenate([codes % (2 * kinds), cell]).astype(np.int32))
-        columns = [words, pa.array(np.r_[of[found], 0].astype(np.int32))]
-        columns += [pa.ListArray.from_arrays(ends, x) for x in (slots, pa.array(np.concatenate([times, table[cell]])))]
-        return pa.Table.from_arrays(columns, ["word", "class", "slots", "ns"])
+        own, bounds = in_places(answers, "classes")
+        of = np.concatenate([[classes], own, [classes + 1]])
+        cells, sums = summed(of[a] * kinds + of[b], n, kinds * kinds)
+        rows = [(-1, number, packed(cells), packed(sums))]
+        if moving is not None:
+            odd = np.unpackbits(np.frombuffer(pairs["odd"][0].as_py(), np.uint8), count=size - 1)
+            moves = np.concatenate([[False], odd == moving, [False]])
+            place = np.flatnonzero(moves)
+            row = np.cumsum(moves) - 1
+            right, left = moves[a], moves[b]
+            codes = np.concatenate([row[a[right]] * 2 * kinds + of[b[right]], row[b[left]] * 2 * kinds + kinds + of[a[left]]])
+            codes, sums = summed(codes, np.concatenate([n[right], n[left]]), len(place) * 2 * kinds)
+            codes = place[codes // (2 * kinds)] * 2 * kinds + codes % (2 * kinds)
+            ends = np.searchsorted(codes, bounds * 2 * kinds)
+            for bucket, low, lo, hi in zip(np.sort(answers["bucket"].to_numpy()).tolist(), bounds.tolist(), ends, ends[1:], strict=False):
+                if lo < hi:
+                    rows.append((bucket, number, packed(np.diff(codes[lo:hi] - low * 2 * kinds, prepend=0)), packed(sums[lo:hi])))
+        return pa.Table.from_batches([batch_of(SEEN, rows)])
 
     return block
 
 
+def added_logs(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return x_log_x(x + n) - x_log_x(x)
+
+
 def best_of_many(after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
-    """``best_classes`` for many words with few neighbour classes each: only their cells are weighed."""
+    """``best_classes`` for many words with few neighbour classes each.
+
+    Only their cells are weighed; what a cell gives is alike for all words of the same count in it, save in the
+    class that a word leaves.
+    """
     every = np.arange(len(own))
     gain = np.zeros((len(own), classes))
     for mine, other, table in ((after, before, pairs.T), (before, after, pairs)):
         who, cell = np.nonzero(mine)
         n = mine[who, cell]
-        rest = table[cell, :classes].astype(float)
-        rest[np.arange(len(who)), own[who]] -= n
-        same = cell == own[who]
-        rest[same] -= other[who[same], :classes]
-        rest = np.maximum(rest, 0)
-        found = x_log_x(rest + n[:, None]) - x_log_x(rest)
-        some, firsts = np.unique(who, return_index=True)
-        if len(some):
-            gain[some] += np.add.reduceat(found, firsts, axis=0)
+        table = table[:, :classes].astype(float)
+        if len(who):
+            kinds, alike = np.unique(cell * (n.max() + 1) + n, return_inverse=True)
+            firsts = np.zeros(len(kinds), np.int64)
+            firsts[alike] = np.arange(len(alike))
+            found = added_logs(table[cell[firsts]], n[firsts][:, None])[alike]
+            found[np.arange(len(who)), own[who]] = added_logs(np.maximum(table[cell, own[who]] - n, 0), n)
+            same = np.flatnonzero(cell == own[who])
+            rest = table[cell[same]]
+            rest[np.arange(len(same)), own[who[same]]] -= n[same]
+            found[same] = added_logs(np.maximum(rest - other[who[same], :classes], 0), n[same][:, None])
+            some, starts = np.unique(who, return_index=True)
+            gain[some] += np.add.reduceat(found, starts, axis=0)
         total = mine.sum(axis=1)
-        margin = np.repeat(table[:, :classes].sum(axis=0)[None, :].astype(float), len(own), axis=0) - other[:, :classes]
-        margin[every, own] -= total
-        margin = np.maximum(margin, 0)
-        gain -= x_log_x(margin + total[:, None]) - x_log_x(margin)
+        margin = table.sum(axis=0)
+        totals, alike = np.unique(total, return_inverse=True)
+        fallen = added_logs(margin[None, :], totals[:, None])[alike]
+        who, cell = np.nonzero(other[:, :classes])
+        less = np.maximum(margin[cell] - other[who, cell], 0)
+        fallen[who, cell] = added_logs(less, total[who])
+        fallen[every, own] = added_logs(np.maximum(margin[own] - other[every, own] - total, 0), total)
+        gain -= fallen
     who, cell = np.nonzero((after[:, :classes] > 0) & (before[:, :classes] > 0))
     r, l = after[who, cell], before[who, cell]
     both = np.maximum(pairs[cell, cell] - (cell == own[who]) * (r + l), 0)
@@ -406,65 +535,79 @@ def best_of_many(after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs:
 
 
 def _moved(pairs: np.ndarray, classes: int):
-    """New classes of words, from rows sorted by word; the rows of a word may go on in the next batch."""
-    kinds = classes + 2
+    """New classes of a bucket's words; its present ones come as block -1."""
+    slots = 2 * (classes + 2)
+
+    def bucket(buckets: pa.Table, seen: pa.Table) -> pa.Table:
+        places = dict(zip(buckets["blocks"][0].as_py(), buckets["places"][0].as_py(), strict=True))
+        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in seen.to_pylist():
+            if r["block"] < 0:
+                of = unpacked(r["codes"])
+                continue
+            row, slot = divmod(np.cumsum(unpacked(r["codes"])), slots)
+            codes.append(unpacked(places[r["block"]])[row] * slots + slot)
+            counts.append(unpacked(r["n"]))
+        codes, n = summed(np.concatenate(codes), np.concatenate(counts), len(of) * slots)
+        word, row = np.unique(codes // slots, return_inverse=True)
+        for low in range(0, len(word), WEIGHED):
+            some = word[low : low + WEIGHED]
+            lo, hi = np.searchsorted(row, [low, low + len(some)])
+            sides = np.zeros((len(some), slots))
+            sides[row[lo:hi] - low, codes[lo:hi] % slots] = n[lo:hi]
+            of[some] = best_of_many(sides[:, : slots // 2], sides[:, slots // 2 :], of[some], pairs, classes)
+        return pa.Table.from_batches([batch_of(STATE, [(buckets["bucket"][0].as_py(), packed(of))])])
+
+    return bucket
+
+
+def class_bigrams(seen: DataFrame, kinds: int) -> np.ndarray:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                table[unpacked(row["codes"])] += unpacked(row["n"])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["cell", "n"])
+
+    out = np.zeros((kinds, kinds))
+    for r in seen.filter("bucket = -1").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[divmod(r["cell"], kinds)] = r["n"]
+    return out
 
-    def weighed(words: pa.Array, own: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
-        new = best_of_many(sides[:, :kinds], sides[:, kinds:], own, pairs, classes)
-        return pa.RecordBatch.from_arrays([words, pa.array(new.astype(np.int32))], ["word", "new"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, last = None, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, WEIGHED):
-                some = batch.slice(at, WEIGHED)
-                coded = some["word"].dictionary_encode()
-                row, words = coded.indices.to_numpy(), coded.dictionary
-                own, sides = np.zeros(len(words), np.int64), np.zeros((len(words), 2 * kinds))
-                own[row] = some["class"].to_numpy()
-                sizes = pa.compute.list_value_length(some["slots"]).to_numpy()
-                np.add.at(sides, (np.repeat(row, sizes), some["slots"].flatten().to_numpy()), some["ns"].flatten().to_numpy())
-                if word is not None and words[0] == word[0]:
-                    sides[0] += last[1][0]
-                elif word is not None:
-                    yield weighed(word, *last)
-                if len(words) > 1:
-                    yield weighed(words[:-1], own[:-1], sides[:-1])
-                word, last = words[-1:], (own[-1:], sides[-1:])
-        if word is not None:
-            yield weighed(word, *last)
-
-    return rows
-
-
-def exchange_words(words: DataFrame, asked: DataFrame, pairs: DataFrame, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
-    """``words`` (word, n, class) after so many rounds, and the class bigrams [before, class] they give."""
-    kinds = classes + 2
+def exchange_words(state: DataFrame, buckets: DataFrame, pairs: DataFrame, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """Words' classes (bucket, classes) after so many rounds, and the class bigrams [before, class] they give.
+
+    ``buckets`` and ``pairs`` lie partitioned by bucket and by block, and so don't travel.
+    """
     for k in range(rounds + 1):
-        moves = F.lit(k < rounds) & (F.pmod(F.xxhash64("word"), F.lit(2)) == k % 2)
-        known = asked.join(words.select("word", "class", moves.alias("moves")), "word")
-        seen = pairs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_seen(classes), SEEN).persist(StorageLevel.DISK_ONLY)
-        table = np.zeros((kinds, kinds))
-        cells = seen.filter("word is null").select(F.explode(F.arrays_zip("slots", "ns")).alias("x"))
-        for r in cells.groupBy("x.slots").agg(F.sum("x.ns").alias("n")).collect():
-            table[divmod(r["slots"], kinds)] = r["n"]
+        answers = buckets.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_answers, ANSWERS)
+        moving = k % 2 if k < rounds else None
+        seen = pairs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_seen(classes, moving), SEEN).persist(StorageLevel.DISK_ONLY)
+        table = class_bigrams(seen, classes + 2)
         if k < rounds:
-            sides = seen.filter("word is not null").repartition("word").sortWithinPartitions("word")
-            moved = sides.mapInArrow(_moved(table, classes), "word binary, new int")
-            words = saved(words.join(moved, "word", "left").select("word", "n", F.coalesce("new", "class").alias("class")), "words")
+            present = state.select("bucket", F.lit(-1).cast("long").alias("block"), F.col("classes").alias("codes"), F.lit(None).cast("binary").alias("n"))
+            given = seen.filter("bucket >= 0").union(present)
+            moved = buckets.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_moved(table, classes), STATE)
+            state = saved(moved, "classes")
         seen.unpersist()
-    return words, table
+    return state, table
 
 
 @dataclass
 class Model:
     """Logarithms to base 10 of transitions, and what words' shares are made of.
 
-    ``known`` holds (word, n, class) of every training word; ``classes`` those of the units.
+    ``known`` holds (word, n, class) of every training word, ``state`` the classes of the words of
+    ``vocabulary`` by bucket; ``classes`` those of the units.
     """
 
     units: Units
     classes: np.ndarray
+    buckets: int
+    vocabulary: DataFrame | None
+    state: DataFrame | None
     known: DataFrame | None
     transitions: np.ndarray
     class_tokens: np.ndarray
@@ -477,69 +620,90 @@ class Model:
         return int(self.classes[self.units.of(word)])
 
     def class_of(self, word: bytes) -> int:
-        """For a look at single words; texts meet ``known`` by a join."""
+        """For a look at single words; texts get their words' classes from the buckets."""
         own = self.known.filter(F.col("word") == F.lit(bytearray(word))).select("class").first()
         return own["class"] if own else self.of_unit(word)
 
 
-def unit_classes(counts: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
-    """word, n and the class of its unit."""
+def unit_classes(buckets: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
+    """The classes of the words' units, by bucket."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = classes[np.fromiter((units.of(x) for x in batch.column("word").to_pylist()), np.int64, batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own.astype(np.int32))], ["word", "n", "class"])
+            for row in batch.to_pylist():
+                words = row["words"].split(b"\n")
+                yield batch_of(STATE, [(row["bucket"], packed(classes[np.fromiter((units.of(x) for x in words), np.int64, len(words))]))])
+
+    return buckets.select("bucket", "words").mapInArrow(placed, STATE)
+
 
-    return counts.mapInArrow(placed, f"{WORDS}, class int")
+def known_words(buckets: DataFrame, state: DataFrame) -> DataFrame:
+    """word, n and class of the words that training rows have."""
 
+    def rows(words: pa.Table, state: pa.Table) -> pa.Table:
+        n, of = unpacked(words["n"][0].as_py()), unpacked(state["classes"][0].as_py())
+        table = pa.table({"word": pa.array(words["words"][0].as_py().split(b"\n"), pa.binary()), "n": n, "class": of.astype(np.int32)})
+        return table.filter(pa.array(n > 0))
 
-def class_sizes(words: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    words = buckets.select("bucket", "words", "n")
+    return words.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(rows, f"{WORDS}, class int")
+
+
+def class_sizes(buckets: DataFrame, state: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each class."""
+
+    def sizes(words: pa.Table, state: pa.Table) -> pa.Table:
+        n, of = unpacked(words["n"][0].as_py()), unpacked(state["classes"][0].as_py())
+        return pa.table({"class": np.arange(kinds, dtype=np.int32), "n": np.bincount(of, n, minlength=kinds).astype(np.int64), "v": np.bincount(of[n > 0], minlength=kinds).astype(np.int64)})
+
     tokens, distinct = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
-    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    found = buckets.select("bucket", "n").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(sizes, "class int, n long, v long")
+    for r in found.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         tokens[r["class"]], distinct[r["class"]] = r["n"], r["v"]
     return tokens, distinct
 
 
-def fit(
-    rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS, asked: DataFrame | None = None
-) -> Model:
+def fit(rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS) -> Model:
     most = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     units = Units({bytes(r["word"]): k for k, r in enumerate(most)})
-    of, _ = exchange(saved(unit_pairs(cut, units), "pairs"), units, classes, STARTING)
-    asked = saved(block_words(cut), "asked") if asked is None else asked
-    words, table = exchange_words(saved(unit_classes(counts, units, of), "words"), asked, saved(block_pairs(cut), "block-pairs"), classes, rounds)
-    tokens, distinct = class_sizes(words, classes + 2)
+    of, _ = exchange(saved(unit_sides(cut, units), "sides"), units, classes, STARTING)
+    buckets = counts.count() // BUCKET_WORDS + 1
+    words = saved(vocabulary(cut, buckets), "vocabulary")
+    pairs = block_pairs(cut, buckets).repartition(max(1, cut.count()), "block").persist(StorageLevel.DISK_ONLY)
+    index = words.select("bucket", "blocks", "places").repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    state, table = exchange_words(saved(unit_classes(words, units, of), "classes"), index, pairs, classes, rounds)
+    index.unpersist()
+    pairs.unpersist()
+    tokens, distinct = class_sizes(words, state, classes + 2)
     ends = rows.filter("not held_out").count()
     tokens[classes], distinct[classes] = ends, int(ends > 0)
     share = (tokens[: classes + 1] + ADDED) / (tokens[: classes + 1].sum() + ADDED * (classes + 1))
     seen = table[:, : classes + 1]
     transitions = np.log10((seen + PRIOR * share) / (seen.sum(axis=1, keepdims=True) + PRIOR))
-    return Model(units, of, words, transitions, tokens, distinct, int(tokens.sum()), int(distinct.sum()), ends)
+    return Model(units, of, buckets, words, state, known_words(words, state), transitions, tokens, distinct, int(tokens.sum()), int(distinct.sum()), ends)
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scored(model: Model, classes: int):
-    model = replace(model, known=None)
+    model = replace(model, known=None, vocabulary=None, state=None)
 
-    def block(row: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        own = Block.of(row.iloc[0].to_dict())
+    def block(row: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Block.of(row.to_pylist()[0])
+        order, _, _ = bucketed(own.words, model.buckets)
         n = np.zeros(len(own.words) + 1)
         n[0] = model.end_count
-        n[known["number"].to_numpy(np.int64)] = known["n"].to_numpy(np.float64)
+        n[order + 1] = in_places(answers, "n")[0]
         of = np.full(len(own.words) + 1, classes)
-        of[known["number"].to_numpy(np.int64)] = known["class"].to_numpy(np.int64)
-        for k in np.flatnonzero(n[1:] == 0).tolist():  # words that no training row has
-            of[k + 1] = model.of_unit(own.words[k])
+        of[order + 1] = in_places(answers, "classes")[0]
         base = np.log10((n + ADDED) / (model.tokens + ADDED * (model.words + 1)))
         share = (n + ADDED) / (model.class_tokens[of] + ADDED * (model.class_words[of] + 1))
         share[0] = 1.0
         value = of[own.tokens]
         score = model.transitions[own.before(value, classes + 1), value] + np.log10(share)[own.tokens]
         firsts = np.cumsum(own.lengths) - own.lengths
-        return pd.DataFrame(
+        return pa.table(
             {
                 "id": own.ids,
                 "held_out": own.held_out,
@@ -564,10 +728,10 @@ def class_scores(
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     counts = saved(word_counts(rows), "counts")
     cut = saved(blocks(rows), "blocks")
-    asked = saved(block_words(cut), "asked")
-    model = fit(rows, counts, cut, classes, head, rounds, asked)
-    known = asked.join(model.known, "word").select("block", "number", "n", "class")
-    scores = cut.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_scored(model, classes), SCORES)
+    model = fit(rows, counts, cut, classes, head, rounds)
+    words = model.vocabulary.select("bucket", "n", "blocks", "places")
+    answers = words.groupBy("bucket").cogroup(model.state.groupBy("bucket")).applyInArrow(_answers, ANSWERS)
+    scores = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, classes), SCORES)
     return scores.select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -112,3 +112,22 @@ def test_many_words_are_weighed_like_single_ones():
     pairs = rng.integers(300, 900, (classes + 2, classes + 2)).astype(float)
     one = brown.best_classes(after.astype(float), before.astype(float), own, pairs, classes)
     assert brown.best_of_many(after.astype(float), before.astype(float), own, pairs, classes).tolist() == one.tolist()
+
+
+def test_words_travel_as_a_row_for_each_block_and_bucket(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(40)), "en", "a") for k in range(1, 60)]
+    df = brown.texts(frame(spark, rows)).withColumn("held_out", F.col("doc_id") == 7).withColumn("id", F.col("doc_id"))
+    cut = brown.saved(brown.blocks(df.coalesce(1), 500), "b")
+    many, asked = cut.count(), brown.asked_words(cut, 3).collect()
+    assert many > 3 and len({(r.block, r.bucket) for r in asked}) == len(asked) <= 3 * many
+    want = Counter(w for r in rows if r[0] != 7 for w in r[1].encode().split())
+    for bucket in brown.vocabulary(cut, 3).collect():
+        words, n = bytes(bucket.words).split(b"\n"), brown.unpacked(bytes(bucket.n)).tolist()
+        assert n == [want[w] for w in words]
+        sent = {r.block: bytes(r.words).split(b"\n") for r in asked if r.bucket == bucket.bucket}
+        assert {b: [words[k] for k in brown.unpacked(bytes(p))] for b, p in zip(bucket.blocks, bucket.places, strict=True)} == sent
+
+
+def test_packed_numbers_may_exceed_32_bits():
+    for numbers in ([], [3, 0, 7], [2**31, 1, 2**40], [2**31 - 1, -5]):
+        assert brown.unpacked(brown.packed(np.array(numbers, np.int64))).tolist() == numbers
