@@ -19,8 +19,8 @@ word that no training row has takes the class of its unit.
 Transitions are smoothed towards the class frequencies; each class keeps the share of one unknown word
 of that class. Counts come from the training rows alone.
 
-The corpus is read twice: for word counts, then for blocks of about ``BLOCK_TOKENS`` tokens that hold
-their own vocabulary and their texts as numbers in it. Blocks are scored with the counts of their own
+The corpus is read once, for blocks of about ``BLOCK_TOKENS`` tokens that hold their own vocabulary and
+their texts as numbers in it. Blocks are scored with the counts of their own
 words, which reach them from the buckets.
 
 Defined results: null text is empty, which is the end token alone; null ids hash like the text '';
@@ -30,12 +30,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -53,17 +53,14 @@ STARTING = 1
 ROUNDS = 8
 #: Words that are weighed at a time.
 WEIGHED = 4096
-#: Words of a bucket, about.
-BUCKET_WORDS = 100_000
+#: Words of blocks in a bucket, about.
+BUCKET_WORDS = 500_000
 #: Units whose neighbours share a row.
 RANGE = 256
-#: Cells counted at a time.
-CELLS = 1 << 24
 BLOCK_TOKENS = 2_000_000
 #: Added to each count of a word, and the weight of class frequencies in transitions.
 ADDED = 0.1
 PRIOR = 10.0
-COUNTED_WORDS = 1_000_000
 COUNTED_PAIRS = 3_000_000
 
 PAIRS = "block long, size int, odd binary, a binary, b binary, n binary"
@@ -73,7 +70,7 @@ BUCKETS = "bucket int, words binary, n binary, blocks array<long>, places array<
 ANSWERS = "block long, bucket int, classes binary, n binary"
 SEEN = "bucket int, block long, codes binary, n binary"
 STATE = "bucket int, classes binary"
-BLOCKS = "block long, words binary, ids binary, held_out binary, lengths binary, tokens binary"
+BLOCKS = "block long, size int, words binary, ids binary, held_out binary, lengths binary, tokens binary"
 WORDS = "word binary, n long"
 
 
@@ -96,16 +93,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}")[:, 0].astype(np.int64)
 
 
-def summed(codes: np.ndarray, n: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes below ``many``, ascending, and the sum of each one's ``n``."""
-    found, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low in range(0, many, CELLS):
-        some = slice(None) if many <= CELLS else (codes >= low) & (codes < low + CELLS)
-        cells = np.bincount(codes[some] - low, n[some], minlength=0)
-        at = np.flatnonzero(cells)
-        found.append(at + low)
-        sums.append(cells[at].astype(np.int64))
-    return np.concatenate(found), np.concatenate(sums)
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sum of each one's ``n``."""
+    if not len(codes):
+        return codes, n
+    bits = int(n.max()).bit_length()
+    if int(codes.max()).bit_length() + bits < 64:  # one sort of numbers holding both
+        both = np.sort((codes << bits) | n)
+        codes, n = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+    firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[firsts], np.add.reduceat(n, firsts)
+
+
+class Numbers(dict):
+    """Numbers of words from 1 in the order of their first look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -114,22 +122,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """Words of the training rows and their counts."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for value in batch.column("text"):
-                counts.update(words_of(value.as_buffer().to_pybytes()))
-                if len(counts) > COUNTED_WORDS:
-                    yield flushed()
-                    counts.clear()
-        yield flushed()
-
-    return rows.filter("not held_out").select("text").mapInArrow(counted, WORDS).groupBy("word").agg(F.sum("n").alias("n"))
+    cut = saved(blocks(rows), "blocks")
+    return counted_words(vocabulary(cut, bucket_count(cut)))
 
 
 @dataclass
@@ -159,7 +153,7 @@ def blocks(rows: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = partition_id() << 24
-        words: dict[bytes, int] = {}
+        words = Numbers()
         ids: list[int] = []
         held: list[bool] = []
         texts_: list[np.ndarray] = []
@@ -168,21 +162,21 @@ def blocks(rows: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
         def block() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in texts_], np.int64)
             tokens_ = np.concatenate([y for x in texts_ for y in (x, [0])]).astype(np.int32) if texts_ else np.zeros(0, np.int32)
-            values = [number, b"\n".join(words), np.array(ids, np.int64).tobytes(), np.array(held, bool).tobytes(), (lengths + 1).tobytes(), tokens_.tobytes()]
-            kinds = [pa.int64(), *[pa.binary()] * 5]
+            values = [number, len(words), b"\n".join(words), np.array(ids, np.int64).tobytes(), np.array(held, bool).tobytes(), (lengths + 1).tobytes(), tokens_.tobytes()]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
             for doc_id, held_out, value in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
                 some = words_of(value.as_buffer().to_pybytes())
-                texts_.append(np.fromiter((words.setdefault(x, len(words) + 1) for x in some), np.int32, len(some)))
+                texts_.append(np.fromiter(map(words.__getitem__, some), np.int32, len(some)))
                 ids.append(doc_id)
                 held.append(held_out)
                 size += len(some) + 1
                 if size >= tokens:
                     yield block()
                     number += 1
-                    words, ids, held, texts_, size = {}, [], [], [], 0
+                    words, ids, held, texts_, size = Numbers(), [], [], [], 0
         if ids:
             yield block()
 
@@ -245,8 +239,8 @@ def unit_sides(cut: DataFrame, units: Units) -> DataFrame:
                 own = Block.of(row)
                 values = own.spread(np.fromiter((units.of(x) for x in own.words), np.int64, len(own.words)), units.end)
                 training = ~np.repeat(own.held_out, own.lengths)
-                found = (own.before(values, units.start) * many + values)[training]
-                codes, counts = summed(np.concatenate([codes, found]), np.concatenate([counts, np.ones(len(found), np.int64)]), many * many)
+                found, times = np.unique((own.before(values, units.start) * many + values)[training], return_counts=True)
+                codes, counts = summed(np.concatenate([codes, found]), np.concatenate([counts, times]))
                 if len(codes) > COUNTED_PAIRS:
                     yield flushed()
                     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -259,7 +253,7 @@ def unit_sides(cut: DataFrame, units: Units) -> DataFrame:
             some = [r for r in rows if r["is_after"] == is_after]
             if some:
                 codes = np.concatenate([np.cumsum(unpacked(r["codes"])) for r in some])
-                codes, n = summed(codes, np.concatenate([unpacked(r["n"]) for r in some]), RANGE * many)
+                codes, n = summed(codes, np.concatenate([unpacked(r["n"]) for r in some]))
                 out.append((rows[0]["range"], is_after, packed(np.diff(codes, prepend=0)), packed(n)))
         return pa.Table.from_batches([batch_of(SIDES, out)])
 
@@ -384,6 +378,10 @@ def bucketed(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray,
     return order, bucket[order], (hashes[order] & np.uint64(1)).astype(bool)
 
 
+def bucket_count(cut: DataFrame) -> int:
+    return (cut.agg(F.sum("size")).first()[0] or 0) // BUCKET_WORDS + 1
+
+
 def asked_words(cut: DataFrame, buckets: int) -> DataFrame:
     """Words of each block by bucket, in the block's order, and their counts in its training texts."""
 
@@ -469,17 +467,15 @@ def _seen(classes: int, moving: int | None):
         a = np.cumsum(a)
         own, bounds = in_places(answers, "classes")
         of = np.concatenate([[classes], own, [classes + 1]])
-        cells, sums = summed(of[a] * kinds + of[b], n, kinds * kinds)
-        rows = [(-1, number, packed(cells), packed(sums))]
+        table = np.bincount(of[a] * kinds + of[b], n)
+        cells = np.flatnonzero(table)
+        rows = [(-1, number, packed(cells), packed(table[cells]))]
         if moving is not None:
             odd = np.unpackbits(np.frombuffer(pairs["odd"][0].as_py(), np.uint8), count=size - 1)
             moves = np.concatenate([[False], odd == moving, [False]])
-            place = np.flatnonzero(moves)
-            row = np.cumsum(moves) - 1
             right, left = moves[a], moves[b]
-            codes = np.concatenate([row[a[right]] * 2 * kinds + of[b[right]], row[b[left]] * 2 * kinds + kinds + of[a[left]]])
-            codes, sums = summed(codes, np.concatenate([n[right], n[left]]), len(place) * 2 * kinds)
-            codes = place[codes // (2 * kinds)] * 2 * kinds + codes % (2 * kinds)
+            codes = np.concatenate([a[right] * 2 * kinds + of[b[right]], b[left] * 2 * kinds + kinds + of[a[left]]])
+            codes, sums = summed(codes, np.concatenate([n[right], n[left]]))
             ends = np.searchsorted(codes, bounds * 2 * kinds)
             for bucket, low, lo, hi in zip(np.sort(answers["bucket"].to_numpy()).tolist(), bounds.tolist(), ends, ends[1:], strict=False):
                 if lo < hi:
@@ -493,40 +489,63 @@ def added_logs(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x_log_x(x + n) - x_log_x(x)
 
 
-def best_of_many(after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+def added_in_order(rows: np.ndarray, which: np.ndarray, own: np.ndarray, who: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``many`` words the sums of ``rows[which]`` and of ``own`` over its entries, added in their order.
+
+    ``who`` ascends. The words of most entries come first, so that a word's k-th entries are a slice.
+    """
+    sizes = np.bincount(who, minlength=many)
+    order = np.argsort(-sizes, kind="stable")
+    starts, ranked = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    sums, owns = np.zeros((many, rows.shape[1])), np.zeros(many)
+    for k in range(ranked[0] if many else 0):
+        some = starts[: np.searchsorted(-ranked, -k)] + k
+        sums[: len(some)] += rows[which[some]]
+        owns[: len(some)] += own[some]
+    out, out_own = np.empty_like(sums), np.empty_like(owns)
+    out[order], out_own[order] = sums, owns
+    return out, out_own
+
+
+def best_of_many(
+    after: np.ndarray, before: np.ndarray, own: np.ndarray, pairs: np.ndarray, classes: int, cells: list[tuple[np.ndarray, np.ndarray]] | None = None
+) -> np.ndarray:
     """``best_classes`` for many words with few neighbour classes each.
 
-    Only their cells are weighed; what a cell gives is alike for all words of the same count in it, save in the
-    class that a word leaves.
+    Only their cells (``cells``: word and class, after and before) are weighed; what a cell gives is alike for all
+    words of the same count in it, save in the class that a word leaves.
     """
     every = np.arange(len(own))
     gain = np.zeros((len(own), classes))
-    for mine, other, table in ((after, before, pairs.T), (before, after, pairs)):
-        who, cell = np.nonzero(mine)
+    after_cells, before_cells = cells or (np.nonzero(after), np.nonzero(before))
+    for mine, other, table, (who, cell), (others, met) in ((after, before, pairs.T, after_cells, before_cells), (before, after, pairs, before_cells, after_cells)):
         n = mine[who, cell]
         table = table[:, :classes].astype(float)
         if len(who):
-            kinds, alike = np.unique(cell * (n.max() + 1) + n, return_inverse=True)
+            kinds, which = np.unique(cell * (n.max() + 1) + n, return_inverse=True)
             firsts = np.zeros(len(kinds), np.int64)
-            firsts[alike] = np.arange(len(alike))
-            found = added_logs(table[cell[firsts]], n[firsts][:, None])[alike]
-            found[np.arange(len(who)), own[who]] = added_logs(np.maximum(table[cell, own[who]] - n, 0), n)
+            firsts[which] = np.arange(len(which))
+            left = added_logs(np.maximum(table[cell, own[who]] - n, 0), n)
             same = np.flatnonzero(cell == own[who])
-            rest = table[cell[same]]
-            rest[np.arange(len(same)), own[who[same]]] -= n[same]
-            found[same] = added_logs(np.maximum(rest - other[who[same], :classes], 0), n[same][:, None])
-            some, starts = np.unique(who, return_index=True)
-            gain[some] += np.add.reduceat(found, starts, axis=0)
+            rest = np.maximum(table[cell[same]] - other[who[same], :classes], 0)
+            left[same] = added_logs(np.maximum(table[cell[same], own[who[same]]] - n[same] - other[who[same], own[who[same]]], 0), n[same])
+            rows = np.concatenate([added_logs(table[cell[firsts]], n[firsts][:, None]), added_logs(rest, n[same][:, None])])
+            which[same] = len(kinds) + np.arange(len(same))
+            sums, owns = added_in_order(rows, which, left, who, len(own))
+            sums[every, own] = owns
+            gain += sums
         total = mine.sum(axis=1)
         margin = table.sum(axis=0)
         totals, alike = np.unique(total, return_inverse=True)
         fallen = added_logs(margin[None, :], totals[:, None])[alike]
-        who, cell = np.nonzero(other[:, :classes])
-        less = np.maximum(margin[cell] - other[who, cell], 0)
-        fallen[who, cell] = added_logs(less, total[who])
+        inner = met < classes
+        others, met = others[inner], met[inner]
+        fallen[others, met] = added_logs(np.maximum(margin[met] - other[others, met], 0), total[others])
         fallen[every, own] = added_logs(np.maximum(margin[own] - other[every, own] - total, 0), total)
         gain -= fallen
-    who, cell = np.nonzero((after[:, :classes] > 0) & (before[:, :classes] > 0))
+    who, cell = after_cells
+    inner = (cell < classes) & (before[who, cell] > 0)
+    who, cell = who[inner], cell[inner]
     r, l = after[who, cell], before[who, cell]
     both = np.maximum(pairs[cell, cell] - (cell == own[who]) * (r + l), 0)
     gain[who, cell] += x_log_x(both + r + l) + x_log_x(both) - x_log_x(both + r) - x_log_x(both + l)
@@ -548,14 +567,19 @@ def _moved(pairs: np.ndarray, classes: int):
             row, slot = divmod(np.cumsum(unpacked(r["codes"])), slots)
             codes.append(unpacked(places[r["block"]])[row] * slots + slot)
             counts.append(unpacked(r["n"]))
-        codes, n = summed(np.concatenate(codes), np.concatenate(counts), len(of) * slots)
-        word, row = np.unique(codes // slots, return_inverse=True)
+        codes, n = summed(np.concatenate(codes), np.concatenate(counts))
+        whose, slot = divmod(codes, slots)
+        row = np.cumsum(np.diff(whose, prepend=-1) > 0) - 1
+        word = whose[np.flatnonzero(np.diff(whose, prepend=-1))]
         for low in range(0, len(word), WEIGHED):
             some = word[low : low + WEIGHED]
             lo, hi = np.searchsorted(row, [low, low + len(some)])
             sides = np.zeros((len(some), slots))
-            sides[row[lo:hi] - low, codes[lo:hi] % slots] = n[lo:hi]
-            of[some] = best_of_many(sides[:, : slots // 2], sides[:, slots // 2 :], of[some], pairs, classes)
+            who, at = row[lo:hi] - low, slot[lo:hi]
+            sides[who, at] = n[lo:hi]
+            right = at < slots // 2
+            cells = [(who[right], at[right]), (who[~right], at[~right] - slots // 2)]
+            of[some] = best_of_many(sides[:, : slots // 2], sides[:, slots // 2 :], of[some], pairs, classes, cells)
         return pa.Table.from_batches([batch_of(STATE, [(buckets["bucket"][0].as_py(), packed(of))])])
 
     return bucket
@@ -637,6 +661,18 @@ def unit_classes(buckets: DataFrame, units: Units, classes: np.ndarray) -> DataF
     return buckets.select("bucket", "words").mapInArrow(placed, STATE)
 
 
+def counted_words(buckets: DataFrame) -> DataFrame:
+    """The words that training rows have, and their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = pa.array(unpacked(row["n"]))
+                yield pa.RecordBatch.from_arrays([pa.array(row["words"].split(b"\n"), pa.binary()), n], ["word", "n"]).filter(pc.greater(n, 0))
+
+    return buckets.select("words", "n").mapInArrow(rows, WORDS)
+
+
 def known_words(buckets: DataFrame, state: DataFrame) -> DataFrame:
     """word, n and class of the words that training rows have."""
 
@@ -663,12 +699,14 @@ def class_sizes(buckets: DataFrame, state: DataFrame, kinds: int) -> tuple[np.nd
     return tokens, distinct
 
 
-def fit(rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS) -> Model:
+def fit(
+    rows: DataFrame, counts: DataFrame, cut: DataFrame, classes: int = CLASSES, head: int = HEAD, rounds: int = ROUNDS, words: DataFrame | None = None
+) -> Model:
     most = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     units = Units({bytes(r["word"]): k for k, r in enumerate(most)})
     of, _ = exchange(saved(unit_sides(cut, units), "sides"), units, classes, STARTING)
-    buckets = counts.count() // BUCKET_WORDS + 1
-    words = saved(vocabulary(cut, buckets), "vocabulary")
+    buckets = bucket_count(cut)
+    words = saved(vocabulary(cut, buckets), "vocabulary") if words is None else words
     pairs = block_pairs(cut, buckets).repartition(max(1, cut.count()), "block").persist(StorageLevel.DISK_ONLY)
     index = words.select("bucket", "blocks", "places").repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
     state, table = exchange_words(saved(unit_classes(words, units, of), "classes"), index, pairs, classes, rounds)
@@ -726,9 +764,9 @@ def class_scores(
     """
     rows = texts(docs, id_col, text_col).withColumn("held_out", held_out)
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    counts = saved(word_counts(rows), "counts")
     cut = saved(blocks(rows), "blocks")
-    model = fit(rows, counts, cut, classes, head, rounds)
+    words = saved(vocabulary(cut, bucket_count(cut)), "vocabulary")
+    model = fit(rows, counted_words(words), cut, classes, head, rounds, words)
     words = model.vocabulary.select("bucket", "n", "blocks", "places")
     answers = words.groupBy("bucket").cogroup(model.state.groupBy("bucket")).applyInArrow(_answers, ANSWERS)
     scores = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, classes), SCORES)
