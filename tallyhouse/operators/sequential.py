@@ -99,8 +99,9 @@ def replay(
 def accept_short(
     events: DataFrame, openings: DataFrame, key: str, order: Sequence[str], delta: str
 ) -> DataFrame:
-    """``accept_in_order`` for keys with one opening and no more events than a chunk has: one shuffle, and
-    one pass over sorted partitions that keeps a level. Keys and ``delta`` are bigint."""
+    """``accept_in_order`` for keys with one opening and no more events than a chunk has: one shuffle, in which the
+    openings come as rows before the events of their key, and one pass over sorted partitions that keeps a
+    level. Keys and ``delta`` are bigint."""
     names = events.columns
     answered = T.StructType(
         [*events.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("level_after", T.LongType())]
@@ -109,22 +110,29 @@ def accept_short(
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = level = None
         for batch in batches:
-            keys, deltas, starts = (batch.column(c).to_pandas() for c in (key, delta, "_opening"))
+            keys, opens = batch.column(key).to_pandas(), batch.column("_opening").is_valid().to_numpy(False)
+            deltas, starts = (batch.column(c).fill_null(0).to_numpy() for c in (delta, "_opening"))
             accepted, levels = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
             for run in _runs(keys) if len(keys) else ():
-                if keys.iat[run.start] != at:
-                    at, level = keys.iat[run.start], int(starts.iat[run.start])
-                accepted[run], levels[run], _, _ = replay(deltas.to_numpy()[run], level)
-                level = int(levels[run.stop - 1])
+                first, now = run.start, keys.iat[run.start]
+                if now != at:
+                    at, level = now, None
+                if opens[first]:
+                    level, first = int(starts[first]), first + 1
+                if level is None:  # a key without opening
+                    opens[run] = True
+                elif first < run.stop:
+                    accepted[first : run.stop], levels[first : run.stop], _, _ = replay(deltas[first : run.stop], level)
+                    level = int(levels[run.stop - 1])
             columns = [*(batch.column(c) for c in names), pa.array(accepted), pa.array(levels)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "accepted", "level_after"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, "accepted", "level_after"]).filter(pa.array(~opens))
 
     opened = openings.select(key, F.coalesce("opening", F.lit(0)).cast("bigint").alias("_opening"))
     return (
-        events.join(opened.hint("merge"), key)
-        .select(*names, "_opening")
+        events.unionByName(opened, allowMissingColumns=True)
+        .filter(F.col(key).isNotNull())
         .repartition(key)
-        .sortWithinPartitions(key, *order)
+        .sortWithinPartitions(key, F.col("_opening").isNull(), *order)
         .mapInArrow(answers, answered)
     )
 
